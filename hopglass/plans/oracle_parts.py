@@ -54,3 +54,49 @@ def verdict_ctes(version: str = LATEST, p: str = "", evidence: str = "d_evidence
   LEFT JOIN (SELECT case_id, string_agg(signal, ',' ORDER BY pos) AS names FROM {p}flag WHERE blocked GROUP BY case_id) b ON b.case_id = c.case_id
   LEFT JOIN {p}sup s ON s.case_id = c.case_id),
 {p}verdict AS (SELECT *, {band_case('score', version)} AS band FROM {p}verdict0)"""
+
+
+def org(h: str, private: bool = True) -> str:
+    """Registrable domain of a host expression."""
+    suffixes = words(fx.TWO_LABEL_SUFFIXES + (fx.PRIVATE_SUFFIXES if private else []))
+    c = f"lower(trim({h}, '. '))"
+    parts = f"string_split({c}, '.')"
+    two = f"array_to_string({parts}[-2:], '.')"
+    return (f"CASE WHEN regexp_matches({c}, '^[0-9.]+$') THEN NULL WHEN {two} IN ({suffixes}) THEN "
+            f"CASE WHEN len({parts}) >= 3 THEN array_to_string({parts}[-3:], '.') END WHEN len({parts}) >= 2 THEN {two} END")
+
+
+def dom(a: str) -> str:
+    return f"CASE WHEN {a} LIKE '%@%' THEN lower(trim(string_split({a}, '@')[-1])) END"
+
+
+def same(a: str, b: str) -> str:
+    return f"coalesce(lower({a}) = lower({b}) OR ({org(a)}) = ({org(b)}), false)"
+
+
+def num(ip: str) -> str:
+    p = lambda i: f"CAST(string_split({ip}, '.')[{i}] AS BIGINT)"
+    return f"({p(1)} * 16777216 + {p(2)} * 65536 + {p(3)} * 256 + {p(4)})"
+
+
+def in_cidrs(ip: str, cidrs) -> str:
+    from ..functions.net import cidr_bounds
+    return "(" + " OR ".join(f"{num(ip)} BETWEEN {lo} AND {hi}" for lo, hi in map(cidr_bounds, cidrs)) + ")"
+
+
+def bad_ip(ip: str) -> str:
+    return f"coalesce({in_cidrs(ip, fx.UNROUTABLE_V4)}, false)"
+
+
+def hop_ctes(cidrs: str = "") -> str:
+    """CTEs ``hx`` (hops with trust walk) and ``b`` (boundary per case)."""
+    return f"""
+hh AS (SELECT *, {bad_ip('from_ip')} AS bad, from_ip IS NOT NULL AND NOT {bad_ip('from_ip')} AS pub,
+    CASE WHEN lower(by_host) = 'mx.example.ac.in' {cidrs} THEN 1 ELSE 0 END AS ours FROM d_hops),
+walk AS (SELECT *, min(ours) OVER (PARTITION BY case_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS run FROM hh),
+b AS (SELECT case_id, min(seq) FILTER (run = 1) AS boundary_seq FROM walk GROUP BY case_id),
+hx AS (SELECT w.*, b.boundary_seq, CASE WHEN seq > b.boundary_seq THEN 'TRUSTED' WHEN seq = b.boundary_seq THEN 'BOUNDARY' ELSE 'UNVERIFIED' END AS trust,
+    coalesce(w.seq < b.boundary_seq, false) AND w.bad AS forged FROM walk w JOIN b ON b.case_id = w.case_id),
+origin AS (SELECT case_id, coalesce(max(from_ip) FILTER (trust = 'BOUNDARY' AND pub), arg_min(from_ip, seq) FILTER (pub)) AS origin_ip,
+    coalesce(max(seq) FILTER (trust = 'BOUNDARY' AND pub), min(seq) FILTER (pub)) AS origin_seq, count(*) FILTER (pub) AS routable,
+    max(boundary_seq) AS boundary_seq, max(from_ip) FILTER (trust = 'BOUNDARY') AS boundary_ip FROM hx GROUP BY case_id)"""
