@@ -1,26 +1,51 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins and orderings that stay balanced when one key holds much of the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..session import cut
 
 HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def join_on_hot_key(many: DataFrame, one: DataFrame, keys: list[str], rows_per_key: str,
-                    how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join ``many`` (skewed) to ``one`` (at most one row per key).
-
-    ``one`` carries the column ``rows_per_key`` with the number of ``many`` rows of
-    that key, so both sides know whether the key is hot without another pass.
-    ``many`` must carry the same column.  Rows of hot keys are spread over
-    ``salts`` partitions; the single row of ``one`` is replicated only for those
-    keys.  Keys that are not hot are joined as usual (one salt).
-    """
-    n = F.col(rows_per_key)
-    spread = F.when(n > hot_rows, F.pmod(F.xxhash64(*[c for c in many.columns]), F.lit(salts)).cast("int")).otherwise(0)
-    left = many.withColumn("_salt", spread)
-    fan = F.when(n > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("_salt", F.explode(fan)).drop(rows_per_key)
+def hot_keys(many: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows.  There can be at most
+    rows / hot_rows of them, which is what bounds the broadcast below."""
+    return many.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
+
+
+def join_on_hot_key(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner",
+                    salts: int = SALTS) -> DataFrame:
+    """Join a skewed side to a side with few rows per key.  Rows of hot keys are
+    spread over ``salts`` partitions and only those keys are replicated."""
+    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")).otherwise(0)
+    left = many.join(flagged, keys, "left").withColumn("_salt", spread).drop("_hot")
+    fan = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(flagged, keys, "left").withColumn("_salt", F.explode(fan)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def global_positions(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
+    """0-based position of every row in a total order, without one sorting task.
+
+    Range partitioning splits even a single huge key (the order must be unique);
+    positions are partition offsets plus the place inside the partition."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    fixed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = fixed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # one row per partition: small whatever the data size
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(out, F.col("_off") + F.col("_id") - F.shiftleft(F.col("_part"), 33)).drop("_id", "_part", "_off"))
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """How many rows of the same key come earlier; exact and safe for hot keys."""
+    pos = global_positions(df, [*keys, *order], "_pos")
+    first = pos.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    return join_on_hot_key(pos, first, keys, hot_keys(pos, keys)).withColumn(out, F.col("_pos") - F.col("_first")).drop("_pos", "_first")
