@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed_values as fx
+from ..functions.net import cidr_bounds
 from ..operators.dims import LATEST, rule_rows, values_sql
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -241,6 +242,25 @@ SELECT o_orderkey AS case_id, 'M' || CAST(2 + o_custkey % 7 AS STRING) AS lane,
   CASE o_orderkey % 20 WHEN 0 THEN 'timeout' WHEN 1 THEN 'crash' ELSE 'ok' END AS state FROM orders"""
 
 
+VIEWS["d_ip_list"] = "SELECT * FROM (VALUES ('tor', '185.220.101.1'), ('tor', '185.220.101.2'), ('tor', '171.25.193.25')) AS t(kind, ip)"
+
+_RANGES = [("vpn", "146.70.0.0/16"), ("vpn", "80.10.0.0/15"), ("vpn", "81.100.7.0/24"), ("dc", "45.55.0.0/16"),
+           ("dc", "104.16.0.0/12"), ("dc", "82.0.0.0/9"), ("dc", "83.5.5.5/32"), ("dc", "80.0.0.0/6")]
+VIEWS["d_ip_ranges"] = f"SELECT kind, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM {values_sql([(k, *cidr_bounds(c)) for k, c in _RANGES[:7]], 't(kind, lo, hi)')}"
+
+VIEWS["d_geo_ranges"] = """
+SELECT CAST((80 + n_nationkey % 5) AS BIGINT) * 16777216 + n_nationkey * 10 * 65536 AS lo,
+  CAST((80 + n_nationkey % 5) AS BIGINT) * 16777216 + n_nationkey * 10 * 65536 + 655359 AS hi,
+  n_name AS country, 'City ' || CAST(n_nationkey AS STRING) AS city, CAST(n_nationkey AS DOUBLE) AS lat, CAST(n_regionkey AS DOUBLE) AS lon FROM nation
+UNION ALL SELECT CAST(80 + r_regionkey AS BIGINT) * 16777216, CAST(81 + r_regionkey AS BIGINT) * 16777216 - 1, r_name, NULL,
+  CAST(r_regionkey AS DOUBLE), 0.5 FROM region
+UNION ALL SELECT CAST(80 AS BIGINT) * 16777216, CAST(84 AS BIGINT) * 16777216 - 1, 'WIDE', NULL, 0.0, 0.0 FROM region WHERE r_regionkey = 0"""
+
+VIEWS["d_feed"] = """
+SELECT '185.220.101.' || CAST(user_id % 5 AS STRING) AS ip, CAST(event_id % 100 AS INT) AS feed_score,
+  CAST(event_id % 37 AS INT) AS total_reports, ts AS fetched_at FROM events WHERE event_type = 'click'"""
+
+
 def needed(text: str) -> list[str]:
     """Derived views a text refers to, dependencies first."""
     order: list[str] = []
