@@ -30,7 +30,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(col: Column) -> Column:
     """Compatibility fold.  ASCII rows never leave the JVM: they reach the UDF as
-    NULL and are taken from the input column."""
+    NULL and are taken from the input column.  Pass a plain column: the input is
+    named more than once."""
     needs = F.when(col.rlike(r"[^\x00-\x7F]"), col)
     return F.coalesce(_nfkc(needs), col)
 
@@ -73,11 +74,12 @@ def invisible_runs(col: Column) -> Column:
     return F.regexp_count(col, F.lit(f"(?<={word})[{fx.INVISIBLE}]+(?={word})"))
 
 
-def obfuscation_report(col: Column) -> Column:
-    mixed = mixed_script_words(col)
-    runs = invisible_runs(col)
-    return F.struct(F.slice(mixed, 1, 5).alias("mixed_script_words"), F.size(mixed).alias("mixed_script_count"),
-                    runs.alias("invisible_runs"), ((F.size(mixed) > 0) | (runs >= 1)).alias("obfuscated"))
+def with_obfuscation_report(df, text: str, out: str = "report"):
+    """Mixed-script words and invisible runs of a text column."""
+    df = df.withColumn("_mixed", mixed_script_words(F.col(text))).withColumn("_runs", invisible_runs(F.col(text)))
+    report = F.struct(F.slice("_mixed", 1, 5).alias("mixed_script_words"), F.size("_mixed").alias("mixed_script_count"),
+                      F.col("_runs").alias("invisible_runs"), ((F.size("_mixed") > 0) | (F.col("_runs") >= 1)).alias("obfuscated"))
+    return df.withColumn(out, report).drop("_mixed", "_runs")
 
 
 def strip_tags(col: Column) -> Column:

@@ -42,23 +42,24 @@ def _under(raw: Column, names: list[str]) -> Column:
 def brand_lookalikes(domains: DataFrame, version: str = dims.LATEST) -> DataFrame:
     """(domain, brand, technique) of distinct look-alike domains; the first
     brand of the list that matches wins."""
-    df = domain_shape(domains).withColumn("near", near_brands("sig", "tokens"))
+    df = domain_shape(domains)
     exempt = _under(F.col("raw"), fx.PROTECTED_BRANDS)
     if version == dims.LATEST:
         exempt = exempt | _under(F.col("raw"), fx.LEGIT_NEAR_BRANDS)
+    df = df.filter(~exempt).withColumn("near", near_brands("sig", "tokens"))
+    # one row per (domain, protected brand): a fixed handful of brands
+    brands = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("brand"), F.lit(brand_parts(b)[0]).alias("name"))
+                       for i, b in enumerate(fx.PROTECTED_BRANDS)])
+    df = df.withColumn("b", F.explode(brands))
+    name, i = F.col("b.name"), F.col("b.i")
     close = F.when(F.col("homographed"), "homograph").otherwise("typosquat")
-    found = None
-    for i, brand in enumerate(fx.PROTECTED_BRANDS):
-        core, _ = brand_parts(brand)
-        inside = F.array_contains("labels", core) | F.array_contains("tokens", core)
-        if version == dims.LATEST and len(core) >= 3:
-            inside = inside | F.array_contains("parts", core)
-        technique = (F.when(F.col("skel") == brand, close).when(inside, "brand-name-in-domain")
-                     .when(F.col("near")[2 * i], close).when(F.col("near")[2 * i + 1], "typosquat"))
-        hit = F.when(technique.isNotNull(), F.struct(F.lit(brand).alias("brand"), technique.alias("technique")))
-        found = hit if found is None else F.coalesce(found, hit)
-    return (df.filter(~exempt).withColumn("hit", found).filter(F.col("hit").isNotNull())
-            .select("domain", "hit.brand", "hit.technique"))
+    inside = F.array_contains("labels", name) | F.array_contains("tokens", name)
+    if version == dims.LATEST:
+        inside = inside | ((F.length(name) >= 3) & F.array_contains("parts", name))
+    technique = (F.when(F.col("skel") == F.col("b.brand"), close).when(inside, "brand-name-in-domain")
+                 .when(F.col("near")[2 * i], close).when(F.col("near")[2 * i + 1], "typosquat"))
+    hits = df.select("domain", F.col("b.brand").alias("brand"), i.alias("i"), technique.alias("technique")).filter(F.col("technique").isNotNull())
+    return hits.groupBy("domain").agg(F.min_by(F.struct("brand", "technique"), "i").alias("hit")).select("domain", "hit.brand", "hit.technique")
 
 
 def domain_facts(domains: DataFrame, intel: DataFrame, as_of: Column, version: str = dims.LATEST) -> DataFrame:

@@ -26,9 +26,11 @@ def finding(signal: str, hit: Column, detail: Column | None = None, confidence:
 
 def emit(facts: DataFrame, analyzer: str, rows: list[Column]) -> DataFrame:
     """Explode several evidence structs of each case row: one pass, no unions."""
-    found = F.filter(F.array(*rows), lambda e: e.isNotNull())
-    return facts.select("case_id", F.lit(analyzer).alias("analyzer"), F.explode(found).alias("e")).select(
-        "case_id", "analyzer", "e.*")
+    # the array is a column before it is exploded, and the explode is an outer one:
+    # otherwise the optimizer copies every expression into inferred predicates
+    return (facts.select("case_id", F.array(*rows).alias("rows"))
+            .select("case_id", F.lit(analyzer).alias("analyzer"), F.explode_outer("rows").alias("e"))
+            .filter(F.col("e").isNotNull()).select("case_id", "analyzer", "e.*"))
 
 
 def or_clear(rows: list[Column], fallback: Column) -> list[Column]:

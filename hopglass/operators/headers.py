@@ -76,7 +76,7 @@ def parse_hops(headers: DataFrame) -> DataFrame:
 def hops_of_messages(messages: DataFrame) -> DataFrame:
     """Same from the in-row header arrays of a message table: no shuffle."""
     lines = F.reverse(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "received"), lambda h: h["value"]))
-    return _hop_fields(messages.select("case_id", F.posexplode(lines).alias("seq", "raw")))
+    return _hop_fields(messages.select("case_id", F.posexplode_outer(lines).alias("seq", "raw")).filter(F.col("raw").isNotNull()))
 
 
 def boundary(hops: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
