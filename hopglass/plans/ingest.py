@@ -45,12 +45,12 @@ def doc_id():
 _SVG = '<svg xmlns="x"><script>alert(1)</script><rect onclick="go()"/></svg>'
 
 
-@query("s02_parse_messages", "SELECT case_id AS doc, subject, 7 + CASE WHEN subject IS NULL THEN 0 ELSE 1 END + CASE WHEN from_addr IS NULL THEN 0 ELSE 1 END + CASE case_id % 2 WHEN 0 THEN 0 ELSE 1 END - 1 AS n_headers FROM d_messages")
+@query("s02_parse_messages", "SELECT case_id AS doc, subject, 7 + CASE WHEN subject IS NULL THEN 0 ELSE 1 END + CASE WHEN from_addr IS NULL THEN 0 ELSE 1 END + CASE case_id % 2 WHEN 0 THEN 0 ELSE 1 END AS n_headers FROM d_messages")
 def s02(src):
     return mail.parse_messages(raw_mail(src)).select(doc_id(), "subject", F.size("headers").alias("n_headers"))
 
 
-@query("s03_header_values", "SELECT case_id AS doc, 0 AS pos, 'from mx1.org3.com' AS head FROM d_messages UNION ALL SELECT case_id, 1, 'from [10.0.0.5] by' FROM d_messages")
+@query("s03_header_values", "SELECT case_id AS doc, 0 AS pos, 'from mx1.org3.com' AS head FROM d_messages UNION ALL SELECT case_id, 1, 'from [10.0.0.5] b' FROM d_messages")
 def s03(src):
     m = mail.parse_messages(raw_mail(src))
     h = mail.header_values(mail.header_table(m), "RECEIVED").join(m.select("case_id", doc_id()), "case_id")
@@ -165,13 +165,13 @@ def s16(src):
     return dims.rule_problems(dims.rules(src.spark), seen).groupBy("signal", "problem").agg(F.count("*").alias("n"))
 
 
-@query("s17_append_evidence", "SELECT CAST(CAST(observed_at AS DATE) AS STRING) AS day, 2 * count(*) AS n FROM d_evidence GROUP BY 1")
+@query("s17_append_evidence", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, 2 * count(*) AS n FROM events GROUP BY 1")
 def s17(src):
     """Two appends to one evidence table, read back by day."""
     path = f"{work_dir(src.spark)}/evidence"
-    coarse = src.d_evidence
+    rows = src.events.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("signal"), F.col("ts").alias("observed_at"))
     for _ in range(2):
-        store.append_evidence(coarse.repartition(F.to_date("observed_at")), path)
+        store.append_evidence(rows, path)
     return src.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
