@@ -23,6 +23,27 @@ def matches(col: Column, pattern: str) -> Column:
     return F.coalesce(col.rlike(rx(pattern)), F.lit(False))
 
 
+def settled(df, **cols: Column):
+    """Add columns behind a one-element explode.  Filters and later stages then read
+    finished values instead of having the expressions copied into them."""
+    pack = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    rest = [c for c in df.columns if c not in cols]
+    return df.select(*rest, pack.alias("_s")).select(*rest, "_s.*")
+
+
+def any_of(col: Column, literals: list[str]) -> Column:
+    out = F.lit(False)
+    for x in literals:
+        out = out | F.contains(col, F.lit(x))
+    return out
+
+
+def matches_folded(col: Column, pattern: str) -> Column:
+    """``matches`` on lower-case text: plain substring tests decide most rows before
+    the regular expression is tried."""
+    return any_of(col, fx.NEEDS[pattern]) & matches(col, pattern) if pattern in fx.NEEDS else matches(col, pattern)
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
@@ -88,6 +109,7 @@ def strip_tags(col: Column) -> Column:
 
 def hidden_text(html: Column) -> Column:
     """Inner text of elements whose style or attribute hides them."""
-    inner = F.regexp_extract_all(html, F.lit(rx(fx.HIDDEN_ELEMENT_PATTERN)), F.lit(2))
+    marked = F.when(any_of(F.lower(html), fx.HIDDEN_MARKERS), html)
+    inner = F.regexp_extract_all(marked, F.lit(rx(fx.HIDDEN_ELEMENT_PATTERN)), F.lit(2))
     parts = F.filter(F.transform(inner, strip_tags), lambda p: p != "")
     return F.coalesce(F.trim(F.array_join(parts, " ")), F.lit(""))

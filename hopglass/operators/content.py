@@ -11,7 +11,7 @@ from . import dims
 from .evidence import emit, finding, row
 from .lookup import join_facts
 
-matches = tx.matches
+matches, folded = tx.matches, tx.matches_folded
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
@@ -76,16 +76,16 @@ def intent_scores(df: DataFrame, text: str, named_text: str) -> DataFrame:
     """Intent patterns, transactional exemption and the phrase score.
     ``named_text`` also holds the display name, where executives are impersonated."""
     t = F.col(text)
-    df = (df.withColumn("threat", matches(t, fx.ACCOUNT_THREAT_PATTERN)).withColumn("harvest", matches(t, fx.HARVEST_PATTERN))
-          .withColumn("payment", _any(t, fx.PAYMENT_PATTERNS)).withColumn("gift", matches(t, fx.GIFT_CARD_PATTERN))
-          .withColumn("executive", matches(F.col(named_text), fx.EXECUTIVE_PATTERN) & matches(t, fx.EXECUTIVE_ASK_PATTERN)))
+    df = tx.settled(df, threat=folded(t, fx.ACCOUNT_THREAT_PATTERN), harvest=folded(t, fx.HARVEST_PATTERN),
+                    payment=folded(t, fx.PAYMENT_PATTERNS[0]) | folded(t, fx.PAYMENT_PATTERNS[1]) | folded(t, fx.PAYMENT_PATTERNS[2]),
+                    gift=folded(t, fx.GIFT_CARD_PATTERN),
+                    executive=folded(F.col(named_text), fx.EXECUTIVE_PATTERN) & folded(t, fx.EXECUTIVE_ASK_PATTERN),
+                    legit=folded(t, fx.LEGIT_FLOW_PATTERN) & (folded(t, fx.REASSURE_PATTERN) | folded(t, fx.CODE_PATTERN)),
+                    share=sum((F.contains(t, F.lit(p)).cast("int") for p in fx.PHISHING_PHRASES), F.lit(0)) / len(fx.PHISHING_PHRASES))
     hard = F.col("harvest") | F.col("payment") | F.col("executive") | F.col("gift")
-    legit = matches(t, fx.LEGIT_FLOW_PATTERN) & (matches(t, fx.REASSURE_PATTERN) | matches(t, fx.CODE_PATTERN))
-    df = df.withColumn("transactional", ~F.col("threat") & ~hard & legit)
-    share = sum((F.contains(t, F.lit(p)).cast("int") for p in fx.PHISHING_PHRASES), F.lit(0)) / len(fx.PHISHING_PHRASES)
+    df = df.withColumn("transactional", ~F.col("threat") & ~hard & F.col("legit"))
     raised = F.when(hard, F.greatest(F.lit(0.72), "share")).when(F.col("threat"), F.greatest(F.lit(0.66), "share")).otherwise(F.col("share"))
-    return (df.withColumn("share", share)
-            .withColumn("phishing_score", F.when(F.col("transactional"), F.least(raised, F.lit(0.1))).otherwise(F.least(F.lit(0.95), raised)))
+    return (df.withColumn("phishing_score", F.when(F.col("transactional"), F.least(raised, F.lit(0.1))).otherwise(F.least(F.lit(0.95), raised)))
             .withColumn("credential", F.col("harvest") | (~F.col("transactional") & F.col("threat"))))
 
 
@@ -100,7 +100,7 @@ def classified(messages: DataFrame, version: str = dims.LATEST, model_scores: Da
         # every fold comes before the first pattern: a fold placed later would make
         # the optimizer merge the stages and repeat the patterns
         df = df.withColumn("_name", tx.canonical(F.col("from_display_name"))).withColumn("_cta", tx.canonical(F.col("_both")))
-        df = df.withColumn("named_text", F.concat_ws(" ", "_name", "text"))
+        df = tx.settled(df, text=F.col("text"), _cta=F.col("_cta"), named_text=F.concat_ws(" ", "_name", "text"))
         df = intent_scores(df, "text", "named_text")
     df = df.withColumn("source", F.lit("heuristic"))
     if model_scores is not None:
@@ -165,7 +165,7 @@ def content_lane(messages: DataFrame, attachments: DataFrame | None = None, vers
         row("executive_impersonation", "TRIGGERED", when=F.col("executive")),
     ]
     if version == dims.LATEST:
-        df = df.withColumn("off_domain_login", matches(F.col("_cta"), fx.SIGNIN_PATTERN) & F.col("off_domain"))
+        df = df.withColumn("off_domain_login", folded(F.col("_cta"), fx.SIGNIN_PATTERN) & F.col("off_domain"))
         rows += [row("credential_harvest_intent", "TRIGGERED", 1.0, F.struct("off_domain_login"), when=F.col("credential") | F.col("off_domain_login")),
                  row("gift_card_scam", "TRIGGERED", when=F.col("gift"))]
         if attachments is not None:
