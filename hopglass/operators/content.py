@@ -51,7 +51,7 @@ def with_texts(messages: DataFrame) -> DataFrame:
     df = df.withColumn("_joined", F.when(F.col("report.obfuscated"), F.concat_ws(" ", "visible", "hidden")))
     df = df.withColumn("_folded", tx.canonical(F.col("_joined")))
     section = lambda mark, body: F.concat(F.lit(f"\n\n{mark}\n"), body)
-    return df.withColumn("classifier_text", F.concat(
+    return tx.settled(df, report=F.col("report"), hidden=F.col("hidden"), visible=F.col("visible"), _both=F.col("_both"), classifier_text=F.concat(
         "visible", F.when(F.col("hidden") != "", section(fx.HIDDEN_SECTION_MARK, F.col("hidden"))).otherwise(""),
         F.when(F.col("report.obfuscated"), section(fx.FOLDED_SECTION_MARK, F.col("_folded"))).otherwise(""))).drop("_hidden", "_joined", "_folded")
 
