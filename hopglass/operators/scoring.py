@@ -38,22 +38,17 @@ def strongest_instances(evidence: DataFrame, version: str = dims.LATEST) -> Data
     """One row per (case, signal): the instance with the largest absolute
     points, the earliest on ties, and the lanes that were unavailable."""
     spark = evidence.sparkSession
-    rules = dims.rules(spark, [version]).drop("version", "rule_analyzer")
-    scope = lambda name: (dims.suppressors(spark).filter((F.col("version") == version) & (F.col("scope") == name))
-                          .select("signal", F.lit(True).alias(name)))
-    credits = (dims.identity_credits(spark).filter(F.col("version") == version)
-               .select("signal", F.lit(True).alias("is_credit")))
+    weights = dims.rules(spark, [version]).select("signal", "weight")
     fired = F.col("status") == "TRIGGERED"
     points = F.col("weight") * F.col("confidence")
-    best = F.max_by(F.struct("pos", "analyzer", "weight", "confidence", points.alias("points"), "label", "detail"),
+    best = F.max_by(F.struct("pos", "analyzer", "weight", "confidence", points.alias("points"), "detail"),
                     F.when(fired & F.col("weight").isNotNull(), F.struct(F.abs(points), -F.col("pos"))))
-    return (evidence.join(rules, "signal", "left")
+    # labels and roles are attached after the aggregation, so they are not shuffled
+    return (evidence.join(weights, "signal", "left")
             .groupBy("case_id", "signal")
             .agg(F.max(fired).alias("fired"), best.alias("best"), F.max("weight").alias("weight"),
                  F.collect_set(F.when(F.col("status") == "UNAVAILABLE", F.col("analyzer"))).alias("lanes"))
-            .join(scope("general"), "signal", "left")
-            .join(scope("identity"), "signal", "left")
-            .join(credits, "signal", "left"))
+            .join(dims.rule_flags(spark, version), "signal", "left"))
 
 
 def _round_display(points: Column, version: str) -> Column:
@@ -89,7 +84,7 @@ def score_cases(evidence: DataFrame, cases: DataFrame | None = None, version: st
     b = F.col("best")
     scored = F.col("fired") & F.col("weight").isNotNull()
     entry = F.struct(b["pos"].alias("pos"), F.col("signal"), b["analyzer"].alias("analyzer"), b["weight"].alias("weight"),
-                     b["confidence"].alias("confidence"), b["points"].alias("points"), b["label"].alias("label"),
+                     b["confidence"].alias("confidence"), b["points"].alias("points"), F.col("label"),
                      b["detail"].alias("detail"), F.coalesce("is_credit", F.lit(False)).alias("is_credit"))
     per_case = per_signal.groupBy("case_id").agg(
         F.sort_array(F.collect_list(F.when(scored, entry))).alias("found"),
