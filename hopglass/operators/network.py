@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fx
 from ..functions.domains import domain_of
+from ..functions.text import settled
 from ..functions.net import ipv4_number, v4_public, v4_unroutable
 from . import dims
 from .evidence import emit, row
-from .headers import Infrastructure, DEFAULT_INFRASTRUCTURE, with_trust
+from .headers import Infrastructure, DEFAULT_INFRASTRUCTURE, boundary
 from .lookup import join_facts
 
 
@@ -32,7 +33,7 @@ def range_matches(numbers: DataFrame, num: str, ranges: DataFrame) -> DataFrame:
 
 def address_flags(ips: DataFrame, ip_list: DataFrame, ip_ranges: DataFrame) -> DataFrame:
     """Tor, VPN and datacenter membership of distinct addresses (``ip``)."""
-    nums = ips.select("ip").distinct().withColumn("num", ipv4_number(F.col("ip")))
+    nums = settled(ips.select("ip").distinct(), num=ipv4_number(F.col("ip")))
     hit = range_matches(nums.filter(F.col("num").isNotNull()), "num", ip_ranges).groupBy("ip").agg(
         F.max(F.col("kind") == "vpn").alias("vpn"), F.max(F.col("kind") == "dc").alias("dc"))
     tor = ip_list.filter(F.col("kind") == "tor").select("ip", F.lit(True).alias("tor")).distinct()
@@ -50,7 +51,9 @@ def flagged_hops(hops: DataFrame, ip_list: DataFrame, ip_ranges: DataFrame) -> D
 def network_facts(messages: DataFrame, hops: DataFrame, ip_list: DataFrame, ip_ranges: DataFrame,
                   infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
     """N04-N06 inputs, one row per message."""
-    h = flagged_hops(with_trust(hops, infra), ip_list, ip_ranges)
+    # addresses are looked up on the plain hops; the boundary is joined afterwards,
+    # so the distinct-address scans do not repeat it
+    h = flagged_hops(hops, ip_list, ip_ranges).join(boundary(hops, infra), "case_id", "left")
     seq, b = F.col("seq"), F.col("boundary_seq")
     trusted = b.isNull() | (seq >= b)
     conf = F.when(trusted, 1.0).otherwise(0.7)
@@ -95,7 +98,7 @@ def network_lane(facts: DataFrame, has_tor: bool = True, has_vpn: bool = True, h
 
 def geo_lookup(ips: DataFrame, geo_ranges: DataFrame) -> DataFrame:
     """Place of each distinct address; the most specific range wins."""
-    nums = ips.select("ip").distinct().withColumn("num", ipv4_number(F.col("ip"))).filter(F.col("num").isNotNull())
+    nums = settled(ips.select("ip").distinct(), num=ipv4_number(F.col("ip"))).filter(F.col("num").isNotNull())
     place = F.struct("country", "city", "lat", "lon")
     hits = range_matches(nums, "num", geo_ranges)
     return (hits.groupBy("ip").agg(F.min_by(place, F.struct(F.col("hi") - F.col("lo"), F.col("lo"))).alias("g"))
