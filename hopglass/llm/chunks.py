@@ -11,6 +11,8 @@ from itertools import islice
 
 import numpy as np
 
+from .text_stats import Numbers
+
 #: Chunks whose ids a worker keeps; when there are more, it starts anew (this bounds memory, not results).
 KEEP = 700_000
 
@@ -21,13 +23,13 @@ class ChunkCoder:
 
     def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], spaced: Callable[[str], list[bytes]], keep: int = KEEP):
         self.whole, self.spaced, self.keep = whole, spaced, keep
-        self.numbers, self.ids = _Numbers(), []
+        self.numbers, self.ids = Numbers(), []
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
         if len(self.ids) > self.keep:
-            self.numbers, self.ids = _Numbers(), []
+            self.numbers, self.ids = Numbers(), []
         numbers, old = [list(map(self.numbers.__getitem__, c)) for c in cut], len(self.ids)
         fresh = list(islice(self.numbers, old, None))
         alone = [c for c in fresh if c and not c[0].isspace() and not c[-1].isspace()]
@@ -43,14 +45,6 @@ class ChunkCoder:
         return [b"".join([head, *p]) for head, p in zip(self.whole(heads), parts, strict=True)]
 
 
-class _Numbers(dict):
-    """Numbers its keys as they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def at_starts(ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
     """The ids cut before each start."""
     data, at = ids.astype("<u4").tobytes(), (np.flatnonzero(starts) * 4).tolist()
