@@ -105,7 +105,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("long")).alias("quality"))
     n = known.count()
     if not n:
         return Machine()
@@ -121,7 +121,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
                 rows = zip(np.split(place.astype("<u4"), cuts), np.split(value.astype("<f4"), cuts), label[k : k + 200], b.column(0).slice(k, 200).to_pylist(), strict=True)
                 yield pa.RecordBatch.from_pylist([{"doc_id": i, "places": p.tobytes(), "values": v.tobytes(), "quality": q} for p, v, q, i in rows])
 
-    rows = id_and_text(docs).join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, places binary, values binary, quality int").toArrow().to_pylist()  # about ``sample`` rows
+    rows = id_and_text(docs).join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, places binary, values binary, quality long").toArrow().to_pylist()  # about ``sample`` rows
     rows.sort(key=lambda r: (r["doc_id"], r["places"]))
     return Machine().fit([(np.frombuffer(r["places"], "<u4").astype(np.int64), np.frombuffer(r["values"], "<f4")) for r in rows], np.array([r["quality"] > 0 for r in rows], float)) if rows else Machine()
 
