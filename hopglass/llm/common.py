@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopglass.session import ensure_checkpoint_dir
+
 #: Characters of text that one step inside a task works on; a longer text is a step of its own.
 STEP_CHARS = 4 << 20
 
@@ -45,3 +48,13 @@ def words_of(text: str) -> list[bytes]:
 def lower_words_of(text: str) -> list[bytes]:
     """The same with A-Z lower-cased (``bytes.lower`` touches ASCII letters only)."""
     return text.encode().lower().split()
+
+
+def table_cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared checkpoint folder.  In loops this is better than ``checkpoint()``, which
+    hands on the optimizer's size estimates: joins multiply them, and their digits double with every round."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -26,9 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopglass.session import cut
-
-from .common import id_and_text, lower_words_of, steps
+from .common import id_and_text, lower_words_of, steps, table_cut
 from .text_stats import Numbers
 
 WORDS, BANDS, ROWS, SKETCH_BITS, XOR_LIMIT, GROWTH = 5, 40, 4, 512, 122, 8
@@ -130,13 +128,13 @@ def sets(docs: DataFrame) -> DataFrame:
 def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): nodes with the smallest node that edges (a, b) reach; labels spread along edges and then jump to the
     label of their label, until nothing changes."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
+    both = table_cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = table_cut(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low")).withColumnRenamed("a", "node")
         spread = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        spread = cut(spread.join(jump, "label", "left").select("node", F.least("label", "root").alias("label"), (F.least("label", "root") < F.col("was")).alias("moved")))
+        spread = table_cut(spread.join(jump, "label", "left").select("node", F.least("label", "root").alias("label"), (F.least("label", "root") < F.col("was")).alias("moved")))
         labels = spread.select("node", "label")
         if spread.filter("moved").isEmpty():
             return labels
@@ -144,7 +142,7 @@ def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.  Few pairs (their number is checked) are broadcast to the sets."""
-    pairs = cut(pairs)
+    pairs = table_cut(pairs)
     side = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
     held = whole.join(side, whole["doc_id"] == side["a"]).select("a", "b", F.col("own").alias("xa"))
     both = F.size(F.array_intersect("xa", "own"))
@@ -154,11 +152,11 @@ def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after the links (a, b) between nodes have joined components."""
     at_a, at_b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    merged = cut(links.join(at_a, "a").join(at_b, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    merged = table_cut(links.join(at_a, "a").join(at_b, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     if merged.isEmpty():
         return labels
     roots = linked(merged, merged.select(F.col("a").alias("node")).union(merged.select(F.col("b").alias("node"))).distinct())
-    return cut(labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+    return table_cut(labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
 def differing(a: str, b: str) -> F.Column:
@@ -169,17 +167,17 @@ def differing(a: str, b: str) -> F.Column:
 def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     texts = id_and_text(docs)
-    all_rows = cut(signatures(docs))
+    all_rows = table_cut(signatures(docs))
     own = all_rows.filter("doc_id is not null and digest is not null")
-    classes = cut(own.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    classes = table_cut(own.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = own.filter("n_shingles > 1").join(classes, (own["digest"] == classes["digest"]) & (own["doc_id"] == classes["rep"]), "left_semi")
     rank = F.xxhash64("rep")
     bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).repartition("band")  # one exchange serves both uses below
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min(rank).alias("lowest")).filter("size > 1")
-    members = cut(bands.join(shared, "band").select("band", "size", "rep", (rank == F.col("lowest")).alias("first")))
-    nodes = cut(members.select("rep").distinct())
-    sketches = cut(reps.join(nodes, reps["doc_id"] == nodes["rep"], "left_semi").select("doc_id", "sketch"))
-    whole = cut(sets(texts.join(nodes, texts["doc_id"] == nodes["rep"], "left_semi")))
+    members = table_cut(bands.join(shared, "band").select("band", "size", "rep", (rank == F.col("lowest")).alias("first")))
+    nodes = table_cut(members.select("rep").distinct())
+    sketches = table_cut(reps.join(nodes, reps["doc_id"] == nodes["rep"], "left_semi").select("doc_id", "sketch"))
+    whole = table_cut(sets(texts.join(nodes, texts["doc_id"] == nodes["rep"], "left_semi")))
     labels = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
 
     # first round: each band's members meet its first one
@@ -195,7 +193,7 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     while True:
         rows = rows.join(labels, rows["rep"] == labels["node"]).select("band", "size", "rep", "label")
         undecided = rows.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("band")
-        rows = cut(rows.join(undecided, "band", "left_semi"))
+        rows = table_cut(rows.join(undecided, "band", "left_semi"))
         if rows.isEmpty():
             break
         wide = rows.join(sketches, rows["rep"] == sketches["doc_id"]).select("band", "rep", "label", "sketch", place.alias("place"))
