@@ -45,7 +45,7 @@ GENERATORS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20.-]{0,2}[0-9]){11,22}+",
     "phone": r"(?:(?<![0-9+])|\G)\+?\(?[0-9]{1,4}+(?:[\x20()./-]{1,3}[0-9]{2,8}+){1,5}+",
 }
-GENERATOR_NEEDS = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\]?\.", "card": r"[0-9](?:[\x20.-]{0,2}[0-9]){11}", "phone": r"[0-9][\x20()./-]{1,3}[0-9]{2}"}
+GENERATOR_NEEDS = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\[?\.", "card": r"[0-9](?:[\x20.-]{0,2}[0-9]){11}", "phone": r"[0-9][\x20()./-]{1,3}[0-9]{2}"}
 #: Words that stand before personal data of the kinds, in four languages.
 CUES = r"(?:mail|contact|write|escrib|correo|ip|host|server|adress|address|card|visa|carte|tarjeta|karte|tel|phone|call|fax|mobil|llam|appel|ruf)[^\n]{0,12}$"
 
