@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, factorization, hmm, near, packing, pii, rules, token_counts
+from . import ann, bpe, factorization, hmm, near, packing, pages, pii, rules, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op5_factorization_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.scored(docs, factorization.trained(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
