@@ -8,7 +8,7 @@ standard deviations above what a similarity of 0.75 gives); candidates are confi
 
 No group's pairs are all emitted.  Each band key first compares one leader with its members; the confirmed links give
 components.  While a key still holds members of several components, more of its members lead (GROWTH times as many each
-round, drawn by a hash of doc_id) and meet the members of other components only.  A key is finished when its members are
+round, drawn by a hash of doc_id) and meet the members of other components only, each pair in the first band it shares.  A key is finished when its members are
 one component or all have led, so every candidate pair is either compared or already connected, and no link that the
 bands show is lost.  At a similarity of 0.75 a pair shares no band with probability (1 - 0.75**ROWS)**BANDS < 1e-6.
 
@@ -176,7 +176,7 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min(rank).alias("lowest")).filter("size > 1")
     members = table_cut(bands.join(shared, "band").select("band", "size", "rep", (rank == F.col("lowest")).alias("first")))
     nodes = table_cut(members.select("rep").distinct())
-    sketches = table_cut(reps.join(nodes, reps["doc_id"] == nodes["rep"], "left_semi").select("doc_id", "sketch"))
+    sketches = table_cut(reps.join(nodes, reps["doc_id"] == nodes["rep"], "left_semi").select("doc_id", "sketch", "bands"))
     whole = table_cut(sets(texts.join(nodes, texts["doc_id"] == nodes["rep"], "left_semi")))
     labels = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
 
@@ -186,22 +186,21 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     sa, sb = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
     labels = relabelled(labels, confirmed(pairs.join(sa, "a").join(sb, "b").filter(differing("sa", "sb") <= XOR_LIMIT).select("a", "b"), whole, percent))
 
-    # further rounds: more members lead, against members of other components
+    # further rounds: more members lead, against members of other components, in the bands that the first round left undecided
+    rows = members.filter("size > 2").join(labels, members["rep"] == labels["node"]).select("band", "size", "rep", "label")
+    undecided = rows.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("band")
+    rows = table_cut(rows.join(undecided, "band", "left_semi").drop("label"))
     place = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-    led, leaders = 0, GROWTH
-    rows = members.filter("size > 2").select("band", "size", "rep")
-    while True:
-        rows = rows.join(labels, rows["rep"] == labels["node"]).select("band", "size", "rep", "label")
-        undecided = rows.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("band")
-        rows = table_cut(rows.join(undecided, "band", "left_semi"))
-        if rows.isEmpty():
-            break
-        wide = rows.join(sketches, rows["rep"] == sketches["doc_id"]).select("band", "rep", "label", "sketch", place.alias("place"))
-        a = wide.filter((F.col("place") >= led) & (F.col("place") < leaders)).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-        b = wide.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"))
-        pairs = a.join(b, (a["band"] == b["band"]) & (F.col("la") != F.col("lb")) & (differing("sa", "sb") <= XOR_LIMIT)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    led, leaders, largest = 0, GROWTH, rows.agg(F.max("size")).first()[0] or 0
+    while led < largest:
+        wide = rows.filter(F.col("size") > led).join(labels, rows["rep"] == labels["node"]).join(sketches, rows["rep"] == sketches["doc_id"])
+        wide = wide.select("band", "rep", "label", "sketch", "bands", place.alias("place"))
+        a = wide.filter((F.col("place") >= led) & (F.col("place") < leaders)).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
+        b = wide.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+        # two members meet in the first band they share only
+        meet = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.array_position("ba", a["band"])
+        pairs = a.join(b, (a["band"] == b["band"]) & (F.col("la") != F.col("lb")) & (differing("sa", "sb") <= XOR_LIMIT) & meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = relabelled(labels, confirmed(pairs, whole, percent))
-        rows = rows.filter(F.col("size") > leaders).select("band", "size", "rep")
         led, leaders = leaders, leaders * GROWTH
 
     member_of = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("found"))
