@@ -14,8 +14,10 @@ FIELDS = ["case_id", "actor", "action", "payload", "at"]
 
 
 def canonical_row() -> Column:
-    """Text of a row that is hashed together with the previous hash."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ["id", *FIELDS]])
+    """Text of a row that is hashed together with the previous hash: every field as its length, a colon and itself, a null as
+    a tilde, so no two different rows have the same text."""
+    text = lambda c: F.col(c).cast("string")
+    return F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("~")) for c in ["id", *FIELDS]])
 
 
 def chain(log: DataFrame, chain_key: str = "case_id") -> DataFrame:

@@ -57,8 +57,8 @@ def with_texts(messages: DataFrame) -> DataFrame:
 
 
 def content_key(subject: Column, body: Column) -> Column:
-    """Key of stored model answers.  The 2000-character cut is the key's format."""
-    return F.sha2(F.concat(F.coalesce(subject, F.lit("")), F.lit(":"), F.substring(body, 1, 2000)), 256)
+    """Key of stored model answers, over the whole text."""
+    return F.sha2(F.concat(F.coalesce(subject, F.lit("")), F.lit(":"), body), 256)
 
 
 def keyword_scores(df: DataFrame, text: str) -> DataFrame:
@@ -139,7 +139,7 @@ def attachment_findings(attachments: DataFrame) -> DataFrame:
     a = attachments.withColumn("reason", reason)
     return a.groupBy("case_id").agg(
         F.min_by(F.struct(shown, "reason"), F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("dangerous"),
-        F.min_by(F.struct(shown, F.slice("active_content", 1, 5).alias("samples")), F.when(F.size("active_content") > 0, F.col("pos"))).alias("active_svg"))
+        F.min_by(F.struct(shown, F.col("active_content").alias("samples")), F.when(F.size("active_content") > 0, F.col("pos"))).alias("active_svg"))
 
 
 def content_lane(messages: DataFrame, attachments: DataFrame | None = None, version: str = dims.LATEST,
@@ -157,9 +157,9 @@ def content_lane(messages: DataFrame, attachments: DataFrame | None = None, vers
         hidden_hit = (count >= 15) & carries_attack(F.col("hidden"))
     df = df.withColumn("hidden_hit", hidden_hit)
     rows = [
-        finding("hidden_text_mismatch", F.col("hidden_hit"), F.struct(count.alias("hidden_char_count"), F.substring("hidden", 1, 240).alias("hidden_sample"))),
+        finding("hidden_text_mismatch", F.col("hidden_hit"), F.struct(count.alias("hidden_char_count"), F.col("hidden").alias("hidden_sample"))),
         finding("obfuscated_text", F.col("report.obfuscated"), F.struct("report.mixed_script_words", "report.invisible_runs")),
-        finding("links_no_text", F.col("links_no_text"), F.struct("visible_text_len", F.slice(F.array_sort("link_domains"), 1, 5).alias("link_domains"))),
+        finding("links_no_text", F.col("links_no_text"), F.struct("visible_text_len", F.array_sort("link_domains").alias("link_domains"))),
         row("classifier_phishing_high", "TRIGGERED", F.col("phishing_score"), F.struct("phishing_score", "source"), when=F.col("phishing_score") >= fx.CLASSIFIER_THRESHOLD),
         row("payment_diversion_intent", "TRIGGERED", when=F.col("payment")),
         row("executive_impersonation", "TRIGGERED", when=F.col("executive")),

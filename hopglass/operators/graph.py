@@ -5,11 +5,12 @@ pair of cases that share a popular indicator:
 
 * components run on the bipartite edges;
 * pair measures list the pairs of *narrow* indicators (at most ``hub_degree``
-  cases each) and count the pairs that share only *hub* indicators by inclusion
-  and exclusion over the hub sets of the cases.
+  cases each) and count the pairs that share only *hub* indicators between classes
+  of cases with the same set of hubs; a class is one row however many cases it has,
+  and a case may have any number of hubs.
 
 Together the two parts are exact for any ``hub_degree``; the parameter only moves
-work from one part to the other.
+work from one part to the other and is never changed by the data.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from . import dims
 from .skew import HOT_ROWS, hot_keys, join_on_hot_key, rank_within
 
 HUB_DEGREE = 1000
-MAX_HUBS_PER_CASE = 10
 EDGE = ["owner", "kind", "value"]
 CASE = ["owner", "case_id"]
 
@@ -86,26 +86,27 @@ class Linked:
 
 
 def split_hubs(indicators: DataFrame, hub_degree: int = HUB_DEGREE) -> Linked:
-    """Drop unshared indicators and separate hubs.  ``hub_degree`` is raised until
-    no case has more than MAX_HUBS_PER_CASE hubs, so subsets stay enumerable."""
+    """Drop unshared indicators and separate hubs, those of more than ``hub_degree`` cases."""
     edges = indicators.select("owner", "case_id", "arrival", "kind", "value").dropDuplicates(["owner", "case_id", "kind", "value"])
     degree = edges.groupBy(*EDGE).agg(F.count("*").alias("degree")).filter(F.col("degree") >= 2)
-    hot = hot_keys(edges, EDGE)
-    shared = cut(join_on_hot_key(edges, degree, EDGE, hot))
-    while True:
-        worst = (shared.filter(F.col("degree") > hub_degree).groupBy(*CASE).count().agg(F.max("count").alias("m")).first())["m"]
-        if worst is None or worst <= MAX_HUBS_PER_CASE:
-            break
-        hub_degree *= 4
+    shared = cut(join_on_hot_key(edges, degree, EDGE, hot_keys(edges, EDGE)))
     hubs = (shared.filter(F.col("degree") > hub_degree).groupBy(*CASE, "arrival")
             .agg(F.sort_array(F.collect_list(F.struct("kind", "value"))).alias("hubs")))
     return Linked(shared.filter(F.col("degree") <= hub_degree).drop("degree"), hubs, hub_degree)
 
 
-def _subsets(array: str) -> Column:
-    """All non-empty sub-arrays of a short array column."""
-    return F.expr(f"transform(sequence(1, cast(pow(2, size({array})) as int) - 1), "
-                  f"m -> filter({array}, (x, i) -> (m & shiftleft(1, i)) != 0))")
+def hub_classes(linked: Linked) -> DataFrame:
+    """Cases by their exact set of hubs: size and first case of each class."""
+    return linked.hubs.groupBy("owner", "hubs").agg(F.count("*").alias("n"), F.min(F.struct("arrival", "case_id")).alias("first"))
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """Ordered pairs of classes (a class with itself too) that share a hub, each once: at the first hub they share."""
+    at = classes.select("owner", "hubs", "n", "first", F.explode("hubs").alias("hub"))
+    a = at.select("owner", "hub", F.col("hubs").alias("ha"), F.col("n").alias("na"))
+    b = at.select("owner", "hub", F.col("hubs").alias("hb"), F.col("n").alias("nb"), F.col("first").alias("first_b"))
+    shared = F.array_intersect("ha", "hb")
+    return a.join(b, ["owner", "hub"]).filter(F.col("hub") == F.element_at(shared, 1)).select("owner", "ha", "hb", "na", "nb", "first_b", shared.alias("s"))
 
 
 def narrow_pairs(linked: Linked) -> DataFrame:
@@ -138,13 +139,9 @@ def pair_strengths(linked: Linked) -> DataFrame:
 def hub_pair_classes(linked: Linked) -> DataFrame:
     """The remaining pairs, those that share hubs only, counted by the exact
     set of hubs they share.  One row stands for ``n_pairs`` pairs."""
-    sets = linked.hubs.groupBy("owner", "hubs").agg(F.count("*").alias("n"))
-    contain = (sets.select("owner", F.explode(_subsets("hubs")).alias("t"), "n").groupBy("owner", "t").agg(F.sum("n").alias("n"))
-               .withColumn("pairs", F.expr("n * (n - 1) div 2")).filter(F.col("pairs") > 0))
-    # pairs sharing exactly s = sum over supersets t of s, alternating in sign
-    signed = contain.select("owner", F.explode(_subsets("t")).alias("s"), F.size("t").alias("nt"), "pairs")
-    sign = F.when((F.col("nt") - F.size("s")) % 2 == 0, F.col("pairs")).otherwise(-F.col("pairs"))
-    exact = signed.withColumn("x", sign).groupBy("owner", "s").agg(F.sum("x").alias("n_pairs"))
+    both = class_pairs(hub_classes(linked)).filter(F.col("ha") <= F.col("hb"))
+    n_pairs = F.when(F.col("ha") == F.col("hb"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+    exact = both.groupBy("owner", "s").agg(F.sum(n_pairs).alias("n_pairs"))
     listed = (narrow_pairs(linked).filter(F.size("shared_hubs") > 0).groupBy("owner", F.col("shared_hubs").alias("s"))
               .agg((-F.count("*")).alias("n_pairs")))
     left = exact.unionByName(listed).groupBy("owner", "s").agg(F.sum("n_pairs").alias("n_pairs")).filter(F.col("n_pairs") > 0)
@@ -153,6 +150,22 @@ def hub_pair_classes(linked: Linked) -> DataFrame:
 
 # ------------------------------------------------------- related prior cases
 
+def earlier_by_hubs(linked: Linked) -> DataFrame:
+    """Per case with hubs: how many earlier cases share a hub (n_hub), and the most hubs shared with one (best_hub).
+
+    A class of cases with the same hubs gets one time line of the cases of all classes that share a hub with it; the rank
+    of its own cases on that line is their number of earlier cases.  An earlier case of another class exists if that
+    class's first case is earlier."""
+    classes = cut(hub_classes(linked))
+    pairs = cut(class_pairs(classes).select("owner", "ha", "hb", "first_b", F.size("s").alias("shared")))
+    cases = linked.hubs.select("owner", "case_id", "arrival", F.col("hubs").alias("hb"))
+    line = pairs.select("owner", "ha", "hb").join(cases, ["owner", "hb"]).select("owner", F.col("ha").alias("line"), "arrival", "case_id", (F.col("ha") == F.col("hb")).alias("own"))
+    ranked = rank_within(line, ["owner", "line"], ["arrival", "case_id"], "n_hub").filter("own").select(*CASE, "n_hub")
+    best = (cases.select("owner", F.col("hb").alias("ha"), "case_id", F.struct("arrival", "case_id").alias("at")).join(pairs, ["owner", "ha"])
+            .filter(F.col("first_b") < F.col("at")).groupBy(*CASE).agg(F.max("shared").alias("best_hub")))
+    return ranked.join(best, CASE, "left")
+
+
 def related_prior(linked: Linked, all_cases: DataFrame) -> DataFrame:
     """Per case, how many earlier cases of the same owner it shares
     indicators with, and the largest number shared with one of them."""
@@ -160,10 +173,7 @@ def related_prior(linked: Linked, all_cases: DataFrame) -> DataFrame:
     via_narrow = narrow.groupBy("owner", F.col("b").alias("case_id")).agg(
         F.count("*").alias("n_narrow"), F.count(F.when(F.size("shared_hubs") > 0, True)).alias("n_both"),
         F.max(F.size("shared") + F.size("shared_hubs")).alias("best_narrow"))
-    sub = linked.hubs.select("owner", "case_id", "arrival", F.explode(_subsets("hubs")).alias("t"))
-    ranked = rank_within(sub, ["owner", "t"], ["arrival", "case_id"], "earlier")
-    sign = F.when(F.size("t") % 2 == 1, F.col("earlier")).otherwise(-F.col("earlier"))
-    via_hub = ranked.groupBy(*CASE).agg(F.sum(sign).alias("n_hub"), F.max(F.when(F.col("earlier") > 0, F.size("t"))).alias("best_hub"))
+    via_hub = earlier_by_hubs(linked)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (all_cases.select(*CASE).distinct().join(via_narrow, CASE, "left").join(via_hub, CASE, "left")
             .select(*CASE, (zero("n_narrow") + zero("n_hub") - zero("n_both")).cast("long").alias("related_cases"),
@@ -194,7 +204,7 @@ def relationships_of(indicators: DataFrame, focus: DataFrame, top: int = 5) -> D
 
 # ------------------------------------------------------------------ campaigns
 
-def components(indicators: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 60) -> DataFrame:
+def components(indicators: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Connected components of size two or more.
 
     Minimum labels travel case -> indicator -> case and then jump to the label of
@@ -205,7 +215,7 @@ def components(indicators: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int
     hot = cut(hot_keys(edges, EDGE, hot_rows))
     edges = cut(join_on_hot_key(edges, degree, EDGE, hot))
     labels = edges.select(*CASE).distinct().withColumn("label", F.col("case_id"))
-    for _ in range(max_rounds):
+    while True:
         on_edge = edges.join(labels, CASE)
         low = on_edge.groupBy(*EDGE).agg(F.min("label").alias("low"))
         spread = join_on_hot_key(on_edge, low, EDGE, hot)
@@ -217,10 +227,9 @@ def components(indicators: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int
         labels = moved.drop("changed")
         if moved.filter("changed").isEmpty():
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
-def depth_limited_clusters(indicators: DataFrame, depth: int = 3, hot_rows: int = HOT_ROWS, max_rounds: int = 10_000) -> DataFrame:
+def depth_limited_clusters(indicators: DataFrame, depth: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Clusters of the cases within ``depth`` links of the smallest case not
     yet taken; all components advance in parallel, leftovers start new clusters.
     Clusters of one case are dropped."""
@@ -230,7 +239,7 @@ def depth_limited_clusters(indicators: DataFrame, depth: int = 3, hot_rows: int
     hot = cut(hot_keys(edges, EDGE, hot_rows))
     open_cases = comp
     done = None
-    for _ in range(max_rounds):
+    while True:
         seed = open_cases.groupBy("owner", "component").agg(F.min("case_id").alias("cluster"))
         reached = seed.select("owner", F.col("cluster").alias("case_id"), "cluster")
         frontier = reached
@@ -246,7 +255,6 @@ def depth_limited_clusters(indicators: DataFrame, depth: int = 3, hot_rows: int
         if open_cases.isEmpty():
             sizes = done.groupBy("owner", "cluster").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
             return join_on_hot_key(done, sizes, ["owner", "cluster"], hot_keys(done, ["owner", "cluster"], hot_rows))
-    raise RuntimeError("clusters did not settle; raise max_rounds")
 
 
 def core_indicators(indicators: DataFrame, comp: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def fake_replies(messages: DataFrame, headers: DataFrame) -> DataFrame:
     """A reply subject on a message with no thread headers."""
     threaded = headers.filter(F.lower("name").isin("in-reply-to", "references")).select("case_id")
     claims = messages.filter(F.trim("subject").rlike(rx(fx.REPLY_PREFIX_PATTERN)))
-    return claims.join(threaded, "case_id", "left_anti").select("case_id", F.substring(F.trim("subject"), 1, 120).alias("subject"))
+    return claims.join(threaded, "case_id", "left_anti").select("case_id", F.trim("subject").alias("subject"))
 
 
 def message_id_domain(message_id: Column) -> Column:

@@ -6,7 +6,7 @@ from ..operators import audit as op, scoring
 from . import oracle_parts as o
 from .registry import query
 
-_CAN = "concat_ws('|', CAST(id AS STRING), CAST(case_id AS STRING), actor, action, payload, d_audit.\"at\")"
+_CAN = " || ".join(f"coalesce(CAST(length(CAST({c} AS STRING)) AS STRING) || ':' || CAST({c} AS STRING), '~')" for c in ("id", "case_id", "actor", "action", "payload", 'd_audit."at"'))
 _CHAIN = f"""n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) AS k, {_CAN} AS txt FROM d_audit),
     ch AS (SELECT id, case_id, k, '{op.GENESIS}' AS prev_hash, sha256('{op.GENESIS}' || txt) AS entry_hash FROM n WHERE k = 1
       UNION ALL SELECT n.id, n.case_id, n.k, ch.entry_hash, sha256(ch.entry_hash || n.txt) FROM ch JOIN n ON n.case_id = ch.case_id AND n.k = ch.k + 1)"""

@@ -165,7 +165,7 @@ def c14(src):
     return e.select("case_id", F.round("confidence", 6).alias("confidence"))
 
 
-_KEY = "sha256(coalesce(subject, '') || ':' || substr(ctext, 1, 2000))"
+_KEY = "sha256(coalesce(subject, '') || ':' || ctext)"
 
 
 @query("c15_model_scores", f"""WITH {_INT}, ms AS (SELECT DISTINCT {_KEY} AS k, length(ctext) % 5 / 5.0 AS phishing FROM i4 WHERE length(ctext) % 3 = 0)

@@ -158,7 +158,7 @@ FROM (SELECT *, CASE l_suppkey % 9 WHEN 0 THEN 'bit.ly' WHEN 1 THEN 'docs.google
     WHEN 5 THEN 'corp' || CAST(l_partkey % 97 AS STRING) || '.com'
     WHEN 6 THEN 't' || CAST(l_partkey AS STRING) || '.herokuapp.com'
     ELSE 'login.site' || CAST(l_partkey * 100 + l_suppkey AS STRING) || '.net' END AS host
-  FROM lineitem WHERE l_linenumber <= 4) l"""
+  FROM lineitem) l"""
 
 VIEWS["d_attachments"] = """
 SELECT l_orderkey AS case_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS pos,
@@ -168,15 +168,16 @@ SELECT l_orderkey AS case_id, CAST(row_number() OVER (PARTITION BY l_orderkey OR
   CASE l_partkey % 7 WHEN 0 THEN 'application/x-msdownload' WHEN 1 THEN 'application/x-sh' ELSE 'application/octet-stream' END AS content_type,
   l_partkey * 10 AS size_bytes, md5(CAST(l_partkey * 100 + l_suppkey AS STRING)) AS sha256,
   l_partkey % 22 = 3 AS has_active
-FROM lineitem WHERE l_linenumber >= 6"""
+FROM lineitem"""
 
 VIEWS["d_indicators"] = """
 SELECT DISTINCT 'owner' || CAST(o_custkey % 7 AS STRING) AS owner, l_orderkey AS case_id, o_orderdate AS arrival,
   CASE l_linenumber % 4 WHEN 0 THEN 'ip' WHEN 1 THEN 'url' WHEN 2 THEN 'urlreg' ELSE 'hash' END AS kind,
   'v' || CAST(l_partkey * 100 + l_suppkey AS STRING) AS value
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 5 = 0
-UNION ALL SELECT 'owner' || CAST(o_custkey % 7 AS STRING), o_orderkey, o_orderdate, 'url', 'hub.example.net'
-FROM orders WHERE o_orderkey % 16 = 0"""
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT 'owner' || CAST(o_custkey % 7 AS STRING), o_orderkey, o_orderdate, 'url',
+  CASE o_orderkey % 16 WHEN 0 THEN 'hub.example.net' ELSE 'own' || CAST(o_orderkey AS STRING) || '.example.net' END
+FROM orders"""
 
 VIEWS["d_messages"] = """
 SELECT doc_id AS case_id, source AS owner, lang,
@@ -219,7 +220,7 @@ FROM events WHERE event_type = 'view'"""
 
 VIEWS["d_audit"] = """
 SELECT event_id AS id, user_id AS case_id, 'analyst' || CAST(event_id % 4 AS STRING) AS actor, event_type AS action,
-  props AS payload, CAST(ts AS STRING) AS at FROM events WHERE event_type IN ('purchase', 'error')"""
+  props AS payload, CAST(ts AS STRING) AS at FROM events"""
 
 VIEWS["d_footprint_mail"] = "SELECT DISTINCT from_addr AS email FROM d_cases"
 
@@ -258,7 +259,7 @@ UNION ALL SELECT CAST(80 AS BIGINT) * 16777216, CAST(84 AS BIGINT) * 16777216 -
 
 VIEWS["d_feed"] = """
 SELECT '185.220.101.' || CAST(user_id % 5 AS STRING) AS ip, CAST(event_id % 100 AS INT) AS feed_score,
-  CAST(event_id % 37 AS INT) AS total_reports, ts AS fetched_at FROM events WHERE event_type = 'click'"""
+  CAST(event_id % 37 AS INT) AS total_reports, ts AS fetched_at FROM events"""
 
 
 def needed(text: str) -> list[str]:

@@ -50,16 +50,17 @@ def s02(src):
     return mail.parse_messages(raw_mail(src)).select(doc_id(), "subject", F.size("headers").alias("n_headers"))
 
 
-@query("s03_header_values", "SELECT case_id AS doc, 0 AS pos, 'from mx1.org3.com' AS head FROM d_messages UNION ALL SELECT case_id, 1, 'from [10.0.0.5] b' FROM d_messages")
+@query("s03_header_values", """SELECT case_id AS doc, 0 AS pos, 'from mx1.org3.com (mx1.org3.com [203.0.113.7]) by mx.example.ac.in with ESMTPS; Tue, 14 Jan 2024 23:06:00 +0000' AS head FROM d_messages
+    UNION ALL SELECT case_id, 1, 'from [10.0.0.5] by mx1.org3.com with SMTP; Tue, 14 Jan 2024 23:01:00 +0000' FROM d_messages""")
 def s03(src):
     m = mail.parse_messages(raw_mail(src))
     h = mail.header_values(mail.header_table(m), "RECEIVED").join(m.select("case_id", doc_id()), "case_id")
-    return h.select("doc", "pos", F.substring("value", 1, 17).alias("head"))
+    return h.select("doc", "pos", F.col("value").alias("head"))
 
 
-@query("s04_sender_identity", "SELECT case_id AS doc, from_display_name, from_addr, 'bounce@bulk.example.org' AS return_path, 'a@x.com,b@y.org' AS to_addrs FROM d_messages WHERE from_addr IS NOT NULL")
+@query("s04_sender_identity", "SELECT case_id AS doc, CASE WHEN from_addr IS NOT NULL THEN from_display_name END AS from_display_name, from_addr, 'bounce@bulk.example.org' AS return_path, 'a@x.com,b@y.org' AS to_addrs FROM d_messages")
 def s04(src):
-    m = mail.parse_messages(raw_mail(src)).filter("from_addr is not null")
+    m = mail.parse_messages(raw_mail(src))
     return m.select(doc_id(), "from_display_name", "from_addr", "return_path", F.array_join("to_addrs", ",").alias("to_addrs"))
 
 
@@ -85,12 +86,12 @@ def s07(src):
     return su.extract_urls(src.d_messages.withColumn("body_html", F.lit(None).cast("string"))).select("case_id", "url", "domain")
 
 
-_A = r"""an AS (SELECT page_id AS case_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*>([\s\S]*?)</a>', 1)) AS href FROM pages)"""
+_A = r"""an AS (SELECT page_id AS case_id, unnest(regexp_extract_all(replace(html, 'href="/', 'href="https://site' || CAST(page_id AS STRING) || '.example.com/'), '(?i)<a\s[^>]*href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*>([\s\S]*?)</a>', 1)) AS href FROM pages)"""
 
 
 @query("s08_anchors", f"WITH {_A} SELECT DISTINCT case_id, regexp_replace(href, '[.,;:)\\]]+$', '') AS url FROM an WHERE lower(href) LIKE 'http%'")
 def s08(src):
-    pages = src.pages.select(F.col("page_id").alias("case_id"), F.col("html").alias("body_html"), F.lit("").alias("body_text"))
+    pages = src.pages.select(F.col("page_id").alias("case_id"), F.expr("replace(html, 'href=\"/', 'href=\"https://site' || CAST(page_id AS STRING) || '.example.com/')").alias("body_html"), F.lit("").alias("body_text"))
     return su.extract_urls(pages).select("case_id", "url")
 
 

@@ -92,7 +92,7 @@ def t05_stream(src):
     return rows.groupBy("id").agg(F.max_by(F.struct("owner", "opens"), "n").alias("r")).select("id", "r.owner", "r.opens")
 
 
-@query("t06_clean_opens", f"SELECT id, event_id, substr(ua, 1, 300) AS ua FROM d_track_opens WHERE {_OK}")
+@query("t06_clean_opens", f"SELECT id, event_id, ua FROM d_track_opens WHERE {_OK}")
 def t06(src):
     return tr.clean_opens(src.d_track_opens).select("id", "event_id", "ua")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 from email import policy
+from email.errors import MessageError
 from email.header import decode_header, make_header
 from email.utils import getaddresses, parsedate_to_datetime
 from datetime import timezone
@@ -20,7 +21,8 @@ PART = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("filen
 DECODED = T.StructType([
     T.StructField("headers", T.ArrayType(HEADER)), T.StructField("message_id", _S), T.StructField("subject", _S), T.StructField("sent_at", T.TimestampType()),
     T.StructField("from_name", _S), T.StructField("from_raw", _S), T.StructField("reply_raw", _S), T.StructField("return_raw", _S),
-    T.StructField("to_raw", T.ArrayType(_S)), T.StructField("text", _S), T.StructField("html", _S), T.StructField("parts", T.ArrayType(PART))])
+    T.StructField("to_raw", T.ArrayType(_S)), T.StructField("text", _S), T.StructField("html", _S), T.StructField("parts", T.ArrayType(PART)),
+    T.StructField("parse_error", _S)])
 
 
 def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False, max_files: int = 1000) -> DataFrame:
@@ -38,12 +40,26 @@ def _header_text(value) -> str | None:
         return None
     try:
         return str(make_header(decode_header(str(value))))
-    except (UnicodeError, LookupError, ValueError):
+    except (UnicodeError, LookupError, ValueError, MessageError):
         return str(value)
 
 
+def _raw_text(value) -> str | None:
+    """A header as given; raw 8-bit bytes come as a Header object."""
+    return None if value is None else str(value)
+
+
 def _decode(raw: bytes) -> dict:
-    """MIME-decode one message; everything else is done with column expressions."""
+    """MIME-decode one message; one that can't be decoded stays as a row with ``parse_error`` set and nothing else."""
+    try:
+        return _decode_message(raw) | {"parse_error": None}
+    except Exception as e:  # whatever a hostile message provokes: it must not end the job
+        empty = {"headers": [], "to_raw": [], "parts": [], "text": ""}
+        return dict.fromkeys(DECODED.names) | empty | {"parse_error": f"{type(e).__name__}: {e}"}
+
+
+def _decode_message(raw: bytes) -> dict:
+    """Everything that isn't MIME decoding is done with column expressions."""
     msg = email.message_from_bytes(bytes(raw), policy=policy.compat32)
     text, html, parts = [], [], []
     for part in msg.walk():
@@ -56,7 +72,7 @@ def _decode(raw: bytes) -> dict:
         elif kind in ("text/plain", "text/html"):
             try:
                 decoded = body.decode(part.get_content_charset() or "utf-8", "replace")
-            except LookupError:
+            except (LookupError, UnicodeError, ValueError):
                 decoded = body.decode("utf-8", "replace")
             (text if kind == "text/plain" else html).append(decoded)
     people = lambda h: getaddresses([_header_text(msg.get(h)) or ""]) if msg.get(h) else []
@@ -67,9 +83,9 @@ def _decode(raw: bytes) -> dict:
     except (TypeError, ValueError):
         sent = None
     return {"headers": [{"pos": i, "name": k, "value": str(v)} for i, (k, v) in enumerate(msg.items())],
-            "message_id": msg.get("Message-ID"), "subject": _header_text(msg.get("Subject")), "sent_at": sent,
+            "message_id": _raw_text(msg.get("Message-ID")), "subject": _header_text(msg.get("Subject")), "sent_at": sent,
             "from_name": sender[0][0] if sender else None, "from_raw": sender[0][1] if sender else None,
-            "reply_raw": reply[0][1] if reply else None, "return_raw": msg.get("Return-Path"),
+            "reply_raw": reply[0][1] if reply else None, "return_raw": _raw_text(msg.get("Return-Path")),
             "to_raw": [a for _, a in people("To")], "text": "\n".join(text), "html": "\n".join(html) if html else None, "parts": parts}
 
 
@@ -101,7 +117,13 @@ def parse_messages(raw_mail: DataFrame) -> DataFrame:
         _blank_to_null(F.col("from_name"), False).alias("from_display_name"), _blank_to_null(F.col("from_raw")).alias("from_addr"),
         _blank_to_null(F.col("reply_raw")).alias("reply_to"), _blank_to_null(F.regexp_replace(F.trim("return_raw"), "^<|>$", "")).alias("return_path"),
         F.transform("to_raw", lambda a: F.lower(F.trim(a))).alias("to_addrs"), body_text(text, F.col("html")).alias("body_text"),
-        F.col("html").alias("body_html"), "headers", "parts")
+        F.col("html").alias("body_html"), "headers", "parts", "parse_error")
+
+
+def parse_failures(messages: DataFrame) -> DataFrame:
+    """Evidence rows of the messages that could not be decoded."""
+    bad = messages.filter(F.col("parse_error").isNotNull())
+    return bad.select("case_id", F.lit("PARSE").alias("analyzer"), F.lit("lane_error").alias("signal"), F.lit("ERROR").alias("status"), F.lit(0.0).alias("confidence"), F.col("parse_error").alias("detail"))
 
 
 def body_text(text: Column, html: Column) -> Column:
@@ -119,14 +141,13 @@ def header_values(headers: DataFrame, name: str) -> DataFrame:
 
 
 def svg_active_content(filename: Column, content_type: Column, content: Column) -> Column:
-    """Scripts, handlers and script links of an SVG; at most ten samples of 200
-    characters are reported (the report's format)."""
+    """Scripts, handlers and script links of an SVG, all of them and whole; reports cut what they show."""
     kind, name = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(filename, F.lit("")))
     is_svg = kind.contains("svg") | name.endswith(".svg") | name.endswith(".svgz")
     text = F.when(is_svg, F.decode(content, "UTF-8"))
     find = lambda p: F.regexp_extract_all(text, F.lit(rx(p)), F.lit(0))
     hits = F.concat(find(fx.SVG_SCRIPT_PATTERN), find(fx.SVG_HANDLER_PATTERN), find(fx.SVG_JSHREF_PATTERN))
-    tidy = F.transform(F.slice(hits, 1, 10), lambda h: F.substring(F.trim(F.regexp_replace(h, r"\s+", " ")), 1, 200))
+    tidy = F.transform(hits, lambda h: F.trim(F.regexp_replace(h, r"\s+", " ")))
     return F.when(F.coalesce(text.rlike(r"(?i)<svg[\s>]"), F.lit(False)), tidy).otherwise(F.array().cast("array<string>"))
 
 

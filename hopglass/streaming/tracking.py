@@ -14,14 +14,14 @@ MAX_TRIES = 4
 
 
 def clean_opens(opens: DataFrame) -> DataFrame:
-    """Ids must be well formed; the agent is cut to the stored field width."""
+    """Ids must be well formed; every field is kept whole."""
     tidy = F.regexp_replace("id", r"(?i)\.gif$", "")
-    return opens.withColumn("id", tidy).filter(F.col("id").rlike(fx.TRACK_ID_PATTERN)).withColumn("ua", F.substring("ua", 1, 300))
+    return opens.withColumn("id", tidy).filter(F.col("id").rlike(fx.TRACK_ID_PATTERN))
 
 
 def clean_sends(sends: DataFrame) -> DataFrame:
     return (sends.withColumn("id", F.trim("id")).filter(F.col("id").rlike(fx.TRACK_ID_PATTERN))
-            .withColumn("subject", F.substring(F.coalesce("subject", F.lit("(no subject)")), 1, 300)).withColumn("rcpt", F.substring("rcpt", 1, 300)))
+            .withColumn("subject", F.coalesce("subject", F.lit("(no subject)"))))
 
 
 def open_counts(opens: DataFrame) -> DataFrame:

@@ -143,3 +143,14 @@ def test_positions_without_one_sorting_task(spark):
     assert got == {i: i for i in range(1000)}
     ranks = {r.v: r["rank"] for r in rank_within(df, ["k"], ["v"]).collect()}
     assert ranks == got
+
+
+def test_many_hubs_per_case_stay_linear(spark):
+    """Thirty popular indicators in each of 20,000 cases: two classes of cases, whatever their number."""
+    kinds = F.expr("transform(sequence(0, 29), h -> named_struct('kind', 'url', 'value', concat('hub', cast(h + (id % 2) * 10 as string))))")
+    df = (spark.range(20_000).select(F.lit("o").alias("owner"), F.col("id").alias("case_id"), F.timestamp_seconds("id").alias("arrival"), F.inline(kinds)))
+    linked = graph.split_hubs(df, 1000)
+    got = {r["case_id"]: (r["related_cases"], r["shared_indicator_count"]) for r in graph.related_prior(linked, df).filter("case_id in (0, 1, 2, 19999)").collect()}
+    assert got == {0: (0, 0), 1: (1, 20), 2: (2, 30), 19_999: (19_999, 30)}
+    classes = sorted((len(r["shared"]), r["n_pairs"]) for r in graph.hub_pair_classes(linked).collect())
+    assert classes == [(20, 10_000 * 10_000), (30, 10_000 * 9_999 // 2), (30, 10_000 * 9_999 // 2)]

@@ -144,3 +144,25 @@ def test_retry_limits(spark):
     rows = [("a", "transient")] * 4 + [("b", "transient")] * 5 + [("c", "fatal")] + [("d", "transient"), ("d", "ok")]
     got = {r.msg_id: r.action for r in tracking.retry_plan(spark.createDataFrame(rows, "msg_id string, outcome string")).collect()}
     assert got == {"a": "retry", "b": "dead_letter", "c": "dead_letter", "d": "done"}
+
+
+POISON = [b"Subject: =?utf-8?b?a?=\r\n\r\nx", b"Message-ID: <\xff@x>\r\nReturn-Path: <\xfe@y>\r\n\r\nx", b"Content-Type: text/plain; charset=idna\r\n\r\n\xff\xfe..a", b"Content-Type: text/plain; charset=\"a\0b\"\r\n\r\nx",
+          b"From: =?x?q?=FF?= <a@b.c>\r\nDate: never\r\n\r\n\xff"]
+
+
+def test_hostile_messages_end_no_job(spark):
+    from hopglass.sources import mail
+
+    rows = [("o", f"m/{i}", None, raw) for i, raw in enumerate(POISON)]
+    df = spark.createDataFrame(rows, "owner string, path string, received_at timestamp, raw binary")
+    parsed = mail.parse_messages(df)
+    got = parsed.collect()
+    assert len(got) == len(POISON) and all(r["case_id"] and r["body_text"] is not None for r in got)
+    failed = {r["case_id"] for r in mail.parse_failures(parsed).collect()}
+    assert failed == {r["case_id"] for r in got if r["parse_error"]}
+
+
+def test_a_message_that_cannot_be_decoded_stays_as_an_error_row(spark, monkeypatch):
+    from hopglass.sources import mail
+
+    assert mail._decode(None)["parse_error"].startswith("TypeError") and mail._decode(None)["headers"] == []
