@@ -38,13 +38,16 @@ def scored_feed(verdicts: DataFrame, indicators: DataFrame) -> DataFrame:
 
 
 def correlate_batch(batch: DataFrame, stored: DataFrame | None, hub_degree: int = graph.HUB_DEGREE) -> DataFrame:
-    """Related earlier cases of the cases in ``batch``.  Stored rows count as
-    earlier; only those that share an indicator with the batch are read further."""
+    """Related earlier cases of the cases in ``batch``.  Stored cases count as
+    earlier whenever they arrived: the order is (stored or not, arrival, case_id), so a
+    late case of a later batch still meets them and each pair is reported once.  Only
+    stored rows that share an indicator with the batch are read further."""
     cases = batch.select("owner", "case_id").distinct()
     rows = batch.select("owner", "case_id", "arrival", "kind", "value")
     if stored is not None:
         old = stored.join(rows.select(*graph.EDGE).distinct(), graph.EDGE, "left_semi").join(cases, graph.CASE, "left_anti")
-        rows = rows.unionByName(old.select("owner", "case_id", "arrival", "kind", "value"))
+        before_all = F.lit("0001-01-01").cast(rows.schema["arrival"].dataType).alias("arrival")
+        rows = rows.unionByName(old.select("owner", "case_id", before_all, "kind", "value"))
     return graph.campaign_reuse(graph.related_prior(graph.split_hubs(rows, hub_degree), cases))
 
 

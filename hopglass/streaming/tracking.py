@@ -37,24 +37,27 @@ def tracked_mail(sends: DataFrame, opens: DataFrame) -> DataFrame:
             .withColumn("opened", F.col("opens") > 0))
 
 
-TRACK_STATE = "owner string, subject string, opens long, last_open timestamp"
+TRACK_STATE = "owner string, subject string, sent_at timestamp, opens long, last_open timestamp"
 TRACK_ROW = "id string, owner string, subject string, opens long, last_open timestamp"
 
 
 def track_updates(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """T05 as a stream: constant state per id, whichever half arrives first."""
-    owner, subject, opens, last = state.get if state.exists else (None, None, 0, None)
+    """T05 as a stream: constant state per id, whichever half arrives first; the newest
+    registration holds, also when an older one comes late."""
+    owner, subject, sent, opens, last = state.get if state.exists else (None, None, None, 0, None)
     for pdf in batches:
         sends = pdf[pdf["kind"] == "send"]
         if len(sends):
             row = sends.sort_values("at").iloc[-1]
-            owner, subject = row["owner"], row["subject"]
+            if sent is None or row["at"] >= pd.Timestamp(sent):
+                owner, subject, sent = row["owner"], row["subject"], row["at"]
         seen = pdf[pdf["kind"] == "open"]
         opens += len(seen)
         if len(seen):
             newest = seen["at"].max()
             last = newest if last is None or newest > pd.Timestamp(last) else last
-    state.update((owner, subject, opens, None if last is None else pd.Timestamp(last).to_pydatetime()))
+    plain = lambda t: None if t is None else pd.Timestamp(t).to_pydatetime()
+    state.update((owner, subject, plain(sent), opens, plain(last)))
     yield pd.DataFrame({"id": [key[0]], "owner": [owner], "subject": [subject], "opens": [opens], "last_open": [pd.Timestamp(last) if last is not None else pd.NaT]})
 
 

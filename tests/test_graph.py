@@ -154,3 +154,11 @@ def test_many_hubs_per_case_stay_linear(spark):
     assert got == {0: (0, 0), 1: (1, 20), 2: (2, 30), 19_999: (19_999, 30)}
     classes = sorted((len(r["shared"]), r["n_pairs"]) for r in graph.hub_pair_classes(linked).collect())
     assert classes == [(20, 10_000 * 10_000), (30, 10_000 * 9_999 // 2), (30, 10_000 * 9_999 // 2)]
+
+
+def test_stored_cases_count_as_earlier_for_late_ones(spark):
+    from hopglass.streaming.feed import correlate_batch
+
+    row = lambda case, day: ("o", case, datetime(2024, 1, day), "url", "bad.example.net")
+    stored, late = spark.createDataFrame([row(1, 2)], SCHEMA), spark.createDataFrame([row(2, 1)], SCHEMA)
+    assert [(r["case_id"], r["related_cases"]) for r in correlate_batch(late, stored).collect()] == [(2, 1)]
