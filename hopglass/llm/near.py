@@ -3,12 +3,12 @@
 A document's set is its distinct 5-word shingles (A-Z lower-cased), as 64-bit hashes.  Documents with equal sets are one
 class, represented by the smallest doc_id.  Of each set PERMUTATIONS MinHash samples are taken; ROWS samples make a band
 key, and all samples (number, value) are folded by parity into an odd sketch of SKETCH_BITS bits.  Two representatives
-that share a band are candidates if the population count of the XOR of their sketches is at most XOR_LIMIT (over six
-standard deviations above what a similarity of 0.75 gives); candidates are confirmed on their full sets.
+that share a band are candidates if the population count of the XOR of their sketches is at most XOR_LIMIT (over four
+standard deviations above what a similarity of 0.75 gives, mean 68, deviation 9); candidates are confirmed on their full sets.
 
 No group's pairs are all emitted.  Each band key first compares one leader with its members; the confirmed links give
 components.  While a key still holds members of several components, more of its members lead (GROWTH times as many each
-round, drawn by a hash of doc_id) and meet the members of other components only, each pair in the first band it shares.  A key is finished when its members are
+round, drawn by a hash of doc_id) and meet the members of other components only, a pair once in a round where the leader leads in one of the first HEAD bands that they share.  A key is finished when its members are
 one component or all have led, so every candidate pair is either compared or already connected, and no link that the
 bands show is lost.  At a similarity of 0.75 a pair shares no band with probability (1 - 0.75**ROWS)**BANDS < 1e-6.
 
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import id_and_text, lower_words_of, steps, table_cut
 from .text_stats import Numbers
 
-WORDS, BANDS, ROWS, SKETCH_BITS, XOR_LIMIT, GROWTH = 5, 40, 4, 512, 122, 8
+WORDS, BANDS, ROWS, SKETCH_BITS, XOR_LIMIT, GROWTH = 5, 40, 4, 512, 108, 8
 PERMUTATIONS = BANDS * ROWS
+#: Bands by which pairs that share several are told apart.
+HEAD = 8
 #: So many pairs (16 bytes each) are broadcast; more are joined by a shuffle.
 FEW_PAIRS = 200_000
 _RNG = np.random.default_rng(20_240_501)
@@ -176,7 +178,10 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min(rank).alias("lowest")).filter("size > 1")
     members = table_cut(bands.join(shared, "band").select("band", "size", "rep", (rank == F.col("lowest")).alias("first")))
     nodes = table_cut(members.select("rep").distinct())
-    sketches = table_cut(reps.join(nodes, reps["doc_id"] == nodes["rep"], "left_semi").select("doc_id", "sketch", "bands"))
+    sketches = table_cut(reps.join(nodes, reps["doc_id"] == nodes["rep"], "left_semi").select("doc_id", "n_shingles", "sketch", F.slice("bands", 1, HEAD).alias("head")))
+    in_head = members.join(sketches, members["rep"] == sketches["doc_id"]).filter(F.array_contains("head", F.col("band")))
+    heads = in_head.groupBy("rep").agg(F.collect_list(F.struct("band", "size")).alias("heads"))  # HEAD entries at most
+    sketches = table_cut(sketches.join(heads, sketches["doc_id"] == heads["rep"], "left").select("doc_id", "n_shingles", "sketch", F.coalesce("heads", F.array().cast("array<struct<band:bigint,size:bigint>>")).alias("heads")))
     whole = table_cut(sets(texts.join(nodes, texts["doc_id"] == nodes["rep"], "left_semi")))
     labels = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
 
@@ -190,16 +195,19 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = members.filter("size > 2").join(labels, members["rep"] == labels["node"]).select("band", "size", "rep", "label")
     undecided = rows.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("band")
     rows = table_cut(rows.join(undecided, "band", "left_semi").drop("label"))
-    place = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
+    draw = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)  # times a band's size: a member's place in it
     led, leaders, largest = 0, GROWTH, rows.agg(F.max("size")).first()[0] or 0
     while led < largest:
         wide = rows.filter(F.col("size") > led).join(labels, rows["rep"] == labels["node"]).join(sketches, rows["rep"] == sketches["doc_id"])
-        wide = wide.select("band", "rep", "label", "sketch", "bands", place.alias("place"))
-        a = wide.filter((F.col("place") >= led) & (F.col("place") < leaders)).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
-        b = wide.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
-        # two members meet in the first band they share only
-        meet = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.array_position("ba", a["band"])
-        pairs = a.join(b, (a["band"] == b["band"]) & (F.col("la") != F.col("lb")) & (differing("sa", "sb") <= XOR_LIMIT) & meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        wide = wide.select("band", "size", "rep", "label", "n_shingles", "sketch", "heads", draw.alias("draw"))
+        leads = lambda size: (F.col("draw") * size >= led) & (F.col("draw") * size < leaders)  # noqa: B023, E731
+        a = wide.filter(leads(F.col("size"))).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.transform(F.filter("heads", lambda h: leads(h["size"])), lambda h: h["band"]).alias("ba"))
+        b = wide.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("heads.band").alias("bb"))
+        # a leader meets a member once, if it leads in one of the first HEAD bands that they share
+        shared_head = F.array_intersect("ba", "bb")
+        meet = (F.size(shared_head) == 0) | (F.get(shared_head, F.lit(0)) == a["band"])
+        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # else no similarity of that height is possible
+        pairs = a.join(b, (a["band"] == b["band"]) & (F.col("la") != F.col("lb")) & sizes & (differing("sa", "sb") <= XOR_LIMIT) & meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = relabelled(labels, confirmed(pairs, whole, percent))
         led, leaders = leaders, leaders * GROWTH
 
