@@ -10,13 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import graph
 
 
-def inbox_scan(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """New inbox messages only: no sent mail or drafts, each id once.  The
-    cursor and the list of seen ids are the stream's checkpoint and state."""
-    inbox = messages.filter(~F.array_contains("labels", "SENT") & ~F.array_contains("labels", "DRAFT"))
-    return inbox.withWatermark("at", delay).dropDuplicatesWithinWatermark(["msg_id"])
-
-
 def write_batches(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame, int], DataFrame] | None = None,
                   available_now: bool = True) -> StreamingQuery:
     """Write every micro-batch to its own folder.  A replayed batch overwrites the
@@ -29,6 +22,22 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, make: Callable[
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def inbox_scan(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """New inbox messages only: no sent mail or drafts, each id once, however late
+    it comes.  The cursor is the stream's checkpoint; the seen ids are those that
+    earlier micro-batches have written."""
+    inbox = messages.filter(~F.array_contains("labels", "SENT") & ~F.array_contains("labels", "DRAFT"))
+
+    def new(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = batch.dropDuplicates(["msg_id"])
+        if batch_id == 0:
+            return rows
+        seen = batch.sparkSession.read.parquet(path).filter(F.col("batch") < batch_id).select("msg_id")
+        return rows.join(seen, "msg_id", "left_anti")
+
+    return write_batches(inbox, path, checkpoint, new)
+
+
 def scored_feed(verdicts: DataFrame, indicators: DataFrame) -> DataFrame:
     """``case_scored`` rows with the indicators of the case."""
     # a message is one row, so its indicators are bounded by one message
