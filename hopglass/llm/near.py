@@ -3,14 +3,16 @@
 A document's set is its distinct 5-word shingles (A-Z lower-cased), as 64-bit hashes.  Documents with equal sets are one
 class, represented by the smallest doc_id.  Of each set PERMUTATIONS MinHash samples are taken; ROWS samples make a band
 key, and all samples (number, value) are folded by parity into an odd sketch of SKETCH_BITS bits.  Two representatives
-that share a band are candidates if the population count of the XOR of their sketches is at most XOR_LIMIT (over four
+that share a band are candidates if the population count of the XOR of their sketches is at most XOR_LIMIT (six
 standard deviations above what a similarity of 0.75 gives, mean 68, deviation 9); candidates are confirmed on their full sets.
 
 No group's pairs are all emitted.  Each band key first compares one leader with its members; the confirmed links give
 components.  While a key still holds members of several components, more of its members lead (GROWTH times as many each
 round, drawn by a hash of doc_id) and meet the members of other components only, a pair once in a round where the leader leads in one of the first HEAD bands that they share.  A key is finished when its members are
 one component or all have led, so every candidate pair is either compared or already connected, and no link that the
-bands show is lost.  At a similarity of 0.75 a pair shares no band with probability (1 - 0.75**ROWS)**BANDS < 1e-6.
+bands show is lost but to the sketch.  At a similarity of 0.75 a pair shares no band with probability
+(1 - 0.75**ROWS)**BANDS = 2.5e-7, and its sketches differ in more than XOR_LIMIT bits with probability 4.5e-9: a link is
+missed with probability < 1e-6, both together.
 
 Texts without words (and null texts) have an empty set and are linked with nothing.  Rows without a doc_id take no part:
 component_id null, kept.  Repeated rows are copies; the row of the smallest id is kept (all of them, if the id repeats).
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, lower_words_of, steps, table_cut
 from .text_stats import Numbers
 
-WORDS, BANDS, ROWS, SKETCH_BITS, XOR_LIMIT, GROWTH = 5, 40, 4, 512, 108, 8
+WORDS, BANDS, ROWS, SKETCH_BITS, XOR_LIMIT, GROWTH = 5, 40, 4, 512, 122, 8
 PERMUTATIONS = BANDS * ROWS
 #: Bands by which pairs that share several are told apart.
 HEAD = 8

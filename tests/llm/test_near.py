@@ -1,5 +1,6 @@
 """Operator 4 against all pairs."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -105,3 +106,13 @@ def test_leaders_connect_a_large_group_of_different_near_copies(spark):
         rows.append((i, " ".join(copy)))
     df = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], SCHEMA).repartition(4)
     assert result(df) == brute_force(rows)
+
+
+def test_bands_and_sketch_together_miss_less_than_one_pair_in_a_million():
+    odd, missed = np.zeros(near.SKETCH_BITS + 1), 0.0  # distribution of the number of odd bits, one differing sample after the other
+    odd[0], k = 1.0, np.arange(near.SKETCH_BITS + 1) / near.SKETCH_BITS
+    for differ in range(near.PERMUTATIONS + 1):
+        missed += math.comb(near.PERMUTATIONS, differ) * 0.25**differ * 0.75 ** (near.PERMUTATIONS - differ) * odd[near.XOR_LIMIT + 1 :].sum()
+        for _ in range(2):
+            odd = np.append((odd * k)[1:], 0) + np.append(0, (odd * (1 - k))[:-1])
+    assert missed + (1 - 0.75**near.ROWS) ** near.BANDS < 1e-6
