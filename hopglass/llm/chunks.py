@@ -2,7 +2,8 @@
 
 A space with a non-space character on either side always starts a new match of the tokenizers' split pattern, so a text
 may be cut there and each chunk (with its leading space) encoded by itself.  Chunks repeat a lot; their ids are kept in a
-table of bounded size.  A text where a space stands beside other white space is encoded whole."""
+table of bounded size.  A text where a space stands beside other white space is encoded whole, and so is one that
+``uncut`` finds a mark in."""
 
 from __future__ import annotations
 
@@ -19,14 +20,15 @@ KEEP = 700_000
 
 class ChunkCoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes.  ``whole`` encodes strings; ``spaced`` encodes the chunks of
-    a string in which each chunk follows one space, and gives a string of ids for each."""
+    a string in which each chunk follows one space, and gives a string of ids for each.  Texts for which ``uncut`` gives
+    something true only go to ``whole``."""
 
-    def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], spaced: Callable[[str], list[bytes]], keep: int = KEEP):
-        self.whole, self.spaced, self.keep = whole, spaced, keep
+    def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], spaced: Callable[[str], list[bytes]], keep: int = KEEP, uncut: Callable[[str], object] | None = None):
+        self.whole, self.spaced, self.keep, self.uncut = whole, spaced, keep, uncut
         self.numbers, self.ids = Numbers(), []
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
+        cut = [[t] if self.uncut and self.uncut(t) else t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
         if len(self.ids) > self.keep:
             self.numbers, self.ids = Numbers(), []

@@ -29,12 +29,12 @@ from .tokens import coder
 BLOCK_ROWS = 16_384
 
 
-def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, encode_special_tokens: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece; ``encode_special_tokens`` as in ``tokens``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        chunks = coder(path)
+        chunks = coder(path, encode_special_tokens)
         for keys, texts in steps(batches):
             rows: list[tuple] = []
             for key, ids in zip(keys, chunks.encode(texts), strict=True):
@@ -112,5 +112,5 @@ def packed(parts: DataFrame, size: int = 2048) -> DataFrame:
     return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    return packed(pieces(docs, path, size, end_id), size)
+def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, encode_special_tokens: bool = True) -> DataFrame:
+    return packed(pieces(docs, path, size, end_id, encode_special_tokens), size)

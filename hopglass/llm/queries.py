@@ -66,9 +66,9 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_counts.by_limit(token_counts.histogram(token_counts.lengths(docs, public_tokenizers.path("byte_bpe_50k.json"))))
+    return token_counts.by_limit(token_counts.histogram(token_counts.lengths(docs, public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)))
 
 
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)

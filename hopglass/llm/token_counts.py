@@ -19,11 +19,11 @@ from .tokens import coder
 RANGE = 4096
 
 
-def lengths(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and n_tokens of every document."""
+def lengths(docs: DataFrame, path: str, encode_special_tokens: bool = True) -> DataFrame:
+    """doc_id and n_tokens of every document; ``encode_special_tokens`` as in ``tokens``."""
 
     def run(batches):
-        chunks = coder(path)
+        chunks = coder(path, encode_special_tokens)
         for keys, texts in steps(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in chunks.encode(texts)], pa.int64())], ["doc_id", "n_tokens"])
 

@@ -129,3 +129,31 @@ def test_fullest_against_brute_force():
         assert chosen[top] >= 1 and all(k <= counts[x] for x, k in chosen.items())
         best = max(s for ks in product(*(range(c + 1) for c in counts.values())) if (s := sum(x * k for x, k in zip(counts, ks, strict=True))) <= 40 and ks[list(counts).index(top)])
         assert sum(x * k for x, k in chosen.items()) == best
+
+
+MARKED = [*TEXTS, "a<|endoftext|>b c", "<|endoftext|>", " <|endoftext|> hi", "x <|endoftext|><|endoftext|>\n y", "a b <|endoftext|>c d", "<|endoftext|", "one two <|endoftext|>  three  four"]
+
+
+def test_added_tokens_are_found_as_tokenizers_does_by_default():
+    t = Tokenizer.from_file(JSON)
+    texts = MARKED + [x.replace("q", "<|endoftext|>") for x in random_texts(300, 9)] + random_texts(300, 10)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(50256 in w for w in want) > 5
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder(JSON, False).encode(texts)] == want
+    for x, w in zip(texts, want, strict=True):
+        assert np.frombuffer(coder(JSON, False).encode([x])[0], "<u4").tolist() == w
+
+
+def test_queries_find_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from hopglass.llm import queries
+
+    t = Tokenizer.from_file(JSON)
+    spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(MARKED)}
+    got = {r["context_limit"]: r["n_docs"] for r in queries.op9_token_counts(spark, str(tmp_path)).collect()}
+    assert got == dict(Counter(map(len, want.values())))
+    for found in (queries.op10_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))):
+        for r in found.collect():
+            ids = [*want[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]]
+            assert len(ids) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
