@@ -1,7 +1,8 @@
 """Operator 4: near-duplicate documents by MinHash, bands and odd sketches.
 
 A document's set is its distinct 5-word shingles (A-Z lower-cased), as 64-bit hashes.  Documents with equal sets are one
-class, represented by the smallest doc_id.  Of each set PERMUTATIONS MinHash samples are taken; ROWS samples make a band
+class, represented by a row of its smallest doc_id (a node; its number is a row number, so an id may stand at several
+texts).  Of each set PERMUTATIONS MinHash samples are taken; ROWS samples make a band
 key, and all samples (number, value) are folded by parity into an odd sketch of SKETCH_BITS bits.  Two representatives
 that share a band are candidates if the population count of the XOR of their sketches is at most XOR_LIMIT (six
 standard deviations above what a similarity of 0.75 gives, mean 68, deviation 9); candidates are confirmed on their full sets.
@@ -15,8 +16,9 @@ bands show is lost but to the sketch.  At a similarity of 0.75 a pair shares no
 missed with probability < 1e-6, both together.
 
 Texts without words (and null texts) have an empty set and are linked with nothing.  Rows without a doc_id take no part:
-component_id null, kept.  Repeated rows are copies; the row of the smallest id is kept (all of them, if the id repeats).
-An empty table gives no rows."""
+component_id null, kept.  Repeated rows are copies; of each component one row is kept, of its smallest id, and if that
+repeats, of the smallest text digest.  Different texts under one id are told apart: each has its own component and its own
+verdict, though component_id, the smallest id of a component, may then be the same for both.  An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -104,7 +106,7 @@ def estimate(ones: np.ndarray | float) -> np.ndarray | float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), sketch and band keys of every document."""
+    """doc_id, text_key, n_shingles, digest of the set (null if empty), sketch and band keys of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -112,21 +114,26 @@ def signatures(docs: DataFrame) -> DataFrame:
             own = [shingles(t, hashes) for t in texts]
             best = np.array([samples(s) for s in own], np.uint32).reshape(-1, PERMUTATIONS)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(digest, pa.binary()), pa.array(list(odd_sketches(best)), pa.list_(pa.int64())), pa.array(list(band_keys(best)), pa.list_(pa.int64()))],
-                                             ["doc_id", "n_shingles", "digest", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(digest, pa.binary()), pa.array(list(odd_sketches(best)), pa.list_(pa.int64())), pa.array(list(band_keys(best)), pa.list_(pa.int64()))],
+                                             ["doc_id", "text_key", "n_shingles", "digest", "sketch", "bands"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, sketch array<long>, bands array<long>")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id and set (sorted array of hashes)."""
+def text_key() -> F.Column:
+    """Digest of the text, as in ``signatures``; with doc_id it tells rows apart."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """node and set (sorted array of hashes) of rows (node, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for keys, texts in steps(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([shingles(t, hashes).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["doc_id", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([shingles(t, hashes).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["node", "own"])
 
-    return docs.mapInArrow(run, "doc_id long, own array<long>")
+    return texts.mapInArrow(run, "node long, own array<long>")
 
 
 def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,9 +155,9 @@ def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.  Few pairs (their number is checked) are broadcast to the sets."""
     pairs = table_cut(pairs)
     side = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
-    held = whole.join(side, whole["doc_id"] == side["a"]).select("a", "b", F.col("own").alias("xa"))
+    held = whole.join(side, whole["node"] == side["a"]).select("a", "b", F.col("own").alias("xa"))
     both = F.size(F.array_intersect("xa", "own"))
-    return whole.join(held, whole["doc_id"] == held["b"]).filter(100 * both >= percent * (F.size("xa") + F.size("own") - both)).select("a", "b").distinct()
+    return whole.join(held, whole["node"] == held["b"]).filter(100 * both >= percent * (F.size("xa") + F.size("own") - both)).select("a", "b").distinct()
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -168,29 +175,32 @@ def differing(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    texts = id_and_text(docs)
-    all_rows = table_cut(signatures(docs))
+def decided(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept of every row."""
+    texts = id_and_text(docs).withColumn("text_key", text_key())
+    all_rows = table_cut(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
     own = all_rows.filter("doc_id is not null and digest is not null")
-    classes = table_cut(own.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = own.filter("n_shingles > 1").join(classes, (own["digest"] == classes["digest"]) & (own["doc_id"] == classes["rep"]), "left_semi")
+    classes = table_cut(own.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min_by("row", "doc_id").alias("rep")))
+    reps = own.filter("n_shingles > 1").join(classes, own["row"] == classes["rep"], "left_semi")
     rank = F.xxhash64("rep")
-    bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).repartition("band")  # one exchange serves both uses below
+    bands = reps.select(F.col("row").alias("rep"), F.explode("bands").alias("band")).repartition("band")  # one exchange serves both uses below
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min(rank).alias("lowest")).filter("size > 1")
     members = table_cut(bands.join(shared, "band").select("band", "size", "rep", (rank == F.col("lowest")).alias("first")))
     nodes = table_cut(members.select("rep").distinct())
-    sketches = table_cut(reps.join(nodes, reps["doc_id"] == nodes["rep"], "left_semi").select("doc_id", "n_shingles", "sketch", F.slice("bands", 1, HEAD).alias("head")))
-    in_head = members.join(sketches, members["rep"] == sketches["doc_id"]).filter(F.array_contains("head", F.col("band")))
+    sketches = table_cut(reps.join(nodes, reps["row"] == nodes["rep"], "left_semi").select(F.col("row").alias("node"), "doc_id", "text_key", "n_shingles", "sketch", F.slice("bands", 1, HEAD).alias("head")))
+    in_head = members.join(sketches, members["rep"] == sketches["node"]).filter(F.array_contains("head", F.col("band")))
     heads = in_head.groupBy("rep").agg(F.collect_list(F.struct("band", "size")).alias("heads"))  # HEAD entries at most
-    sketches = table_cut(sketches.join(heads, sketches["doc_id"] == heads["rep"], "left").select("doc_id", "n_shingles", "sketch", F.coalesce("heads", F.array().cast("array<struct<band:bigint,size:bigint>>")).alias("heads")))
-    whole = table_cut(sets(texts.join(nodes, texts["doc_id"] == nodes["rep"], "left_semi")))
+    sketches = table_cut(sketches.join(heads, sketches["node"] == heads["rep"], "left").select("node", "doc_id", "text_key", "n_shingles", "sketch", F.coalesce("heads", F.array().cast("array<struct<band:bigint,size:bigint>>")).alias("heads")))
+    whole = table_cut(sets(texts.join(sketches.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).select("node", "text")))
+    if whole.count() > nodes.count():  # rows that repeat a node's id and text
+        more = whole.groupBy("node").count().filter("count > 1").select("node")
+        whole = table_cut(whole.join(more, "node", "left_anti").union(whole.join(more, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))))
     labels = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
 
     # first round: each band's members meet its first one
     firsts = members.filter("first").select("band", F.col("rep").alias("a"))
     pairs = members.filter("not first").select("band", F.col("rep").alias("b")).join(firsts, "band").filter("a <> b").select("a", "b").distinct()
-    sa, sb = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
+    sa, sb = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     labels = relabelled(labels, confirmed(pairs.join(sa, "a").join(sb, "b").filter(differing("sa", "sb") <= XOR_LIMIT).select("a", "b"), whole, percent))
 
     # further rounds: more members lead, against members of other components, in the bands that the first round left undecided
@@ -200,7 +210,7 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     draw = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)  # times a band's size: a member's place in it
     led, leaders, largest = 0, GROWTH, rows.agg(F.max("size")).first()[0] or 0
     while led < largest:
-        wide = rows.filter(F.col("size") > led).join(labels, rows["rep"] == labels["node"]).join(sketches, rows["rep"] == sketches["doc_id"])
+        wide = rows.filter(F.col("size") > led).join(labels, rows["rep"] == labels["node"]).join(sketches, rows["rep"] == sketches["node"])
         wide = wide.select("band", "size", "rep", "label", "n_shingles", "sketch", "heads", draw.alias("draw"))
         leads = lambda size: (F.col("draw") * size >= led) & (F.col("draw") * size < leaders)  # noqa: B023, E731
         a = wide.filter(leads(F.col("size"))).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.transform(F.filter("heads", lambda h: leads(h["size"])), lambda h: h["band"]).alias("ba"))
@@ -213,14 +223,25 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
         labels = relabelled(labels, confirmed(pairs, whole, percent))
         led, leaders = leaders, leaders * GROWTH
 
-    member_of = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("found"))
-    out = all_rows.select("doc_id", "n_shingles", "digest").join(member_of, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    member_of = table_cut(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "low", F.coalesce("label", "rep").alias("label")))
+    member_of = member_of.join(member_of.groupBy("label").agg(F.min("low").alias("found")), "label").select("digest", "label", "found")
+    out = all_rows.select("row", "doc_id", "text_key", "n_shingles", "digest").join(member_of, "digest", "left")
+    out = table_cut(out.select("row", "doc_id", "text_key", "n_shingles", "label", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")))
+    first = out.filter("doc_id = component_id").groupBy("label", "doc_id").agg(F.min(F.struct("text_key", "row")).alias("low")).select(F.col("low.row").alias("row"), F.lit(True).alias("first"))
+    return out.join(first, "row", "left").select("doc_id", "text_key", "n_shingles", "component_id", F.coalesce("first", F.col("doc_id").isNull()).alias("kept"))
+
+
+def components(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return decided(docs, percent).drop("text_key")
 
 
 def without_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each group, with the columns of ``docs``; of rows that repeat a kept id too, one."""
-    found = components(docs, percent).filter("not kept").select("doc_id").distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).join(found.withColumnRenamed("doc_id", "__id"), "__id", "left_anti").drop("__id")
-    return rows
+    found = decided(docs, percent).filter("doc_id is not null").withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    found = table_cut(found.groupBy("__id", "__key").agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")).filter("not __kept or __n > 1"))
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", text_key())
+    out, repeated = rows.join(found, ["__id", "__key"], "left_anti"), found.filter("__kept")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]))
+    return out.drop("__id", "__key")

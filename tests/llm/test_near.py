@@ -116,3 +116,20 @@ def test_bands_and_sketch_together_miss_less_than_one_pair_in_a_million():
         for _ in range(2):
             odd = np.append((odd * k)[1:], 0) + np.append(0, (odd * (1 - k))[:-1])
     assert missed + (1 - 0.75**near.ROWS) ** near.BANDS < 1e-6
+
+
+def test_one_row_a_group_and_one_verdict_a_text(spark):
+    words = [f"w{i}" for i in range(80)]
+    a, near_a, b = " ".join(words), " ".join([*words[:-1], "other"]), "quite another text of seven words"
+    rows = [(3, "a b c d e f g")] * 4 + [(5, "a b c d e f g")] * 3 + [(7, a), (7, b), (2, near_a), (7, b), (20, a), (20, near_a.upper()), (30, "p q r s t u"), (30, "P q r s t u"), (40, ""), (40, None), (None, a), (None, a)]
+    rows += [(50, "m " + a[::-1]), (50, "n " + a[::-1]), (60, "u v w x y z"), (60, "h i j k l m")]
+    df = spark.createDataFrame([(i, t, *"wxyz") for i, t in rows], SCHEMA).repartition(4)
+    kept = near.without_copies(df)
+    got = sorted(((r["doc_id"] or 0), (r["text"] or "").lower()) for r in kept.collect())
+    reversed_a = next(t for i, t in got if i == 50)[2:]
+    assert reversed_a == a[::-1]
+    assert [(i, t) for i, t in got if i != 50] == [(0, a), (0, a), (2, near_a), (3, "a b c d e f g"), (7, b), (30, "p q r s t u"), (40, ""), (60, "h i j k l m"), (60, "u v w x y z")]
+    assert kept.columns == df.columns and len(got) == 10
+    found = near.components(df).collect()
+    assert len(found) == len(rows) and sum(r["kept"] for r in found) == len(got)
+    assert sorted(r["component_id"] for r in found if r["doc_id"] == 7) == [2, 7, 7]
