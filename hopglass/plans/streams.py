@@ -31,13 +31,6 @@ def split_stream(src, files: int = 4):
     return src.spark.readStream.schema(src.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _run(stream, src, make=None):
-    d = work_dir(src.spark)
-    q = feed.write_batches(stream, f"{d}/out", f"{d}/checkpoint", make)
-    q.awaitTermination()
-    return src.spark.read.parquet(f"{d}/out")
-
-
 _RULES = [(r[1], r[3]) for r in dims.rule_rows() if r[0] == dims.LATEST][:39]
 _EV = f"""ev AS (SELECT e.user_id * 100000 + e.event_id % 7 AS case_id, CAST(e.event_id AS INT) AS pos, s.analyzer, s.signal,
     CASE e.event_type WHEN 'error' THEN 'UNAVAILABLE' WHEN 'signup' THEN 'CLEAR' ELSE 'TRIGGERED' END AS status, CAST(e.event_id % 16 + 1 AS DOUBLE) / 16 AS confidence, CAST(NULL AS STRING) AS detail
@@ -46,14 +39,16 @@ _EV = f"""ev AS (SELECT e.user_id * 100000 + e.event_id % 7 AS case_id, CAST(e.e
 
 @query("t01_live_feed", f"WITH {_EV}, {o.verdict_ctes(evidence='ev')} SELECT case_id, score, band FROM verdict")
 def t01(src):
-    """Evidence stream scored per micro-batch into a feed table."""
+    """Evidence stream of several files; each micro-batch scores the cases it touches from all their evidence so far."""
     signals = src.d_signals
-    stream = event_stream(src).select(
+    stream = split_stream(src).select(
         (F.col("user_id") * 100000 + F.col("event_id") % 7).alias("case_id"), F.col("event_id").cast("int").alias("pos"), (F.col("event_id") % 41).alias("idx"),
         F.when(F.col("event_type") == "error", "UNAVAILABLE").when(F.col("event_type") == "signup", "CLEAR").otherwise("TRIGGERED").alias("status"),
         ((F.col("event_id") % 16 + 1) / 16).alias("confidence"), F.lit(None).cast("string").alias("detail"))
-    make = lambda batch, _: scoring.score_cases(batch.join(signals, "idx")).select("case_id", "score", "band")
-    return _run(stream, src, make).select("case_id", "score", "band")
+    d = work_dir(src.spark)
+    score = lambda evidence: scoring.score_cases(evidence.join(signals, "idx")).select("case_id", "score", "band")
+    feed.verdict_stream(stream, score, f"{d}/evidence", f"{d}/out", f"{d}/checkpoint").awaitTermination()
+    return feed.newest_verdicts(src.spark, f"{d}/out")
 
 
 @query("t02_inbox_scan", "SELECT DISTINCT event_id // 3 AS msg_id FROM events WHERE event_type NOT IN ('click', 'error')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import graph
@@ -38,6 +38,25 @@ def inbox_scan(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return write_batches(inbox, path, checkpoint, new)
 
 
+def verdict_stream(evidence: DataFrame, score: Callable[[DataFrame], DataFrame], store: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch is added to the stored evidence, and the cases it touches are scored again from all evidence
+    stored so far.  A replayed batch overwrites its own folders and sees no later ones; ``newest_verdicts`` reads the result."""
+    def make(batch: DataFrame, batch_id: int) -> DataFrame:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        stored = batch.sparkSession.read.parquet(store).filter(F.col("batch") <= batch_id)
+        touched = stored.filter(F.col("batch") == batch_id).select("case_id").distinct()
+        return score(stored.drop("batch").join(touched, "case_id", "left_semi"))
+
+    return write_batches(evidence, path, checkpoint, make)
+
+
+def newest_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """The verdict of the last batch that touched each case."""
+    rows = spark.read.parquet(path)
+    names = [c for c in rows.columns if c not in ("case_id", "batch")]
+    return rows.groupBy("case_id").agg(F.max_by(F.struct(*names), "batch").alias("_last")).select("case_id", *(f"_last.{c}" for c in names))
+
+
 def scored_feed(verdicts: DataFrame, indicators: DataFrame) -> DataFrame:
     """``case_scored`` rows with the indicators of the case."""
     # a message is one row, so its indicators are bounded by one message
