@@ -36,9 +36,9 @@ MAX_WORDS, THRESHOLD, TOP = 4, 30, 2000
 #: Bits of the survivors' bitmap, 4 MB: a constant, more bits let fewer n-grams through in vain.
 FILTER_BITS = 1 << 25
 #: Words counted at a time inside a task; a longer text is a step of its own.
-STEP_WORDS, STEP_VOCABULARY = 1 << 21, 1 << 20
-#: Bytes of text behind one hash partition of the summaries.
-PARTITION_BYTES = 64 << 20
+STEP_WORDS, STEP_VOCABULARY = 1 << 19, 1 << 17
+#: Bytes of text behind one task of the summaries, and hash partitions that a task goes through one after the other.
+PARTITION_BYTES, BUCKETS = 64 << 20, 8
 #: Every byte to itself, A-Z to a-z, the ends of pieces to a line feed, tabs to spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 EMPTY, END = 0, 1
@@ -124,7 +124,7 @@ def grown(step: Step, bitmap: np.ndarray | None) -> dict[int, np.ndarray]:
     return {1: step.inside[1], 2: pairs, 3: pairs[:-1] & pairs[1:], 4: pairs[:-2] & pairs[1:-1] & pairs[2:]}
 
 
-def partial_counts(texts: DataFrame, sizes: tuple[int, ...], partitions: int, bitmap=None, step_words: int = STEP_WORDS) -> DataFrame:
+def partial_counts(texts: DataFrame, sizes: tuple[int, ...], buckets: int, bitmap=None, step_words: int = STEP_WORDS) -> DataFrame:
     """bucket (hash partition), kind, key, n: counts of n-grams by step (kind 1), and the mass of a task by bucket (kind 0)."""
     names = ["bucket", "kind", "key", "n"]
 
@@ -135,12 +135,12 @@ def partial_counts(texts: DataFrame, sizes: tuple[int, ...], partitions: int, bi
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
-        mass = np.zeros(partitions, np.int64)
+        mass = np.zeros(buckets, np.int64)
         for step in step_texts(batches, step_words):
             places = grown(step, known)
             key, n = np.unique(np.concatenate([step.keys(size)[places[size]] for size in sizes]), return_counts=True)
-            bucket = (key >> np.uint64(32)) % np.uint64(partitions)
-            mass += np.bincount(bucket.astype(np.int64), n, partitions).astype(np.int64)
+            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+            mass += np.bincount(bucket.astype(np.int64), n, buckets).astype(np.int64)
             yield from rows(bucket.astype(np.int32), 1, key, n)
         used = np.flatnonzero(mass)
         yield from rows(used.astype(np.int32), 0, np.zeros(len(used), np.uint64), mass[used])
@@ -272,9 +272,9 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, filter_bits: int = FIL
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null and text <> ''")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES + 1)
-    short = bitmap_of(survivors(partial_counts(texts, (1, 2), partitions, None, step_words), partitions, threshold), filter_bits)
+    short = bitmap_of(survivors(partial_counts(texts, (1, 2), partitions * BUCKETS, None, step_words), partitions, threshold), filter_bits)
     held = spark.sparkContext.broadcast(short.tobytes())
-    long = bitmap_of(survivors(partial_counts(texts, (3, 4), partitions, held, step_words), partitions, threshold), filter_bits)
+    long = bitmap_of(survivors(partial_counts(texts, (3, 4), partitions * BUCKETS, held, step_words), partitions, threshold), filter_bits)
     exact = exact_counts(texts, spark.sparkContext.broadcast((short | long).tobytes()), step_words)
     return exact.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= threshold) | (F.col("words") == 0))
 
