@@ -36,7 +36,7 @@ MAX_WORDS, THRESHOLD, TOP = 4, 30, 2000
 #: Bits of the survivors' bitmap, 4 MB: a constant, more bits let fewer n-grams through in vain.
 FILTER_BITS = 1 << 25
 #: Words counted at a time inside a task; a longer text is a step of its own.
-STEP_WORDS, STEP_VOCABULARY = 1 << 19, 1 << 17
+STEP_WORDS, STEP_VOCABULARY = 1 << 18, 1 << 16
 #: Bytes of text behind one task of the summaries, and hash partitions that a task goes through one after the other.
 PARTITION_BYTES, BUCKETS = 64 << 20, 8
 #: Every byte to itself, A-Z to a-z, the ends of pieces to a line feed, tabs to spaces.
@@ -74,21 +74,23 @@ class Step:
         self.vocabulary, self.names = vocabulary, sorted(set(langs))
         number = {name: i for i, name in enumerate(self.names)}
         self.ids = np.concatenate(parts)
-        self.lang = np.repeat(np.array([number[x] for x in langs], np.int64), [len(p) for p in parts])
+        self.lang = np.repeat(np.array([number[x] for x in langs], np.int32), [len(p) for p in parts])
+        self.hashes = np.array(vocabulary.hashes, np.uint64)[self.ids]
+        self.found: dict[int, np.ndarray] = {}
         self.inside = {1: self.ids != END}
         for n in range(2, MAX_WORDS + 1):
             self.inside[n] = self.inside[n - 1][:-1] & self.inside[1][n - 1 :] if len(self.ids) >= n else np.zeros(0, bool)
 
     def keys(self, n: int) -> np.ndarray:
         """64-bit keys of the n-gram, with its language, at every place where n words fit."""
-        hashes = np.array(self.vocabulary.hashes, np.uint64)[self.ids]
-        langs = np.array([hash_of(x.encode()) for x in self.names], np.uint64)[self.lang]
-        size = max(len(self.ids) - n + 1, 0)
-        with np.errstate(over="ignore"):
-            own = langs[:size] + np.uint64(n)
-            for k in range(n):
-                own += mixed(hashes[k : k + size] + _FACTORS[k]) * _FACTORS[k]
-            return mixed(own)
+        if n not in self.found:
+            size = max(len(self.ids) - n + 1, 0)
+            with np.errstate(over="ignore"):
+                own = np.array([hash_of(x.encode()) for x in self.names], np.uint64)[self.lang[:size]] + np.uint64(n)
+                for k in range(n):
+                    own += mixed(self.hashes[k : k + size] + _FACTORS[k]) * _FACTORS[k]
+                self.found[n] = mixed(own)
+        return self.found[n]
 
 
 def step_texts(batches: Iterable[pa.RecordBatch], step_words: int = STEP_WORDS) -> Iterator[Step]:
