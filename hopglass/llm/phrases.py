@@ -18,12 +18,12 @@ larger count, then to the smaller phrase in byte order.  Further columns are lef
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ MAX_WORDS, THRESHOLD, TOP = 4, 30, 2000
 #: Bits of the survivors' bitmap, 4 MB: a constant, more bits let fewer n-grams through in vain.
 FILTER_BITS = 1 << 25
 #: Words counted at a time inside a task; a longer text is a step of its own.
-STEP_WORDS, STEP_VOCABULARY = 1 << 18, 1 << 16
+STEP_WORDS, STEP_VOCABULARY = 1 << 18, 1 << 17
 #: Bytes of text behind one task of the summaries, and hash partitions that a task goes through one after the other.
 PARTITION_BYTES, BUCKETS = 64 << 20, 8
 #: Every byte to itself, A-Z to a-z, the ends of pieces to a line feed, tabs to spaces.
@@ -46,7 +46,7 @@ _FACTORS = np.random.default_rng(20_260_311).integers(0, 1 << 64, MAX_WORDS + 1,
 
 
 def hash_of(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(word)
 
 
 class Vocabulary(dict):
@@ -127,13 +127,12 @@ def grown(step: Step, bitmap: np.ndarray | None) -> dict[int, np.ndarray]:
 
 
 def partial_counts(texts: DataFrame, sizes: tuple[int, ...], buckets: int, bitmap=None, step_words: int = STEP_WORDS) -> DataFrame:
-    """bucket (hash partition), kind, key, n: counts of n-grams by step (kind 1), and the mass of a task by bucket (kind 0)."""
-    names = ["bucket", "kind", "key", "n"]
+    """Counts of n-grams by step, packed by bucket (hash partition): bucket, mass (null), keys, counts; ahead of them the mass of a task by
+    bucket (keys and counts null)."""
+    names = ["bucket", "mass", "keys", "counts"]
 
-    def rows(bucket, kind, key, n):
-        for i in range(0, len(key), 1 << 17):
-            at = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(np.full(len(key[at]), kind, np.int8)), pa.array(key[at].view(np.int64)), pa.array(n[at].astype(np.int64))], names)
+    def packed(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
@@ -141,13 +140,18 @@ def partial_counts(texts: DataFrame, sizes: tuple[int, ...], buckets: int, bitma
         for step in step_texts(batches, step_words):
             places = grown(step, known)
             key, n = np.unique(np.concatenate([step.keys(size)[places[size]] for size in sizes]), return_counts=True)
-            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-            mass += np.bincount(bucket.astype(np.int64), n, buckets).astype(np.int64)
-            yield from rows(bucket.astype(np.int32), 1, key, n)
+            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            mass += np.bincount(bucket, n, buckets).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key, n, bucket = key[order], n[order], bucket[order]
+            if len(key):
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                edges = np.append(first, len(key)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.nulls(len(first), pa.int64()), packed(key.view(np.int64), edges, pa.int64()), packed(n.astype(np.int32), edges, pa.int32())], names)
         used = np.flatnonzero(mass)
-        yield from rows(used.astype(np.int32), 0, np.zeros(len(used), np.uint64), mass[used])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32), pa.int32()), pa.array(mass[used], pa.int64()), pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.list_(pa.int32()))], names)
 
-    return texts.mapInArrow(run, "bucket int, kind byte, key long, n long")
+    return texts.mapInArrow(run, "bucket int, mass long, keys array<long>, counts array<int>")
 
 
 class Summary:
@@ -195,23 +199,21 @@ def survivors(counts: DataFrame, partitions: int, threshold: int) -> DataFrame:
 
         at, summary = None, Summary()
         for batch in batches:
-            bucket, kind, key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if i == j:
-                    continue
-                if bucket[i] != at:
+            bucket, mass = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, own in enumerate(bucket):
+                if own != at:
                     if at is not None:
                         yield done(summary)
-                    at, summary = bucket[i], Summary()
-                ahead = i + int((kind[i:j] == 0).sum())
-                summary.mass += int(n[i:ahead].sum())
-                summary.add(key[ahead:j], n[ahead:j], threshold)
+                    at, summary = own, Summary()
+                if mass[i] is not None:
+                    summary.mass += mass[i]
+                else:
+                    summary.add(*(batch.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3)), threshold)
         if at is not None:
             yield done(summary)
 
-    # the masses (kind 0) of a bucket come before its counts
-    return counts.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "key long")
+    # the masses of a bucket come before its counts
+    return counts.repartition(partitions, "bucket").sortWithinPartitions("bucket", F.col("mass").isNull()).mapInArrow(run, "key long")
 
 
 def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
