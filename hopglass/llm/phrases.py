@@ -37,8 +37,8 @@ MAX_WORDS, THRESHOLD, TOP = 4, 30, 2000
 FILTER_BITS = 1 << 25
 #: Words counted at a time inside a task; a longer text is a step of its own.
 STEP_WORDS, STEP_VOCABULARY = 1 << 18, 1 << 17
-#: Bytes of text behind one task of the summaries, and hash partitions that a task goes through one after the other.
-PARTITION_BYTES, BUCKETS = 64 << 20, 8
+#: Bytes of text behind one task of the summaries and behind one hash partition; a task goes through its partitions one after the other.
+PARTITION_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 8 << 20, 64
 #: Every byte to itself, A-Z to a-z, the ends of pieces to a line feed, tabs to spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 EMPTY, END = 0, 1
@@ -276,9 +276,10 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, filter_bits: int = FIL
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null and text <> ''")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES + 1)
-    short = bitmap_of(survivors(partial_counts(texts, (1, 2), partitions * BUCKETS, None, step_words), partitions, threshold), filter_bits)
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES + 1)  # follows the data, not the session
+    short = bitmap_of(survivors(partial_counts(texts, (1, 2), buckets, None, step_words), partitions, threshold), filter_bits)
     held = spark.sparkContext.broadcast(short.tobytes())
-    long = bitmap_of(survivors(partial_counts(texts, (3, 4), partitions * BUCKETS, held, step_words), partitions, threshold), filter_bits)
+    long = bitmap_of(survivors(partial_counts(texts, (3, 4), buckets, held, step_words), partitions, threshold), filter_bits)
     exact = exact_counts(texts, spark.sparkContext.broadcast((short | long).tobytes()), step_words)
     return exact.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= threshold) | (F.col("words") == 0))
 
