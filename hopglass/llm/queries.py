@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, factorization, hmm, near, negatives, packing, pages, phrases, pii, rules, token_counts
+from . import ann, bpe, factorization, hmm, jaccard, near, negatives, packing, pages, phrases, pii, rules, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Operators 1 to 10 are not expressible in SQL as a whole (trees, tokenizers, models, max-flow, search); tests use brute force.
-ORACLES: dict[str, str] = {"op11_phrases": phrases.ORACLE, "op13_hard_negatives": negatives.ORACLE}
+ORACLES: dict[str, str] = {"op11_phrases": phrases.ORACLE, "op12_ngram_jaccard": jaccard.ORACLE, "op13_hard_negatives": negatives.ORACLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -79,6 +79,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, negatives.shifted())
