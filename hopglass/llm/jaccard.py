@@ -38,6 +38,8 @@ from .phrases import FILTER_BITS, bitmap_of, let_through
 WORDS, PERCENT = 4, 85
 #: Share of the hash range whose tokens decide which documents are active.
 SHARE = 0.35
+#: Tokens behind one hash partition of the count.
+BUCKET_TOKENS, LEAST_BUCKETS = 1 << 20, 64
 #: Members of an inverted list that meet inside one task at a time.
 BLOCK = 1024
 #: 64-bit words of the parity bitmaps, by set size: the larger ones from LARGE tokens on.
@@ -80,10 +82,55 @@ def signatures(docs: DataFrame, share: float) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, tokens array<long>")
 
 
+def tokens_alone(reps: DataFrame, buckets: int) -> DataFrame:
+    """node and how many of its tokens (column ``tokens``) occur in no other node.
+
+    Tokens are dealt to hash partitions, packed by step in the order of their nodes, which then take hardly any room.  A token that
+    is found twice in a step is sent once, without a node, so a popular one is one entry per step."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, sizes = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
+            node = np.repeat(batch.column(0).to_numpy(), sizes)
+            own, first, count = np.unique(token, return_index=True, return_counts=True)
+            if not len(own):
+                continue
+            node = np.where(count == 1, node[first], -1)
+            bucket = ((own.view(np.uint64) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((node, bucket))
+            own, node, bucket = own[order], node[order], bucket[order]
+            start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            edges = pa.array(np.append(start, len(own)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.ListArray.from_arrays(edges, pa.array(own)), pa.ListArray.from_arrays(edges, pa.array(node))], ["bucket", "tokens", "nodes"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(tokens, nodes):
+            _, first, times = np.unique(np.concatenate(tokens), return_index=True, return_counts=True)
+            node = np.concatenate(nodes)[first]
+            node, n = np.unique(node[(times == 1) & (node >= 0)], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["node", "alone"])
+
+        at, tokens, nodes = None, [], []
+        for batch in batches:
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != at:
+                    if at is not None:
+                        yield done(tokens, nodes)
+                    at, tokens, nodes = bucket, [], []
+                tokens.append(batch.column(1)[i].values.to_numpy())
+                nodes.append(batch.column(2)[i].values.to_numpy())
+        if at is not None:
+            yield done(tokens, nodes)
+
+    packed = reps.select("node", "tokens").mapInArrow(pack, "bucket int, tokens array<long>, nodes array<long>")
+    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "node long, alone long")
+    return counts.groupBy("node").agg(F.sum("alone").alias("alone"))
+
+
 def active_nodes(reps: DataFrame, percent: int) -> DataFrame:
     """node, doc_id, text_key of the representatives that may have a partner at all."""
-    tokens = reps.select("node", F.explode("tokens").alias("token"))
-    alone = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    total = reps.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    alone = tokens_alone(reps, max(LEAST_BUCKETS, total // BUCKET_TOKENS + 1))
     small = -(-percent // (100 - percent))  # smaller sets have no partner but themselves
     return reps.filter(F.col("n_shingles") >= small).join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= slack(F.col("n_shingles"), percent)).select("node", "doc_id", "text_key")
 
