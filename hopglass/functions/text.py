@@ -98,7 +98,7 @@ def invisible_runs(col: Column) -> Column:
 def with_obfuscation_report(df, text: str, out: str = "report"):
     """Mixed-script words and invisible runs of a text column."""
     df = df.withColumn("_mixed", mixed_script_words(F.col(text))).withColumn("_runs", invisible_runs(F.col(text)))
-    report = F.struct(F.slice("_mixed", 1, 5).alias("mixed_script_words"), F.size("_mixed").alias("mixed_script_count"),
+    report = F.struct(F.col("_mixed").alias("mixed_script_words"), F.size("_mixed").alias("mixed_script_count"),
                       F.col("_runs").alias("invisible_runs"), ((F.size("_mixed") > 0) | (F.col("_runs") >= 1)).alias("obfuscated"))
     return df.withColumn(out, report).drop("_mixed", "_runs")
 

@@ -12,18 +12,25 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fx
-from ..functions.domains import domain_of, registrable, same_org, suffix_related
-from ..functions.net import in_ranges, ipv4_number, v4_public, v4_unroutable, with_ip_facts
+from ..functions.domains import SuffixRules, domain_of, registrable, same_org, suffix_related
+from ..functions.net import in_networks, usable_cidrs, with_address_key, with_ip_facts, with_routability
 from ..functions.text import rx
 from .evidence import emit, finding
 
 
 @dataclass(frozen=True)
 class Infrastructure:
-    """Receiving hosts and networks we control; defaults always included."""
+    """Receiving hosts and networks (IPv4 or IPv6) we control; default hosts always included."""
     hosts: tuple[str, ...] = ()
     cidrs: tuple[str, ...] = ()
 
+    def networks(self) -> list[str]:
+        return usable_cidrs(self.cidrs)[0]
+
+    def unreadable(self) -> list[str]:
+        """CIDRs that take no part because they cannot be read."""
+        return usable_cidrs(self.cidrs)[1]
+
     def trusted_hosts(self) -> list[str]:
         named = [h.strip().lower() for h in self.hosts if h and h.strip()]
         return sorted(set(fx.DEFAULT_TRUSTED_HOSTS) | set(named))
@@ -79,29 +86,33 @@ def hops_of_messages(messages: DataFrame) -> DataFrame:
     return _hop_fields(messages.select("case_id", F.posexplode_outer(lines).alias("seq", "raw")).filter(F.col("raw").isNotNull()))
 
 
-def boundary(hops: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
-    """One row per case with the trust boundary.
+def _ours(infra: Infrastructure) -> Column:
+    ours = F.coalesce(F.lower(F.trim("by_host")).isin(infra.trusted_hosts()), F.lit(False))
+    return ours | in_networks(F.col("_net"), infra.networks()) if infra.networks() else ours
+
+
+def with_boundary(hops: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
+    """Every hop with its case's trust boundary.
 
     The trusted run is contiguous from the final delivery down, so it is what lies
-    above the highest hop we cannot vouch for: an aggregate, no ordering needed."""
-    ours = F.coalesce(F.lower(F.trim("by_host")).isin(infra.trusted_hosts()), F.lit(False))
-    if infra.cidrs:
-        hops = hops.withColumn("_num", ipv4_number(F.col("from_ip")))
-        ours = ours | in_ranges(F.col("_num"), list(infra.cidrs))
-    per_case = hops.groupBy("case_id").agg(F.coalesce(F.max(F.when(~ours, F.col("seq"))), F.lit(-1)).alias("cut"),
-                                           F.max("seq").alias("top"))
-    return per_case.select("case_id", F.when(F.col("cut") < F.col("top"), F.col("cut") + 1).alias("boundary_seq"))
+    above the highest hop we cannot vouch for: a maximum over the case, no ordering needed."""
+    case = Window.partitionBy("case_id")
+    last = F.coalesce(F.max(F.when(~F.col("_ours"), F.col("seq"))).over(case), F.lit(-1))
+    if infra.networks():
+        hops = with_address_key(hops, "from_ip", "_net")
+    return (hops.withColumn("_ours", _ours(infra)).withColumns({"_cut": last, "_top": F.max("seq").over(case)})
+            .withColumn("boundary_seq", F.when(F.col("_cut") < F.col("_top"), F.col("_cut") + 1)).drop("_ours", "_cut", "_top", "_net"))
 
 
 def with_trust(hops: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
     b = F.col("boundary_seq")
     trust = F.when(F.col("seq") > b, "TRUSTED").when(F.col("seq") == b, "BOUNDARY").otherwise("UNVERIFIED")
-    return hops.join(boundary(hops, infra), "case_id").withColumn("trust", trust)
+    return with_boundary(hops, infra).withColumn("trust", trust)
 
 
 def relay_facts(hops: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
     """Origin, forged hops and private addresses, one row per case."""
-    h = with_trust(hops, infra).withColumn("unroutable", _unroutable(hops)).withColumn("public", _public(hops))
+    h = with_trust(with_routability(hops, "from_ip"), infra)
     seq, ip = F.col("seq"), F.col("from_ip")
     forged = F.coalesce(seq < F.col("boundary_seq"), F.lit(False)) & F.col("unroutable")
     rest = F.col("unroutable") & ~forged
@@ -127,14 +138,6 @@ def relay_facts(hops: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE)
             .drop("_defensible", "_earliest", "_boundary_host", "_transit_top", "_rest"))
 
 
-def _unroutable(hops: DataFrame) -> Column:
-    return F.col("unroutable") if "unroutable" in hops.columns else v4_unroutable(F.col("from_ip"))
-
-
-def _public(hops: DataFrame) -> Column:
-    return F.col("public") if "public" in hops.columns else v4_public(F.col("from_ip"))
-
-
 def timestamp_regressions(hops: DataFrame) -> DataFrame:
     """First pair of consecutive stamped hops whose time goes back."""
     w = Window.partitionBy("case_id").orderBy("seq")
@@ -145,10 +148,10 @@ def timestamp_regressions(hops: DataFrame) -> DataFrame:
             .select("case_id", F.col("r.seq").alias("hop"), F.col("r.after_hop").alias("after_hop")))
 
 
-def reply_to_mismatch(from_addr: Column, reply_to: Column, by_org: bool = True) -> Column:
+def reply_to_mismatch(from_addr: Column, reply_to: Column, by_org: bool = True, suffixes: SuffixRules | None = None) -> Column:
     """Organisational domains differ (``by_org``) or exact domains differ."""
     a, b = domain_of(from_addr), domain_of(reply_to)
-    differs = ~same_org(a, b) if by_org else a != b
+    differs = ~same_org(a, b, suffixes) if by_org else a != b
     return F.coalesce(a.isNotNull() & b.isNotNull() & (a != "") & (b != "") & differs, F.lit(False))
 
 
@@ -163,27 +166,27 @@ def message_id_domain(message_id: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(message_id, r"@([^>\s]+)", 1)), F.lit(""))
 
 
-def message_id_divergence(messages: DataFrame, hops: DataFrame) -> DataFrame:
+def message_id_divergence(messages: DataFrame, hops: DataFrame, suffixes: SuffixRules | None = None) -> DataFrame:
     """Message-ID organisation is neither the sender's nor any relay's."""
     m = messages.select("case_id", message_id_domain(F.col("message_id")).alias("mid"), domain_of(F.col("from_addr")).alias("dom"))
-    m = m.filter(F.col("mid").isNotNull() & F.col("dom").isNotNull() & ~same_org(F.col("mid"), F.col("dom")))
+    m = m.filter(F.col("mid").isNotNull() & F.col("dom").isNotNull() & ~same_org(F.col("mid"), F.col("dom"), suffixes))
     relays = hops.select("case_id", F.explode(F.array("by_host", "from_host")).alias("host")).filter(F.col("host").isNotNull())
-    hit = (m.join(relays, "case_id").filter(same_org(F.col("mid"), F.col("host"))).select("case_id"))
+    hit = (m.join(relays, "case_id").filter(same_org(F.col("mid"), F.col("host"), suffixes)).select("case_id"))
     return m.join(hit, "case_id", "left_anti").select("case_id", F.col("mid").alias("message_id_domain"), F.col("dom").alias("from_domain"))
 
 
-def relay_path(hops: DataFrame) -> DataFrame:
+def relay_path(hops: DataFrame, suffixes: SuffixRules | None = None) -> DataFrame:
     """Organisations along the path with consecutive repeats collapsed."""
     w = Window.partitionBy("case_id").orderBy("seq")
-    orgs = (hops.filter(F.col("from_host").contains(".")).select("case_id", "seq", registrable(F.col("from_host")).alias("org"))
+    orgs = (hops.filter(F.col("from_host").contains(".")).select("case_id", "seq", registrable(F.col("from_host"), suffixes).alias("org"))
             .filter(F.col("org").isNotNull()))
     return (orgs.withColumn("prev", F.lag("org").over(w)).filter(F.col("prev").isNull() | (F.col("prev") != F.col("org")))
             .select("case_id", "seq", "org"))
 
 
-def chain_discontinuities(hops: DataFrame) -> DataFrame:
+def chain_discontinuities(hops: DataFrame, suffixes: SuffixRules | None = None) -> DataFrame:
     """An organisation that leaves the path and comes back."""
-    path = relay_path(hops)
+    path = relay_path(hops, suffixes)
     steps = path.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("seq", "org"))).alias("steps"))
     names = F.transform("steps", lambda s: s["org"])
     again = F.filter(names, lambda o, i: F.array_position(names, o) <= i)
@@ -230,10 +233,10 @@ def hop_timeline(hops: DataFrame) -> DataFrame:
 
 
 def header_lane(messages: DataFrame, headers: DataFrame, hops: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE,
-                earlier_rules: bool = False) -> DataFrame:
+                earlier_rules: bool = False, suffixes: SuffixRules | None = None) -> DataFrame:
     """M2: evidence rows of the header lane for every message."""
     private = "private_hit_whole_chain" if earlier_rules else "private_hit_in_transit"
-    facts = (messages.select("case_id", reply_to_mismatch(F.col("from_addr"), F.col("reply_to"), not earlier_rules).alias("reply_off"),
+    facts = (messages.select("case_id", reply_to_mismatch(F.col("from_addr"), F.col("reply_to"), not earlier_rules, suffixes).alias("reply_off"),
                              domain_of(F.col("from_addr")).alias("from_domain"), domain_of(F.col("reply_to")).alias("reply_to_domain"))
              .join(relay_facts(hops, infra), "case_id", "left")
              .join(timestamp_regressions(hops), "case_id", "left")
@@ -248,8 +251,8 @@ def header_lane(messages: DataFrame, headers: DataFrame, hops: DataFrame, infra:
         finding("fake_reply", F.col("subject").isNotNull(), F.struct("subject")),
     ]
     if not earlier_rules:
-        facts = (facts.join(message_id_divergence(messages, hops).drop("from_domain"), "case_id", "left")
-                 .join(chain_discontinuities(hops), "case_id", "left"))
+        facts = (facts.join(message_id_divergence(messages, hops, suffixes).drop("from_domain"), "case_id", "left")
+                 .join(chain_discontinuities(hops, suffixes), "case_id", "left"))
         rows += [finding("message_id_domain_divergence", F.col("message_id_domain").isNotNull(), F.struct("message_id_domain", "from_domain")),
                  finding("chain_discontinuity", F.col("domain").isNotNull(), F.struct("domain", "relay_path"))]
     return emit(facts, "M2", rows)

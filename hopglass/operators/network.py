@@ -6,54 +6,79 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fx
 from ..functions.domains import domain_of
-from ..functions.text import settled
-from ..functions.net import ipv4_number, v4_public, v4_unroutable
+from ..functions.net import network_parts, prefix_bits, with_address_key, with_routability
 from . import dims
 from .evidence import emit, row
-from .headers import Infrastructure, DEFAULT_INFRASTRUCTURE, boundary
+from .headers import DEFAULT_INFRASTRUCTURE, Infrastructure, with_boundary, with_trust
 from .lookup import join_facts
+from .skew import hot_keys, join_on_hot_key
 
 
-def range_matches(numbers: DataFrame, num: str, ranges: DataFrame) -> DataFrame:
-    """Range join ``num BETWEEN lo AND hi`` for lists of any size.
+def networks(ranges: DataFrame) -> DataFrame:
+    """Ranges as prefixes, any size and either family: one row per aligned prefix (``family``, ``bits``, ``p1``, ``p2``) with the
+    range's other columns and ``specific``, which sorts narrow ranges first.  A range is given by ``lo`` and ``hi`` (IPv4
+    numbers), by ``first_ip`` and ``last_ip`` or by ``cidr``; unreadable ones give no row (see ``unreadable_ranges``)."""
+    if "p1" in ranges.columns:  # lines of a list, already prefixes
+        return ranges.filter("family is not null").drop("cidr")
+    return _with_parts(ranges).filter("_n.parts is not null").select("*", F.explode("_n.parts").alias("_p")).select(
+        *[c for c in ranges.columns if c not in _BOUNDS], "_p.*", F.col("_n.specific").alias("specific"))
 
-    A range goes to the coarsest-fitting grid (/24, /16, /8 or one cell), where it
-    touches at most two cells; an address probes its cell on each grid.  The join is
-    an equi-join on (grid, cell) refined by the bounds.  ``numbers`` should hold
-    distinct addresses."""
-    size = F.col("hi") - F.col("lo") + 1
-    grid = F.when(size <= 1 << 8, 8).when(size <= 1 << 16, 16).when(size <= 1 << 24, 24).otherwise(32)
-    cell = lambda v, g: F.floor(v / F.pow(F.lit(2), g)).cast("bigint")
-    r = (ranges.withColumn("grid", grid)
-         .withColumn("cell", F.explode(F.sequence(cell(F.col("lo"), F.col("grid")), cell(F.col("hi"), F.col("grid"))))))
-    probe = (numbers.withColumn("grid", F.explode(F.array(*[F.lit(g) for g in (8, 16, 24, 32)])))
-             .withColumn("cell", cell(F.col(num), F.col("grid"))))
-    return probe.join(r, ["grid", "cell"]).filter(F.col(num).between(F.col("lo"), F.col("hi"))).drop("grid", "cell")
+
+def unreadable_ranges(ranges: DataFrame) -> DataFrame:
+    """Rows of a range table that ``networks`` cannot use."""
+    if "p1" in ranges.columns:  # lines of a list, already prefixes
+        return ranges.filter("family is not null").drop("cidr")
+    return _with_parts(ranges).filter("_n.parts is null").drop("_n")
+
+
+_BOUNDS = ("lo", "hi", "first_ip", "last_ip", "cidr")
+
+
+def _with_parts(ranges: DataFrame) -> DataFrame:
+    dotted = lambda n: F.when(F.col(n).between(0, 0xFFFFFFFF), F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]))
+    if "cidr" in ranges.columns:
+        first = last = F.col("cidr")
+    elif "first_ip" in ranges.columns:
+        first, last = F.col("first_ip"), F.col("last_ip")
+    else:
+        first, last = dotted("lo"), dotted("hi")
+    return ranges.withColumn("_n", network_parts(first, last))
+
+
+def network_matches(ips: DataFrame, nets: DataFrame) -> DataFrame:
+    """Every network around each distinct address (``ip``): an equi-join on (family, bits, first bits), whatever the
+    sizes of the networks.
+
+    An address probes only the prefix lengths that occur (33 + 129 at most).  A short prefix that covers much of the
+    addresses is a hot key; such keys are counted and salted."""
+    lengths = F.broadcast(nets.groupBy("family").agg(F.collect_set("bits").alias("_lengths")))  # two rows
+    keyed = with_address_key(ips.select("ip").distinct(), "ip", "_key").filter(F.col("_key").isNotNull())
+    probe = keyed.select("ip", "_key.*").join(lengths, "family").select("ip", "family", "hi", "lo", F.explode("_lengths").alias("bits"))
+    p1, p2 = prefix_bits(F.col("family"), F.col("hi"), F.col("lo"), F.col("bits"))
+    probe = probe.select("ip", "family", "bits", p1.alias("p1"), p2.alias("p2"))
+    keys = ["family", "bits", "p1", "p2"]
+    return join_on_hot_key(probe, nets, keys, hot_keys(probe, keys))
 
 
 def address_flags(ips: DataFrame, ip_list: DataFrame, ip_ranges: DataFrame) -> DataFrame:
     """Tor, VPN and datacenter membership of distinct addresses (``ip``)."""
-    nums = settled(ips.select("ip").distinct(), num=ipv4_number(F.col("ip")))
-    hit = range_matches(nums.filter(F.col("num").isNotNull()), "num", ip_ranges).groupBy("ip").agg(
-        F.max(F.col("kind") == "vpn").alias("vpn"), F.max(F.col("kind") == "dc").alias("dc"))
+    each = ips.select("ip").distinct()
+    hit = network_matches(each, networks(ip_ranges)).groupBy("ip").agg(F.max(F.col("kind") == "vpn").alias("vpn"), F.max(F.col("kind") == "dc").alias("dc"))
     tor = ip_list.filter(F.col("kind") == "tor").select("ip", F.lit(True).alias("tor")).distinct()
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return nums.join(tor, "ip", "left").join(hit, "ip", "left").select("ip", no("tor"), no("vpn"), no("dc"))
+    return each.join(tor, "ip", "left").join(hit, "ip", "left").select("ip", no("tor"), no("vpn"), no("dc"))
 
 
 def flagged_hops(hops: DataFrame, ip_list: DataFrame, ip_ranges: DataFrame) -> DataFrame:
     """Routable hops with their membership flags; each distinct address is looked up once."""
-    public = hops.filter(F.col("public") if "public" in hops.columns else v4_public(F.col("from_ip")))
-    public = public.withColumnRenamed("from_ip", "ip")
+    public = with_routability(hops, "from_ip").filter("public").withColumnRenamed("from_ip", "ip")
     return join_facts(public, address_flags(public, ip_list, ip_ranges), "ip")
 
 
 def network_facts(messages: DataFrame, hops: DataFrame, ip_list: DataFrame, ip_ranges: DataFrame,
                   infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
     """N04-N06 inputs, one row per message."""
-    # addresses are looked up on the plain hops; the boundary is joined afterwards,
-    # so the distinct-address scans do not repeat it
-    h = flagged_hops(hops, ip_list, ip_ranges).join(boundary(hops, infra), "case_id", "left")
+    h = flagged_hops(with_boundary(hops, infra), ip_list, ip_ranges)
     seq, b = F.col("seq"), F.col("boundary_seq")
     trusted = b.isNull() | (seq >= b)
     conf = F.when(trusted, 1.0).otherwise(0.7)
@@ -97,12 +122,18 @@ def network_lane(facts: DataFrame, has_tor: bool = True, has_vpn: bool = True, h
 
 
 def geo_lookup(ips: DataFrame, geo_ranges: DataFrame) -> DataFrame:
-    """Place of each distinct address; the most specific range wins."""
-    nums = settled(ips.select("ip").distinct(), num=ipv4_number(F.col("ip"))).filter(F.col("num").isNotNull())
+    """Place of each distinct address; of nested or overlapping ranges the most specific wins."""
     place = F.struct("country", "city", "lat", "lon")
-    hits = range_matches(nums, "num", geo_ranges)
-    return (hits.groupBy("ip").agg(F.min_by(place, F.struct(F.col("hi") - F.col("lo"), F.col("lo"))).alias("g"))
-            .select("ip", "g.country", "g.city", "g.lat", "g.lon"))
+    hits = network_matches(ips, networks(geo_ranges))
+    return hits.groupBy("ip").agg(F.min_by(place, F.col("specific")).alias("g")).select("ip", "g.country", "g.city", "g.lat", "g.lon")
+
+
+def hop_trace(hops: DataFrame, geo_ranges: DataFrame, infra: Infrastructure = DEFAULT_INFRASTRUCTURE) -> DataFrame:
+    """Q03: every hop with its trust, boundary and the place of its routable address; one lookup per distinct address."""
+    h = with_routability(with_trust(hops, infra), "from_ip")
+    public = h.filter("public").select(F.col("from_ip").alias("ip"))
+    places = geo_lookup(public, geo_ranges).withColumnRenamed("ip", "_ip")
+    return join_facts(h.withColumn("_ip", F.when(F.col("public"), F.col("from_ip"))), places, "_ip").drop("_ip")
 
 
 def risk_of(score: Column) -> Column:
@@ -111,10 +142,10 @@ def risk_of(score: Column) -> Column:
 
 def reputation(ips: DataFrame, ip_list: DataFrame, ip_ranges: DataFrame) -> DataFrame:
     """Heuristic score of each distinct address."""
-    f = address_flags(ips, ip_list, ip_ranges)
+    f = with_routability(address_flags(ips, ip_list, ip_ranges), "ip")
     points = lambda c, n: F.when(c, n).otherwise(0)
     score = F.least(F.lit(95), F.lit(8) + points(F.col("tor"), 62) + points(F.col("vpn"), 24) + points(F.col("dc"), 18)
-                    + points(v4_unroutable(F.col("ip")), 40))
+                    + points(F.col("unroutable"), 40))
     return f.withColumn("score", score).withColumn("risk", risk_of(F.col("score")))
 
 
