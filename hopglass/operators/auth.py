@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fx
-from ..functions.domains import domain_of, registrable, same_org, suffix_related
+from ..functions.domains import SuffixRules, domain_of, registrable, same_org, suffix_related
 from ..functions.text import rx
 from . import dims
 from .evidence import emit, or_clear, row
@@ -27,15 +27,16 @@ def signing_domains(headers: DataFrame) -> DataFrame:
             .filter(F.col("domain").isNotNull()))
 
 
-def aligned(a: Column, b: Column, version: str = dims.LATEST) -> Column:
+def aligned(a: Column, b: Column, version: str = dims.LATEST, suffixes: SuffixRules | None = None) -> Column:
     """Relaxed alignment."""
-    return same_org(a, b) if version == dims.LATEST else suffix_related(a, b)
+    return same_org(a, b, suffixes) if version == dims.LATEST else suffix_related(a, b)
 
 
-def dkim_decisions(messages: DataFrame, headers: DataFrame, results: DataFrame, version: str = dims.LATEST) -> DataFrame:
+def dkim_decisions(messages: DataFrame, headers: DataFrame, results: DataFrame, version: str = dims.LATEST,
+                   suffixes: SuffixRules | None = None) -> DataFrame:
     """Per signed message the signal, its status and whether DKIM passed."""
     sender = messages.select("case_id", domain_of(F.col("from_addr")).alias("from_domain"))
-    ok = lambda: aligned(F.col("domain"), F.col("from_domain"), version)
+    ok = lambda: aligned(F.col("domain"), F.col("from_domain"), version, suffixes)
     sig = signing_domains(headers)
     if version == dims.EARLIER:
         sig = sig.groupBy("case_id").agg(F.min_by("domain", "pos").alias("domain"), F.min("pos").alias("pos"))
@@ -58,16 +59,28 @@ def dkim_decisions(messages: DataFrame, headers: DataFrame, results: DataFrame,
                     no("passed").alias("dkim_pass"))
 
 
-def spf_decisions(messages: DataFrame, origins: DataFrame, results: DataFrame, version: str = dims.LATEST) -> DataFrame:
-    """SPF outcome against the boundary address; a passing ARC chain turns a
-    hard fail into ``arc_authenticated``."""
-    one = lambda mech: results.filter(F.col("mech") == mech).groupBy("case_id").agg(F.max("result").alias(mech))
+def severity(result: Column) -> Column:
+    """Rank of an outcome, the worst first."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(r) for r in fx.AUTH_OUTCOMES_WORST_FIRST]), result).cast("int"), F.lit(0))
+
+
+def spf_decisions(messages: DataFrame, origins: DataFrame, results: DataFrame, version: str = dims.LATEST,
+                  suffixes: SuffixRules | None = None) -> DataFrame:
+    """SPF outcome of (boundary address, SPF domain); a passing ARC chain turns a hard fail into ``arc_authenticated``.
+
+    An outcome row names the ``ip`` and ``domain`` it was taken for; NULL there stands for any.  Of several outcomes of one
+    key the worst counts."""
+    worst = lambda mech: F.min_by("result", severity(F.col("result"))).alias(mech)
+    ip = F.col("ip") if "ip" in results.columns else F.lit(None).cast("string")
+    spf = results.filter(F.col("mech") == "spf").select("case_id", "result", ip.alias("_ip"), F.lower("domain").alias("_domain"))
+    arc = results.filter(F.col("mech") == "arc").groupBy("case_id").agg(worst("arc"))
     sender = domain_of(F.col("from_addr"))
     d = (messages.select("case_id", sender.alias("from_domain"), F.coalesce(F.nullif(domain_of(F.col("return_path")), F.lit("")), sender).alias("spf_domain"))
          .join(origins.select("case_id", "boundary_ip").filter(F.col("boundary_ip").isNotNull()), "case_id")
          .filter(F.coalesce(F.col("spf_domain"), F.lit("")) != "")
-         .join(one("spf"), "case_id").join(one("arc"), "case_id", "left"))
-    passed = (F.col("spf") == "pass") & aligned(F.col("spf_domain"), F.col("from_domain"), version)
+         .join(spf, "case_id").filter(F.coalesce(F.col("_ip") == F.col("boundary_ip"), F.lit(True)) & F.coalesce(F.col("_domain") == F.col("spf_domain"), F.lit(True)))
+         .groupBy("case_id", "from_domain", "spf_domain", "boundary_ip").agg(worst("spf")).join(arc, "case_id", "left"))
+    passed = (F.col("spf") == "pass") & aligned(F.col("spf_domain"), F.col("from_domain"), version, suffixes)
     if version == dims.EARLIER:
         signal = F.when(F.col("spf") == "fail", "spf_fail_hard")
     else:
@@ -77,7 +90,7 @@ def spf_decisions(messages: DataFrame, origins: DataFrame, results: DataFrame, v
                     F.when(signal == "spf_unavailable", "UNAVAILABLE").when(signal.isNotNull(), "TRIGGERED").alias("status"), passed.alias("spf_pass"))
 
 
-def dmarc_policies(domains: DataFrame, dns: DataFrame, version: str = dims.LATEST) -> DataFrame:
+def dmarc_policies(domains: DataFrame, dns: DataFrame, version: str = dims.LATEST, suffixes: SuffixRules | None = None) -> DataFrame:
     """Policy that governs each distinct domain."""
     d = domains.select("domain").distinct()
     if version == dims.EARLIER:
@@ -88,19 +101,20 @@ def dmarc_policies(domains: DataFrame, dns: DataFrame, version: str = dims.LATES
         return up.join(rec, "at").groupBy("domain").agg(F.min_by("p", "depth").alias("policy")).withColumn("unavailable", F.lit(False))
     exact = dns.select("domain", F.coalesce("p", F.lit("none")).alias("p"), F.col("state").alias("s"))
     parent = dns.select(F.col("domain").alias("org"), F.coalesce("sp", "p", F.lit("none")).alias("op"), F.col("state").alias("os"))
-    org = registrable(F.col("domain"))
+    org = registrable(F.col("domain"), suffixes)
     j = (d.withColumn("org", F.when(org != F.col("domain"), org)).join(exact, "domain", "left").join(parent, "org", "left"))
     policy = F.when(F.col("s") == "found", F.col("p")).when(F.col("os") == "found", F.col("op"))
     down = policy.isNull() & (F.coalesce(F.col("s") == "unreachable", F.lit(False)) | F.coalesce(F.col("os") == "unreachable", F.lit(False)))
     return j.select("domain", policy.alias("policy"), down.alias("unavailable"))
 
 
-def auth_facts(messages: DataFrame, headers: DataFrame, origins: DataFrame, results: DataFrame, dns: DataFrame, version: str = dims.LATEST) -> DataFrame:
+def auth_facts(messages: DataFrame, headers: DataFrame, origins: DataFrame, results: DataFrame, dns: DataFrame, version: str = dims.LATEST,
+               suffixes: SuffixRules | None = None) -> DataFrame:
     m = messages.select("case_id", domain_of(F.col("from_addr")).alias("domain"))
-    m = join_facts(m, dmarc_policies(m, dns, version), "domain")
+    m = join_facts(m, dmarc_policies(m, dns, version, suffixes), "domain")
     rename = lambda df, p: df.withColumnsRenamed({"signal": f"{p}_signal", "status": f"{p}_status"})
-    f = (m.join(rename(spf_decisions(messages, origins, results, version), "spf"), "case_id", "left")
-         .join(rename(dkim_decisions(messages, headers, results, version), "dkim"), "case_id", "left"))
+    f = (m.join(rename(spf_decisions(messages, origins, results, version, suffixes), "spf"), "case_id", "left")
+         .join(rename(dkim_decisions(messages, headers, results, version, suffixes), "dkim"), "case_id", "left"))
     passed = F.coalesce("spf_pass", F.lit(False)) | F.coalesce("dkim_pass", F.lit(False))
     strict = F.col("policy").isin("reject", "quarantine") & ~passed
     return (f.withColumn("dmarc_signal", F.when(F.col("unavailable"), "dmarc_unavailable").when(strict, "dmarc_fail_strict"))

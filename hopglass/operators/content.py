@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fx, text as tx
-from ..functions.domains import domain_of, registrable
+from ..functions.domains import SuffixRules, domain_of, registrable
 from . import dims
 from .evidence import emit, finding, row
 from .lookup import join_facts
@@ -26,12 +26,12 @@ def carries_attack(text: Column) -> Column:
     return _any(text, [fx.INJECTION_PATTERN, fx.HARVEST_PATTERN, fx.ACCOUNT_THREAT_PATTERN, *fx.PAYMENT_PATTERNS, fx.HIDDEN_MISC_PATTERN])
 
 
-def off_organisation_link(from_domain: Column, link_domains: Column) -> Column:
+def off_organisation_link(from_domain: Column, link_domains: Column, suffixes: SuffixRules | None = None) -> Column:
     """Some link leaves the sender's organisation; without a sender any link does."""
     f = F.lower(from_domain)
-    org = F.coalesce(registrable(f), f)
+    org = F.coalesce(registrable(f, suffixes), f)
     dot = lambda a, b: a.endswith(F.concat(F.lit("."), b))
-    away = F.exists(link_domains, lambda d: ~((d == f) | dot(d, f) | dot(f, d) | (F.coalesce(registrable(d), d) == org)))
+    away = F.exists(link_domains, lambda d: ~((d == f) | dot(d, f) | dot(f, d) | (F.coalesce(registrable(d, suffixes), d) == org)))
     return F.when(F.coalesce(f, F.lit("")) == "", F.size(link_domains) > 0).otherwise(F.coalesce(away, F.lit(False)))
 
 
@@ -114,12 +114,12 @@ def classified(messages: DataFrame, version: str = dims.LATEST, model_scores: Da
     return df
 
 
-def link_facts(df: DataFrame, version: str = dims.LATEST) -> DataFrame:
+def link_facts(df: DataFrame, version: str = dims.LATEST, suffixes: SuffixRules | None = None) -> DataFrame:
     """Needs ``link_domains`` on the message row."""
     links = F.coalesce("link_domains", F.array().cast("array<string>"))
     shown = F.length(F.trim(F.regexp_replace(F.coalesce("body_text", F.lit("")), r"https?://\S+", "")))
     df = df.withColumn("link_domains", links).withColumn("visible_text_len", shown)
-    df = df.withColumn("off_domain", off_organisation_link(domain_of(F.col("from_addr")), F.col("link_domains")))
+    df = df.withColumn("off_domain", off_organisation_link(domain_of(F.col("from_addr")), F.col("link_domains"), suffixes))
     has = F.size("link_domains") > 0
     empty = (F.col("visible_text_len") < 20) & has
     return df.withColumn("links_no_text", empty if version == dims.EARLIER else empty & F.col("off_domain"))
@@ -143,9 +143,9 @@ def attachment_findings(attachments: DataFrame) -> DataFrame:
 
 
 def content_lane(messages: DataFrame, attachments: DataFrame | None = None, version: str = dims.LATEST,
-                 model_scores: DataFrame | None = None) -> DataFrame:
+                 model_scores: DataFrame | None = None, suffixes: SuffixRules | None = None) -> DataFrame:
     """M4 evidence rows.  ``messages`` carries ``link_domains``."""
-    df = link_facts(classified(messages, version, model_scores), version)
+    df = link_facts(classified(messages, version, model_scores), version, suffixes)
     if attachments is not None and version == dims.LATEST:
         df = df.join(attachment_findings(attachments), "case_id", "left")
     df = df.withColumn("hidden_count", alnum_count(F.col("hidden"), version == dims.LATEST))

@@ -69,13 +69,6 @@ def identity_credits(spark: SparkSession) -> DataFrame:
                   "version string, signal string")
 
 
-def rule_flags(spark: SparkSession, version: str) -> DataFrame:
-    """Label and suppression roles of every signal of a version, one row each."""
-    rows = [(s, label, s in fx.GENERAL_SUPPRESSORS[version], s in fx.IDENTITY_SUPPRESSORS[version], s in fx.IDENTITY_CREDITS[version])
-            for v, s, _, _, label in rule_rows() if v == version]
-    return inline(spark, rows, "signal string, label string, general boolean, identity boolean, is_credit boolean")
-
-
 def bands(spark: SparkSession) -> DataFrame:
     rows = []
     for v in VERSIONS:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fx
-from ..functions.domains import domain_of, registrable
+from ..functions.domains import SuffixRules, domain_of, registrable
 from ..session import cut
 from . import dims
 from .skew import HOT_ROWS, hot_keys, join_on_hot_key, rank_within
@@ -33,7 +33,7 @@ CASE = ["owner", "case_id"]
 # ---------------------------------------------------------------- extraction
 
 def extract_indicators(cases: DataFrame, origins: DataFrame, urls: DataFrame, attachments: DataFrame,
-                       version: str = dims.LATEST, hops: DataFrame | None = None) -> DataFrame:
+                       version: str = dims.LATEST, hops: DataFrame | None = None, suffixes: SuffixRules | None = None) -> DataFrame:
     """Indicator rows of every case.
 
     ``origins`` carries (case_id, boundary_ip public or NULL, origin_ip).  Under the
@@ -42,7 +42,7 @@ def extract_indicators(cases: DataFrame, origins: DataFrame, urls: DataFrame, at
     ip = origins.filter(F.col("origin_ip").isNotNull()).select("case_id", F.lit("ip").alias("kind"), F.col("origin_ip").alias("value"))
     host = F.lower("domain")
     skip = fx.PUBLIC_PROVIDERS + fx.COMMON_LINK_HOSTS
-    u = urls.filter(F.col("domain").isNotNull()).select("case_id", host.alias("host"), registrable(F.col("domain"), version == dims.LATEST).alias("reg"))
+    u = urls.filter(F.col("domain").isNotNull()).select("case_id", host.alias("host"), registrable(F.col("domain"), suffixes, version == dims.LATEST).alias("reg"))
     if version == dims.LATEST:
         u = u.filter(F.col("reg").isNull() | ~F.col("reg").isin(skip))
         reg = F.col("reg")
@@ -187,6 +187,20 @@ def campaign_reuse(prior: DataFrame) -> DataFrame:
                         F.when(hit, F.least(F.lit(1.0), F.col("shared_indicator_count") / 5)).otherwise(1.0).alias("confidence"))
 
 
+def correlate_batch(batch: DataFrame, stored: DataFrame | None, hub_degree: int = HUB_DEGREE, all_cases: DataFrame | None = None) -> DataFrame:
+    """Related earlier cases of the cases in ``batch``.  Stored cases count as
+    earlier whenever they arrived: the order is (stored or not, arrival, case_id), so a
+    late case of a later batch still meets them and each pair is reported once.  Only
+    stored rows that share an indicator with the batch are read further.  ``all_cases`` adds cases without indicators."""
+    cases = batch.select("owner", "case_id").distinct()
+    rows = batch.select("owner", "case_id", "arrival", "kind", "value")
+    if stored is not None:
+        old = stored.join(rows.select(*EDGE).distinct(), EDGE, "left_semi").join(cases, CASE, "left_anti")
+        before_all = F.lit("0001-01-01").cast(rows.schema["arrival"].dataType).alias("arrival")
+        rows = rows.unionByName(old.select("owner", "case_id", before_all, "kind", "value"))
+    return campaign_reuse(related_prior(split_hubs(rows, hub_degree), cases if all_cases is None else all_cases.select("owner", "case_id")))
+
+
 def relationships_of(indicators: DataFrame, focus: DataFrame, top: int = 5) -> DataFrame:
     """Strongest related cases of the given cases; work is linear in the
     members of their indicators."""
@@ -294,7 +308,8 @@ def isolated_cases(cases: DataFrame, comp: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- entity graph
 
-def entity_links(cases: DataFrame, hops: DataFrame, urls: DataFrame, attachments: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+def entity_links(cases: DataFrame, hops: DataFrame, urls: DataFrame, attachments: DataFrame, headers: DataFrame | None = None,
+                 suffixes: SuffixRules | None = None) -> DataFrame:
     """Typed links, each once.  ``hops`` carries trust and public."""
     cid = F.col("case_id").cast("string")
     alias = F.array(*[F.struct(F.col(c).alias("addr"), F.lit(r).alias("rel")) for c, r in
@@ -305,7 +320,7 @@ def entity_links(cases: DataFrame, hops: DataFrame, urls: DataFrame, attachments
     node = F.concat(F.lit("alias:"), F.col("addr"))
     owned = cases.select("owner", "case_id")
     h = hops.filter(F.col("public")).join(owned, "case_id")
-    u = urls.filter(F.coalesce(F.col("domain"), F.lit("")) != "").join(owned, "case_id").withColumn("reg", F.coalesce(registrable(F.lower("domain")), F.lower("domain")))
+    u = urls.filter(F.coalesce(F.col("domain"), F.lit("")) != "").join(owned, "case_id").withColumn("reg", F.coalesce(registrable(F.lower("domain"), suffixes), F.lower("domain")))
     t = attachments.filter(F.coalesce(F.col("sha256"), F.lit("")) != "").join(owned, "case_id")
     parts = [link(a, F.col("case"), node, F.col("rel")),
              link(a.filter(F.col("addr").contains("@")), node, F.concat(F.lit("domain:"), domain_of(F.col("addr"))), F.lit("domain")),

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import logging
+import threading
+import time
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.domains import suffix_rules
+from ..session import ensure_checkpoint_dir
 from ..sources import mail, urls as mail_urls
 from . import auth, content, dims, domain, footprint, graph, headers, network, scoring
+from .evidence import COLUMNS
+
+log = logging.getLogger(__name__)
 
 Context = dict[str, DataFrame]
 LANES: dict[str, Callable[[Context], DataFrame]] = {}
+#: Seconds a batch gives its lanes, all running side by side.
+LANE_TIMEOUT_S = 3600.0
+EVIDENCE = "case_id string, analyzer string, signal string, status string, confidence double, detail string"
 
 
 def lane(lane_id: str):
@@ -21,46 +33,111 @@ def lane(lane_id: str):
     return register
 
 
-def run_lanes(ctx: Context, only: list[str] | None = None) -> DataFrame:
-    """Union of the lanes' evidence with a position inside the case.  Lanes read the
-    message tables only, never each other's evidence."""
-    out = None
-    for i, lane_id in enumerate(sorted(only or LANES)):
-        part = LANES[lane_id](ctx).select("case_id", "analyzer", "signal", "status", "confidence", "detail").withColumn("_lane", F.lit(i))
-        out = part if out is None else out.unionByName(part)
+class _LaneRun(threading.Thread):
+    """One lane as a job of its own: tagged, so that it can be interrupted, and written to a table of its own."""
+
+    def __init__(self, spark: SparkSession, lane_id: str, ctx: Context, path: str):
+        super().__init__(daemon=True)
+        self.spark, self.lane_id, self.ctx, self.path = spark, lane_id, ctx, path
+        self.tag, self.failure, self.expired = f"lane-{lane_id}-{uuid4().hex}", None, False
+
+    def run(self) -> None:
+        sc = self.spark.sparkContext
+        sc.addJobTag(self.tag)
+        try:
+            part = LANES[self.lane_id](self.ctx).select(*COLUMNS)
+            if not self.expired:
+                part.write.parquet(self.path)
+        except Exception as e:  # no lane may end the batch
+            log.warning("lane %s failed: %s", self.lane_id, type(e).__name__)
+            self.failure = e
+        finally:
+            sc.removeJobTag(self.tag)
+
+    def stop(self) -> None:
+        self.expired = True
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+
+def run_lanes(ctx: Context, only: list[str] | None = None, timeout_s: float = LANE_TIMEOUT_S, lane_timeouts: dict[str, float] | None = None) -> DataFrame:
+    """Evidence of the lanes with a position inside the case.  Lanes read the message tables only, never each other's evidence.
+
+    The lanes run side by side, each as its own job into its own table of the shared folder.  One that raises leaves an
+    ERROR row ``lane_error`` for every case, one that is not done after ``timeout_s`` (or its own time in ``lane_timeouts``) is interrupted and leaves an UNAVAILABLE
+    row ``lane_timeout``; the others are not touched."""
+    spark = SparkSession.active()
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/lanes/{uuid4().hex}"
+    runs = [_LaneRun(spark, lane_id, ctx, f"{folder}/{lane_id}") for lane_id in sorted(only or LANES)]
+    seconds = {r.lane_id: (lane_timeouts or {}).get(r.lane_id, timeout_s) for r in runs}
+    started = time.monotonic()
+    for r in runs:
+        r.start()
+    parts = []
+    for i, r in sorted(enumerate(runs), key=lambda x: seconds[x[1].lane_id]):
+        r.join(max(0.0, started + seconds[r.lane_id] - time.monotonic()))
+        if r.is_alive():
+            r.stop()
+            part = _failed(ctx, r.lane_id, "lane_timeout", "UNAVAILABLE", {"reason": f"exceeded {seconds[r.lane_id]:g} s"})
+        elif r.failure is not None:
+            part = _failed(ctx, r.lane_id, "lane_error", "ERROR", {"error": type(r.failure).__name__, "message": str(r.failure)[:500]})
+        else:
+            part = spark.read.parquet(r.path)
+        parts.append(part.withColumn("_lane", F.lit(i)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     w = Window.partitionBy("case_id").orderBy("_lane", "signal", F.desc("confidence"), "detail")
     return out.withColumn("pos", F.row_number().over(w) - 1).drop("_lane")
 
 
-def context(raw_mail: DataFrame, intel: Context, as_of: Column, as_of_year: int, infra=headers.DEFAULT_INFRASTRUCTURE) -> Context:
-    """Message tables of a batch of raw mail, each computed once."""
-    messages = mail.parse_messages(raw_mail).persist()
-    found = mail_urls.extract_urls(messages)
-    urls = found.persist()
+def _failed(ctx: Context, lane_id: str, signal: str, status: str, detail: dict[str, str]) -> DataFrame:
+    """One row for every case of the batch."""
+    row = {"analyzer": lane_id, "signal": signal, "status": status}
+    return ctx["messages"].select("case_id", *[F.lit(v).alias(k) for k, v in row.items()], F.lit(0.0).alias("confidence"),
+                                  F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in detail.items()])).alias("detail"))
+
+
+def context(raw_mail: DataFrame, intel: Context, as_of: Column, as_of_year: int, infra=headers.DEFAULT_INFRASTRUCTURE,
+            version: str = dims.LATEST) -> Context:
+    """Message tables of a batch of raw mail, each computed once (``release`` gives them back).  ``version`` is the rule version whose
+    behaviour the lanes follow; ``intel`` holds the lookup tables, the suffix rules among them."""
+    parsed = mail.parse_messages(raw_mail).persist()
+    # attachments are read once, as digests; their bytes are not kept with the messages
+    attachments, messages = mail.attachment_table(parsed).persist(), parsed.drop("parts")
+    urls = mail_urls.extract_urls(messages).persist()
     hops = headers.hops_of_messages(messages).persist()
-    return {"messages": messages, "headers": mail.header_table(messages), "attachments": mail.attachment_table(messages), "urls": urls,
-            "hops": hops, "relay": headers.relay_facts(hops, infra).persist(), "as_of": as_of, "year": as_of_year, "infra": infra, **intel}
+    relay = headers.relay_facts(hops, infra).persist()
+    return {"messages": messages, "headers": mail.header_table(messages), "attachments": attachments, "urls": urls, "hops": hops, "relay": relay,
+            "as_of": as_of, "year": as_of_year, "infra": infra, "version": version, **intel, "suffixes": suffix_rules(intel["suffix_rules"]),
+            "_persisted": [parsed, attachments, urls, hops, relay]}
+
+
+def release(ctx: Context) -> None:
+    for df in ctx.get("_persisted", []):
+        df.unpersist()
 
 
 @lane("M2")
 def _m2(ctx):
-    return headers.header_lane(ctx["messages"], ctx["headers"], ctx["hops"], ctx["infra"])
+    return headers.header_lane(ctx["messages"], ctx["headers"], ctx["hops"], ctx["infra"], ctx["version"] == dims.EARLIER, suffixes=ctx["suffixes"])
 
 
 @lane("M3")
 def _m3(ctx):
-    return auth.auth_lane(auth.auth_facts(ctx["messages"], ctx["headers"], ctx["relay"], ctx["auth_results"], ctx["dns_policy"]))
+    return auth.auth_lane(auth.auth_facts(ctx["messages"], ctx["headers"], ctx["relay"], ctx["auth_results"], ctx["dns_policy"], ctx["version"], ctx["suffixes"]))
 
 
 @lane("M4")
 def _m4(ctx):
     m = ctx["messages"].join(content.link_domains_of(ctx["urls"]), "case_id", "left")
-    return content.content_lane(m, ctx["attachments"])
+    return content.content_lane(m, ctx["attachments"], ctx["version"], ctx.get("model_scores"), ctx["suffixes"])
 
 
 @lane("M5")
 def _m5(ctx):
-    return network.network_lane(network.network_facts(ctx["messages"], ctx["hops"], ctx["ip_list"], ctx["ip_ranges"], ctx["infra"]))
+    facts = network.network_facts(ctx["messages"], ctx["hops"], ctx["ip_list"], ctx["ip_ranges"], ctx["infra"])
+    return network.network_lane(facts, has_geo="geo_ranges" in ctx, version=ctx["version"])
 
 
 @lane("M6")
@@ -73,10 +150,10 @@ def _m6(ctx):
 
 @lane("M7")
 def _m7(ctx):
-    """Reuse of infrastructure against the stored indicators plus this batch."""
-    new = graph.extract_indicators(ctx["messages"], ctx["relay"], ctx["urls"], ctx["attachments"])
-    every = new if ctx.get("indicators") is None else graph.new_indicators(ctx["indicators"], new).unionByName(ctx["indicators"])
-    prior = graph.campaign_reuse(graph.related_prior(graph.split_hubs(every), ctx["messages"]))
+    """Reuse of infrastructure: cases of this batch against the stored indicators and each other."""
+    r = ctx["relay"].withColumn("defensible", F.col("origin_seq").eqNullSafe(F.col("boundary_seq")) & F.col("origin_ip").isNotNull())
+    new = graph.extract_indicators(ctx["messages"], r, ctx["urls"], ctx["attachments"], ctx["version"], ctx["hops"], ctx["suffixes"])
+    prior = graph.correlate_batch(new, ctx.get("indicators"), all_cases=ctx["messages"])
     return prior.select("case_id", F.lit("M7").alias("analyzer"), F.lit("campaign_infrastructure_reuse").alias("signal"), "status", "confidence",
                         F.to_json(F.struct("related_cases", "shared_indicator_count")).alias("detail"))
 
@@ -86,7 +163,7 @@ def _m8(ctx):
     return footprint.footprint_lane(ctx["messages"], footprint.footprint_facts(ctx["breaches"], ctx["registrations"], ctx["year"]))
 
 
-def analyse(ctx: Context, version: str = dims.LATEST, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Evidence and verdicts of every message of the context."""
-    evidence = run_lanes(ctx, only)
-    return evidence, scoring.score_cases(evidence, ctx["messages"], version)
+def analyse(ctx: Context, only: list[str] | None = None, timeout_s: float = LANE_TIMEOUT_S, lane_timeouts: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Evidence and verdicts of every message of the context, lanes and scores under its rule version."""
+    evidence = run_lanes(ctx, only, timeout_s, lane_timeouts)
+    return evidence, scoring.score_cases(evidence, ctx["messages"], ctx["version"])

@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fx
 from . import dims
-
-CONTRIBUTION = ("array<struct<pos:int,signal:string,analyzer:string,weight:int,confidence:double,"
-                "points:double,label:string,detail:string>>")
-
+from .rulebook import RuleBook, built_in, by_profile
 
 def rule_points(evidence: DataFrame, version: str = dims.LATEST) -> DataFrame:
     """TRIGGERED evidence with its rule; points = weight x confidence."""
@@ -34,25 +31,36 @@ def unknown_signals(evidence: DataFrame, version: str = dims.LATEST) -> DataFram
             .groupBy("signal").agg(F.count("*").alias("n")))
 
 
-def strongest_instances(evidence: DataFrame, version: str = dims.LATEST) -> DataFrame:
-    """One row per (case, signal): the instance with the largest absolute
-    points, the earliest on ties, and the lanes that were unavailable."""
-    spark = evidence.sparkSession
-    weights = dims.rules(spark, [version]).select("signal", "weight")
+def signals_of_cases(evidence: DataFrame) -> DataFrame:
+    """One row per (case, signal), whatever the rules: whether it fired, its most confident instance (the earliest on ties), its earliest
+    one, and the lanes that were unavailable.
+
+    Points are weight x confidence, so under any weight but 0 the instance of most absolute points is the most confident one;
+    under weight 0 all are equal and the earliest counts."""
     fired = F.col("status") == "TRIGGERED"
-    points = F.col("weight") * F.col("confidence")
-    best = F.max_by(F.struct("pos", "analyzer", "weight", "confidence", points.alias("points"), "detail"),
-                    F.when(fired & F.col("weight").isNotNull(), F.struct(F.abs(points), -F.col("pos"))))
-    # labels and roles are attached after the aggregation, so they are not shuffled
-    return (evidence.join(weights, "signal", "left")
-            .groupBy("case_id", "signal")
-            .agg(F.max(fired).alias("fired"), best.alias("best"), F.max("weight").alias("weight"),
-                 F.collect_set(F.when(F.col("status") == "UNAVAILABLE", F.col("analyzer"))).alias("lanes"))
-            .join(dims.rule_flags(spark, version), "signal", "left"))
+    instance = F.struct("pos", "analyzer", "confidence", "detail")
+    return evidence.groupBy("case_id", "signal").agg(
+        F.max(fired).alias("fired"), F.max_by(instance, F.when(fired, F.struct("confidence", -F.col("pos")))).alias("_most"),
+        F.min_by(instance, F.when(fired, F.col("pos"))).alias("_first"), F.collect_set(F.when(F.col("status") == "UNAVAILABLE", F.col("analyzer"))).alias("lanes"))
+
+
+def strongest_instances(evidence: DataFrame, version: str = dims.LATEST, book: RuleBook | None = None) -> DataFrame:
+    """One row per (version, case, signal): the instance with the largest absolute points, the earliest on ties, and the
+    lanes that were unavailable.  Rules are attached after the aggregation, so they are not shuffled."""
+    book = book or built_in(evidence.sparkSession, [version])
+    rules = F.broadcast(book.flags)  # size checked by the book
+    each = signals_of_cases(evidence).withColumn("version", F.explode(F.array(*[F.lit(v) for v in book.versions])))
+    each = each.join(rules, ["version", "signal"], "left")
+    pick = F.when(F.col("weight") == 0, F.col("_first")).otherwise(F.col("_most"))
+    each = each.withColumn("_best", F.when(F.col("fired") & F.col("weight").isNotNull(), pick)).drop("_most", "_first")
+    b = F.col("_best")
+    best = F.struct(b["pos"].alias("pos"), b["analyzer"].alias("analyzer"), F.col("weight"), b["confidence"].alias("confidence"),
+                    (F.col("weight") * b["confidence"]).alias("points"), b["detail"].alias("detail"))
+    return each.withColumn("best", F.when(b.isNotNull(), best)).drop("_best")
 
 
 def _round_display(points: Column, version: str) -> Column:
-    return F.bround(points, 2) if version == dims.EARLIER else F.floor(points * 100 + F.lit(0.5)) / 100
+    return (F.bround(points, 2) if version == dims.EARLIER else F.floor(points * 100 + F.lit(0.5)) / 100).cast("double")
 
 
 def band_of(score: Column, version: str = dims.LATEST) -> Column:
@@ -78,15 +86,20 @@ def summary_text(band: Column, contributions: Column, lanes: Column, suppressed:
 
 
 def score_cases(evidence: DataFrame, cases: DataFrame | None = None, version: str = dims.LATEST) -> DataFrame:
-    """One verdict row per case.  Cases without evidence score 0 when
+    """One verdict row per case under one version.  Cases without evidence score 0 when
     the ``cases`` table is given."""
-    per_signal = strongest_instances(evidence, version)
-    b = F.col("best")
+    return score_versions(evidence, built_in(evidence.sparkSession, [version]), cases)
+
+
+def score_versions(evidence: DataFrame, book: RuleBook, cases: DataFrame | None = None) -> DataFrame:
+    """One verdict row per (case, version) of the rule book; the evidence is read and aggregated once."""
+    per_signal = strongest_instances(evidence, book=book)
+    b, v = F.col("best"), F.col("version")
     scored = F.col("fired") & F.col("weight").isNotNull()
     entry = F.struct(b["pos"].alias("pos"), F.col("signal"), b["analyzer"].alias("analyzer"), b["weight"].alias("weight"),
-                     b["confidence"].alias("confidence"), b["points"].alias("points"), F.col("label"),
+                     b["confidence"].alias("confidence"), b["points"].alias("points"), F.col("label"), F.col("rationale"),
                      b["detail"].alias("detail"), F.coalesce("is_credit", F.lit(False)).alias("is_credit"))
-    per_case = per_signal.groupBy("case_id").agg(
+    per_case = per_signal.groupBy("case_id", "version").agg(
         F.sort_array(F.collect_list(F.when(scored, entry))).alias("found"),
         F.sort_array(F.collect_list(F.when(F.col("fired") & F.col("weight").isNull(), F.col("signal")))).alias("unknown_signals"),
         F.sort_array(F.collect_list(F.when(F.col("fired") & F.col("general"), F.col("signal")))).alias("suppressed_by"),
@@ -94,7 +107,8 @@ def score_cases(evidence: DataFrame, cases: DataFrame | None = None, version: st
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("lanes")))).alias("lanes_unavailable"))
     if cases is not None:
         none = F.array().cast("array<string>")
-        per_case = (cases.select("case_id").join(per_case, "case_id", "left")
+        every = cases.select("case_id").withColumn("version", F.explode(F.array(*[F.lit(x) for x in book.versions])))
+        per_case = (every.join(per_case, ["case_id", "version"], "left")
                     .withColumn("identity_blocked", F.coalesce("identity_blocked", F.lit(False))))
         for c in ("unknown_signals", "suppressed_by", "lanes_unavailable"):
             per_case = per_case.withColumn(c, F.coalesce(c, none))
@@ -103,7 +117,7 @@ def score_cases(evidence: DataFrame, cases: DataFrame | None = None, version: st
     blocked = lambda c: (c["weight"] < 0) & F.when(c["is_credit"], F.col("identity_blocked")).otherwise(general)
     total = F.aggregate("kept", F.lit(0.0), lambda acc, c: acc + c["points"])
     penalty = F.lit(100) - fx.UNAVAILABLE_PENALTY_PERCENT * F.size("lanes_unavailable")
-    shown = F.transform("kept", lambda c: c.withField("points", _round_display(c["points"], version).cast("double")))
+    shown = F.transform("kept", lambda c: c.withField("points", by_profile(book, v, lambda p: _round_display(c["points"], p))))
     # cast the order key first: sorting a struct is by field order
     ranked = F.transform(F.array_sort(F.transform(shown, lambda c: F.struct((-F.abs(c["points"])).alias("k"), c["pos"].alias("p"), c.alias("c")))),
                          lambda s: s["c"].dropFields("is_credit"))
@@ -111,17 +125,17 @@ def score_cases(evidence: DataFrame, cases: DataFrame | None = None, version: st
             .withColumn("kept", F.filter("found", lambda c: ~blocked(c)))
             .withColumn("suppressed_negatives", F.transform(F.filter("found", blocked), lambda c: c["signal"]))
             .withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.bround(total).cast("int"))))
-            .withColumn("band", band_of(F.col("score"), version))
+            .withColumn("band", by_profile(book, v, lambda p: band_of(F.col("score"), p)))
             .withColumn("confidence", F.greatest(F.lit(0), F.least(F.lit(100), penalty)) / 100)
             .withColumn("contributions", ranked)
             .withColumn("summary", summary_text(F.col("band"), F.col("contributions"),
                                                 F.col("lanes_unavailable"), F.col("suppressed_negatives")))
-            .select("case_id", "score", "band", "confidence", F.lit(version).alias("scorer_version"), "contributions",
+            .select("case_id", "score", "band", "confidence", v.alias("scorer_version"), "contributions",
                     "lanes_unavailable", "suppressed_negatives", "suppressed_by", "unknown_signals", "summary"))
 
 
 _EMPTY_ENTRY = ("named_struct('pos', 0, 'signal', '', 'analyzer', '', 'weight', 0, 'confidence', 0D, 'points', 0D, "
-                "'label', '', 'detail', '', 'is_credit', false)")
+                "'label', '', 'rationale', '', 'detail', '', 'is_credit', false)")
 
 
 def contributions(verdicts: DataFrame) -> DataFrame:
@@ -140,13 +154,13 @@ def with_lane_outcomes(evidence: DataFrame, lane_runs: DataFrame) -> DataFrame:
     return evidence.select("case_id", "pos", "analyzer", "signal", "status", "confidence", "detail").unionByName(outcome)
 
 
-def rescore_diff(evidence: DataFrame, old: str = dims.EARLIER, new: str = dims.LATEST) -> DataFrame:
-    """Verdict of every case under two rule versions, side by side."""
-    pick = lambda v, p: score_cases(evidence, version=v).select(
-        "case_id", F.col("score").alias(f"{p}_score"), F.col("band").alias(f"{p}_band"))
-    return (pick(old, "old").join(pick(new, "new"), "case_id", "full_outer")
-            .withColumn("changed", ~(F.col("old_score").eqNullSafe(F.col("new_score")) &
-                                     F.col("old_band").eqNullSafe(F.col("new_band")))))
+def rescore_diff(evidence: DataFrame, old: str = dims.EARLIER, new: str = dims.LATEST, book: RuleBook | None = None) -> DataFrame:
+    """Verdict of every case under two rule versions, side by side, from one pass over the evidence."""
+    book = book or built_in(evidence.sparkSession, [old, new])
+    at = lambda v, c: F.max(F.when(F.col("scorer_version") == v, F.col(c)))
+    rows = score_versions(evidence, book).groupBy("case_id").agg(at(old, "score").alias("old_score"), at(old, "band").alias("old_band"),
+                                                                 at(new, "score").alias("new_score"), at(new, "band").alias("new_band"))
+    return rows.withColumn("changed", ~(F.col("old_score").eqNullSafe(F.col("new_score")) & F.col("old_band").eqNullSafe(F.col("new_band"))))
 
 
 def legacy_fraud_score(df: DataFrame) -> DataFrame:

@@ -29,13 +29,15 @@ def case_list(verdicts: DataFrame, cases: DataFrame, urls: DataFrame, attachment
     return out if origins is None else out.join(origins.select("case_id", "origin_ip"), "case_id", "left")
 
 
-def case_detail(verdicts: DataFrame, cases: DataFrame, hops: DataFrame, urls: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Q02: message columns, last stamped hop, counts and verdict."""
+def case_detail(verdicts: DataFrame, cases: DataFrame, hops: DataFrame, urls: DataFrame, attachments: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Q02: message columns, last stamped hop, counts, verdict and the sender-footprint detail, which no contribution carries."""
     n = lambda t, name: t.groupBy("case_id").agg(F.count("*").alias(name))
     got = hops.groupBy("case_id").agg(F.max("ts").alias("received_at"))
+    footprint = (evidence.filter(F.col("signal").isin("sender_email_footprint", "sender_no_footprint")).groupBy("case_id")
+                 .agg(F.min_by("detail", "pos").alias("footprint")))
     return (cases.join(verdicts.select("case_id", "score", "band", "confidence", "summary"), "case_id")
             .join(got, "case_id", "left").join(n(urls, "url_count"), "case_id", "left").join(n(attachments, "attachment_count"), "case_id", "left")
-            .na.fill(0, ["url_count", "attachment_count"]))
+            .join(footprint, "case_id", "left").na.fill(0, ["url_count", "attachment_count"]))
 
 
 def annotated_headers(headers: DataFrame, trusted_hops: DataFrame) -> DataFrame:

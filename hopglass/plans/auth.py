@@ -29,7 +29,7 @@ def a02(src):
     FROM sig s JOIN d_cases c ON c.case_id = s.case_id""")
 def a03(src):
     j = op.signing_domains(src.d_headers).join(src.d_cases.select("case_id", hd.domain_of(F.col("from_addr")).alias("fd")), "case_id")
-    return j.select("case_id", "pos", op.aligned(F.col("domain"), F.col("fd")).alias("by_org"), op.aligned(F.col("domain"), F.col("fd"), EARLIER).alias("by_suffix"))
+    return j.select("case_id", "pos", op.aligned(F.col("domain"), F.col("fd"), suffixes=src.suffixes).alias("by_org"), op.aligned(F.col("domain"), F.col("fd"), EARLIER).alias("by_suffix"))
 
 
 _DK = f"""{_SIG}, sa AS (SELECT s.*, {o.same('s.domain', o.dom('c.from_addr'))} AS al FROM sig s JOIN d_cases c ON c.case_id = s.case_id),
@@ -42,7 +42,7 @@ _DK = f"""{_SIG}, sa AS (SELECT s.*, {o.same('s.domain', o.dom('c.from_addr'))}
 
 @query("a04_dkim_decision", f"WITH {_DK} SELECT case_id, signal, dkim_pass FROM dk")
 def a04(src):
-    return op.dkim_decisions(src.d_cases, src.d_headers, src.d_auth_results).select("case_id", "signal", "dkim_pass")
+    return op.dkim_decisions(src.d_cases, src.d_headers, src.d_auth_results, suffixes=src.suffixes).select("case_id", "signal", "dkim_pass")
 
 
 @query("a04_dkim_first_signature", f"""WITH {_SIG}, f AS (SELECT case_id, arg_min(domain, pos) AS domain FROM sig GROUP BY case_id),
@@ -53,14 +53,17 @@ def a04_first(src):
     return op.dkim_decisions(src.d_cases, src.d_headers, src.d_auth_results, EARLIER).select("case_id", "signal")
 
 
-_SPF = f"""{o.hop_ctes()}, m AS (SELECT c.case_id, {o.dom('c.from_addr')} AS fd, coalesce({o.dom('c.return_path')}, {o.dom('c.from_addr')}) AS sd FROM d_cases c JOIN origin g ON g.case_id = c.case_id AND g.boundary_ip IS NOT NULL),
+_SPF = f"""{o.hop_ctes()}, m AS (SELECT c.case_id, {o.dom('c.from_addr')} AS fd, coalesce({o.dom('c.return_path')}, {o.dom('c.from_addr')}) AS sd, g.boundary_ip AS bip FROM d_cases c JOIN origin g ON g.case_id = c.case_id AND g.boundary_ip IS NOT NULL),
+    so AS (SELECT m.case_id, CASE min(CASE s.result WHEN 'fail' THEN 1 WHEN 'permerror' THEN 2 WHEN 'temperror' THEN 3 WHEN 'softfail' THEN 4 WHEN 'pass' THEN 9 ELSE 5 END)
+        WHEN 1 THEN 'fail' WHEN 2 THEN 'permerror' WHEN 3 THEN 'temperror' WHEN 4 THEN 'softfail' WHEN 9 THEN 'pass' ELSE 'neutral' END AS result
+      FROM m JOIN d_auth_results s ON s.case_id = m.case_id AND s.mech = 'spf' AND (s.ip IS NULL OR s.ip = m.bip) AND (s.domain IS NULL OR s.domain = m.sd) GROUP BY m.case_id),
     sp AS (SELECT m.case_id, m.sd AS spf_domain, CASE WHEN s.result = 'fail' AND a.result = 'pass' THEN 'arc_authenticated' WHEN s.result = 'fail' THEN 'spf_fail_hard'
         WHEN s.result IN ('temperror', 'permerror') THEN 'spf_unavailable' END AS signal, s.result = 'pass' AND {o.same('m.sd', 'm.fd')} AS spf_pass
-      FROM m JOIN d_auth_results s ON s.case_id = m.case_id AND s.mech = 'spf' LEFT JOIN d_auth_results a ON a.case_id = m.case_id AND a.mech = 'arc')"""
+      FROM m JOIN so s ON s.case_id = m.case_id LEFT JOIN d_auth_results a ON a.case_id = m.case_id AND a.mech = 'arc')"""
 
 
 def _spf(src):
-    return op.spf_decisions(src.d_cases, hd.relay_facts(src.d_hops), src.d_auth_results)
+    return op.spf_decisions(src.d_cases, hd.relay_facts(src.d_hops), src.d_auth_results, suffixes=src.suffixes)
 
 
 @query("a05_spf_decision", f"WITH {_SPF} SELECT case_id, spf_domain, signal, spf_pass FROM sp")
@@ -80,7 +83,7 @@ _POL = f"""dm AS (SELECT DISTINCT {_FD} AS domain FROM d_cases), dp AS (SELECT d
 
 @query("a07_dmarc_policy", f"WITH {_POL} SELECT domain, policy, policy IS NULL AND down AS unavailable FROM dp")
 def a07(src):
-    return op.dmarc_policies(src.d_cases.select(hd.domain_of(F.col("from_addr")).alias("domain")), src.d_dns_policy)
+    return op.dmarc_policies(src.d_cases.select(hd.domain_of(F.col("from_addr")).alias("domain")), src.d_dns_policy, suffixes=src.suffixes)
 
 
 @query("a07_dmarc_parent_walk", f"""SELECT d.domain, arg_max(coalesce(p, 'none'), length(r.domain)) AS policy FROM (SELECT DISTINCT {_FD} AS domain FROM d_cases) d
@@ -95,7 +98,7 @@ _ALL = f"""{_DK}, {_SPF}, {_POL}, au AS (SELECT c.case_id, sp.signal AS spf, dk.
 
 
 def _facts(src):
-    return op.auth_facts(src.d_cases, src.d_headers, hd.relay_facts(src.d_hops), src.d_auth_results, src.d_dns_policy)
+    return op.auth_facts(src.d_cases, src.d_headers, hd.relay_facts(src.d_hops), src.d_auth_results, src.d_dns_policy, suffixes=src.suffixes)
 
 
 @query("a08_dmarc_fail_strict", f"WITH {_ALL} SELECT case_id, dmarc AS signal FROM au WHERE dmarc IS NOT NULL")

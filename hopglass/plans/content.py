@@ -45,18 +45,18 @@ def c03(src):
     return _text(src).select("case_id", F.explode(tx.mixed_script_words(F.col("t"))).alias("word"))
 
 
-_REP = f"SELECT case_id, len({_MIX}) AS mixed, {_RUNS} AS runs, len({_MIX}) > 0 OR {_RUNS} > 0 AS obfuscated FROM d_messages"
+_REP = f"SELECT case_id, len({_MIX}) AS mixed, array_to_string({_MIX}, ' ') AS words, {_RUNS} AS runs, len({_MIX}) > 0 OR {_RUNS} > 0 AS obfuscated FROM d_messages"
 
 
 @query("c04_obfuscation_report", _REP)
 def c04(src):
     r = tx.with_obfuscation_report(_text(src), "t", "r")
-    return r.select("case_id", F.col("r.mixed_script_count").alias("mixed"), F.col("r.invisible_runs").alias("runs"), "r.obfuscated")
+    return r.select("case_id", F.col("r.mixed_script_count").alias("mixed"), F.array_join("r.mixed_script_words", " ").alias("words"), F.col("r.invisible_runs").alias("runs"), "r.obfuscated")
 
 
 def _lane(src, version=LATEST):
     links = op.link_domains_of(su.extract_urls(src.d_messages))
-    return op.content_lane(src.d_messages.join(links, "case_id", "left"), version=version)
+    return op.content_lane(src.d_messages.join(links, "case_id", "left"), version=version, suffixes=src.suffixes)
 
 
 def _hits(lane, signal):
@@ -113,7 +113,7 @@ def c08(src):
 
 def _linked(src):
     links = op.link_domains_of(su.extract_urls(src.d_messages))
-    return op.link_facts(src.d_messages.join(links, "case_id", "left"))
+    return op.link_facts(src.d_messages.join(links, "case_id", "left"), suffixes=src.suffixes)
 
 
 @query("c09_off_organisation_link", f"WITH {_LK}, {_OFFX} SELECT case_id, off FROM off")

@@ -12,7 +12,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed_values as fx
-from ..functions.net import cidr_bounds
 from ..operators.dims import LATEST, rule_rows, values_sql
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -25,6 +24,11 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["d_signals"] = f"SELECT * FROM {values_sql(_SIGNALS, 't(idx, signal, analyzer)')}"
 
+VIEWS["d_suffix_rules"] = """
+SELECT * FROM (VALUES ('co.in', false), ('gov.in', false), ('org.in', false), ('net.in', false), ('edu.in', false), ('co.uk', false), ('ac.uk', false),
+  ('com.mx', false), ('co.za', false), ('com.sg', false), ('co.jp', false), ('jp', false), ('com', false), ('*.ck', false), ('!www.ck', false),
+  ('*.kawasaki.jp', false), ('!city.kawasaki.jp', false), ('herokuapp.com', true), ('github.io', true), ('web.app', true)) AS t(rule, private)"""
+
 VIEWS["d_cases"] = """
 SELECT o_orderkey AS case_id, 'owner' || CAST(o_custkey % 7 AS STRING) AS owner, o_orderdate AS arrival,
   CASE o_orderkey % 9 WHEN 0 THEN 'Re: invoice ' || CAST(o_custkey AS STRING)
@@ -33,12 +37,13 @@ SELECT o_orderkey AS case_id, 'owner' || CAST(o_custkey % 7 AS STRING) AS owner,
   'Sender ' || CAST(o_custkey AS STRING) AS from_display_name,
   'user' || CAST(o_custkey % 50 AS STRING) || '@' || dom AS from_addr,
   CASE o_orderkey % 5 WHEN 1 THEN 'desk@' || dom WHEN 2 THEN 'support@help.' || dom
-    WHEN 3 THEN 'pay@elsewhere.net' END AS reply_to,
+    WHEN 3 THEN 'pay@elsewhere.net'
+    WHEN 4 THEN CASE o_custkey % 3 WHEN 0 THEN 'pay@evil.com.mx' WHEN 1 THEN 'pay@other.a.ck' ELSE 'pay@pay.co.za' END END AS reply_to,
   CASE o_orderkey % 4 WHEN 0 THEN 'bounce@mail.' || dom WHEN 1 THEN 'user@' || dom
-    WHEN 2 THEN 'x@bulk.example.org' END AS return_path,
+    WHEN 2 THEN 'x@bulk.example.org' ELSE 'b@mailer.com.mx' END AS return_path,
   CASE o_orderkey % 6 WHEN 0 THEN '<' || CAST(o_orderkey AS STRING) || '@' || dom || '>'
     WHEN 1 THEN '<' || CAST(o_orderkey AS STRING) || '@mx.org2.com>'
-    WHEN 2 THEN '<' || CAST(o_orderkey AS STRING) || '@unrelated.org>'
+    WHEN 2 THEN '<' || CAST(o_orderkey AS STRING) || CASE o_custkey % 2 WHEN 0 THEN '@unrelated.org>' ELSE '@evil.com.mx>' END
     WHEN 3 THEN NULL
     ELSE '<' || CAST(o_orderkey AS STRING) || '@out.' || dom || '>' END AS message_id,
   md5(CAST(o_orderkey AS STRING)) AS sha256
@@ -46,7 +51,8 @@ FROM (SELECT *, CASE o_custkey % 23 WHEN 0 THEN 'sbi-secure-login.com' WHEN 1 TH
     WHEN 2 THEN 'npcil.co.in' WHEN 3 THEN 'incometex.gov.in' WHEN 4 THEN 'gmail.com'
     WHEN 5 THEN 'news.brand.co.uk' WHEN 6 THEN 'victim.herokuapp.com' WHEN 7 THEN 'mailinator.com'
     WHEN 8 THEN 'aicte-lndia.org' WHEN 9 THEN 'incometax.gov.in.evil.tk' WHEN 10 THEN '0nl1nesbi.com'
-    WHEN 11 THEN 'npci.0rg.in' WHEN 12 THEN 'onlinesbii.net'
+    WHEN 11 THEN 'npci.0rg.in' WHEN 12 THEN 'onlinesbii.net' WHEN 13 THEN 'bank.com.mx' WHEN 14 THEN 'shop.a.ck'
+    WHEN 15 THEN 'mail.www.ck' WHEN 16 THEN 'mail.pay.co.za' WHEN 17 THEN 'desk.city.kawasaki.jp'
     ELSE 'corp' || CAST(o_custkey % 97 AS STRING) || '.com' END AS dom FROM orders) o"""
 
 VIEWS["d_evidence"] = """
@@ -72,6 +78,9 @@ SELECT l_orderkey AS case_id, CAST(rn - 1 AS INT) AS seq, n, l_partkey, l_suppke
     WHEN 6 THEN '45.55.' || CAST(l_suppkey % 256 AS STRING) || '.7'
     WHEN 7 THEN '198.51.100.' || CAST(l_suppkey % 256 AS STRING)
     WHEN 8 THEN '100.64.3.' || CAST(l_suppkey % 256 AS STRING)
+    WHEN 9 THEN '2a02:' || lower(hex(1 + l_suppkey % 4)) || ':' || lower(hex(1 + l_partkey % 250)) || ':1:1:1:' || lower(hex(1 + l_orderkey % 7)) || ':' || lower(hex(1 + l_suppkey % 200))
+    WHEN 10 THEN CASE l_suppkey % 3 WHEN 0 THEN 'fd00:1:1:1:1:1:1:' || lower(hex(1 + l_suppkey % 200)) WHEN 1 THEN 'fe80:1:1:1:1:1:1:' || lower(hex(1 + l_suppkey % 200))
+      ELSE '2001:db8:1:1:1:1:1:' || lower(hex(1 + l_suppkey % 200)) END
     ELSE CAST(80 + l_suppkey % 5 AS STRING) || '.' || CAST(l_partkey % 250 AS STRING) || '.' ||
          CAST(l_suppkey % 250 AS STRING) || '.' || CAST(l_orderkey % 250 AS STRING) END AS from_ip,
   CASE WHEN n - rn < l_orderkey % 3 THEN 'MX.example.ac.in'
@@ -84,7 +93,7 @@ FROM (SELECT l.*, o.o_orderdate AS arrival,
     count(*) OVER (PARTITION BY l_orderkey) AS n
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey) x"""
 
-_HOP_RAW = """coalesce('from ' || coalesce(from_host, 'unknown-host') || coalesce(' (' || coalesce(from_host || ' ', '') || '[' || from_ip || '])', '')
+_HOP_RAW = """coalesce('from ' || coalesce(from_host, 'unknown-host') || coalesce(' (' || coalesce(from_host || ' ', '') || '[' || CASE WHEN position(':' IN from_ip) > 0 THEN 'IPv6:' ELSE '' END || from_ip || '])', '')
     || ' by ' || by_host || coalesce(' with ' || lower(protocol), '') || ' id q' || CAST(l_partkey AS STRING)
     || coalesce('; Tue, ' || CAST(extract(day FROM ts) AS STRING) || ' '
        || substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(extract(month FROM ts) * 3 - 2 AS INT), 3) || ' '
@@ -107,20 +116,24 @@ UNION ALL SELECT o_orderkey, 102, 'Authentication-Results', 'mx.example.ac.in; s
   CASE o_custkey % 3 WHEN 0 THEN '; dkim=pass header.d=x.com' WHEN 1 THEN '; dkim=fail' ELSE '' END ||
   CASE o_custkey % 5 WHEN 0 THEN '; dmarc=fail' WHEN 1 THEN '; DMARC=pass' ELSE '' END
   FROM orders WHERE o_orderkey % 5 <> 0
-UNION ALL SELECT o_orderkey, 103, 'DKIM-Signature', 'v=1; a=rsa-sha256; d=unrelated.org; s=k1; bh=x'
+UNION ALL SELECT o_orderkey, 103, 'DKIM-Signature', 'v=1; a=rsa-sha256; d=' || CASE o_orderkey % 12 WHEN 0 THEN 'evil.com.mx' ELSE 'unrelated.org' END || '; s=k1; bh=x'
   FROM orders WHERE o_orderkey % 6 = 0
 UNION ALL SELECT case_id, 104, 'dkim-signature', 'v=1; a=rsa-sha256; D = ' || substr(from_addr, strpos_at + 1) || ' ; s=k2; bh=y'
   FROM (SELECT case_id, from_addr, position('@' IN from_addr) AS strpos_at FROM d_cases) c WHERE case_id % 7 < 3"""
 
 VIEWS["d_auth_results"] = """
-SELECT case_id, 'spf' AS mech, CAST(NULL AS STRING) AS domain,
+SELECT case_id, 'spf' AS mech, CAST(NULL AS STRING) AS domain, CAST(NULL AS STRING) AS ip,
   CASE case_id % 6 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'fail' WHEN 3 THEN 'temperror'
     WHEN 4 THEN 'softfail' ELSE 'pass' END AS result FROM d_cases WHERE case_id % 10 <> 9
-UNION ALL SELECT case_id, 'dkim', substr(from_addr, position('@' IN from_addr) + 1),
+UNION ALL SELECT case_id, 'spf', substr(return_path, position('@' IN return_path) + 1), NULL, CASE case_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'permerror' ELSE 'neutral' END
+  FROM d_cases WHERE case_id % 10 < 4
+UNION ALL SELECT case_id, 'spf', 'stranger.example.org', NULL, 'temperror' FROM d_cases WHERE case_id % 4 = 1
+UNION ALL SELECT case_id, 'spf', NULL, '192.0.2.77', 'fail' FROM d_cases WHERE case_id % 4 = 2
+UNION ALL SELECT case_id, 'dkim', substr(from_addr, position('@' IN from_addr) + 1), NULL,
   CASE case_id % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'temperror' WHEN 3 THEN 'neutral' ELSE 'pass' END
   FROM d_cases WHERE case_id % 7 < 2
-UNION ALL SELECT case_id, 'dkim', 'unrelated.org', 'pass' FROM d_cases WHERE case_id % 6 = 0
-UNION ALL SELECT case_id, 'arc', CAST(NULL AS STRING), CASE case_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'pass' END
+UNION ALL SELECT case_id, 'dkim', CASE case_id % 12 WHEN 0 THEN 'evil.com.mx' ELSE 'unrelated.org' END, NULL, 'pass' FROM d_cases WHERE case_id % 6 = 0
+UNION ALL SELECT case_id, 'arc', CAST(NULL AS STRING), NULL, CASE case_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'pass' END
   FROM d_cases WHERE case_id % 8 < 4"""
 
 VIEWS["d_sender_domains"] = """
@@ -132,7 +145,9 @@ SELECT domain, CASE length(domain) % 4 WHEN 0 THEN 'reject' WHEN 1 THEN 'quarant
   CASE length(domain) % 4 WHEN 3 THEN 'unreachable' ELSE 'found' END AS state
 FROM d_sender_domains WHERE length(domain) % 5 <> 0
 UNION ALL SELECT 'brand.co.uk', 'none', 'quarantine', 'found'
-UNION ALL SELECT 'sbi.co.in', 'reject', NULL, 'found'"""
+UNION ALL SELECT 'sbi.co.in', 'reject', NULL, 'found'
+UNION ALL SELECT 'pay.co.za', 'none', 'quarantine', 'found'
+UNION ALL SELECT 'com.mx', 'reject', 'reject', 'found'"""
 
 VIEWS["d_domain_intel"] = """
 SELECT domain, CASE WHEN length(domain) % 7 = 1 THEN NULL
@@ -154,7 +169,7 @@ SELECT l_orderkey AS case_id, CAST(row_number() OVER (PARTITION BY l_orderkey OR
   l_partkey % 9 = 0 AS mismatched_anchor
 FROM (SELECT *, CASE l_suppkey % 9 WHEN 0 THEN 'bit.ly' WHEN 1 THEN 'docs.google.com' WHEN 2 THEN 't.co'
     WHEN 3 THEN 'a' || CAST(l_partkey % 700 AS STRING) || '.evil' || CAST(l_partkey % 400 AS STRING) || '.co.in'
-    WHEN 4 THEN 'www.evil' || CAST(l_partkey AS STRING) || '.com'
+    WHEN 4 THEN 'www.evil' || CAST(l_partkey AS STRING) || CASE l_partkey % 3 WHEN 0 THEN '.com.mx' WHEN 1 THEN '.ck' ELSE '.com' END
     WHEN 5 THEN 'corp' || CAST(l_partkey % 97 AS STRING) || '.com'
     WHEN 6 THEN 't' || CAST(l_partkey AS STRING) || '.herokuapp.com'
     ELSE 'login.site' || CAST(l_partkey * 100 + l_suppkey AS STRING) || '.net' END AS host
@@ -245,17 +260,23 @@ SELECT o_orderkey AS case_id, 'M' || CAST(2 + o_custkey % 7 AS STRING) AS lane,
 
 VIEWS["d_ip_list"] = "SELECT * FROM (VALUES ('tor', '185.220.101.1'), ('tor', '185.220.101.2'), ('tor', '171.25.193.25')) AS t(kind, ip)"
 
-_RANGES = [("vpn", "146.70.0.0/16"), ("vpn", "80.10.0.0/15"), ("vpn", "81.100.7.0/24"), ("dc", "45.55.0.0/16"),
-           ("dc", "104.16.0.0/12"), ("dc", "82.0.0.0/9"), ("dc", "83.5.5.5/32"), ("dc", "80.0.0.0/6")]
-VIEWS["d_ip_ranges"] = f"SELECT kind, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM {values_sql([(k, *cidr_bounds(c)) for k, c in _RANGES[:7]], 't(kind, lo, hi)')}"
+# aligned, unaligned, nested and one-address ranges of both families; the last ones cannot be read
+_RANGES = [("vpn", "146.70.0.0", "146.70.255.255"), ("vpn", "80.10.0.0", "80.11.255.255"), ("vpn", "81.100.7.0", "81.100.7.255"), ("vpn", "2a02:1::", "2a02:1:80:ffff:ffff:ffff:ffff:ffff"),
+           ("vpn", "84.0.0.0", "84.255.255.255"), ("dc", "45.55.0.0", "45.55.255.255"), ("dc", "104.16.0.0", "104.31.255.255"), ("dc", "82.0.0.5", "82.120.3.77"),
+           ("dc", "83.5.5.5", "83.5.5.5"), ("dc", "2a02:2:5:1:1:1:2:3", "2a02:2:5:1:1:1:2:9"), ("dc", "2001:db8:1:1::", "2001:db8:1:1:ffff:ffff:ffff:ffff"),
+           ("dc", "1.2.3.4", "1.2.3.300"), ("dc", "10.0.0.1", "2a02::")]
+VIEWS["d_ip_ranges"] = f"SELECT * FROM {values_sql(_RANGES, 't(kind, first_ip, last_ip)')}"
 
 VIEWS["d_geo_ranges"] = """
-SELECT CAST((80 + n_nationkey % 5) AS BIGINT) * 16777216 + n_nationkey * 10 * 65536 AS lo,
-  CAST((80 + n_nationkey % 5) AS BIGINT) * 16777216 + n_nationkey * 10 * 65536 + 655359 AS hi,
+SELECT CAST(80 + n_nationkey % 5 AS STRING) || '.' || CAST(n_nationkey * 10 AS STRING) || '.0.0' AS first_ip,
+  CAST(80 + n_nationkey % 5 AS STRING) || '.' || CAST(n_nationkey * 10 + 9 AS STRING) || '.255.' || CAST(250 + n_nationkey % 6 AS STRING) AS last_ip,
   n_name AS country, 'City ' || CAST(n_nationkey AS STRING) AS city, CAST(n_nationkey AS DOUBLE) AS lat, CAST(n_regionkey AS DOUBLE) AS lon FROM nation
-UNION ALL SELECT CAST(80 + r_regionkey AS BIGINT) * 16777216, CAST(81 + r_regionkey AS BIGINT) * 16777216 - 1, r_name, NULL,
-  CAST(r_regionkey AS DOUBLE), 0.5 FROM region
-UNION ALL SELECT CAST(80 AS BIGINT) * 16777216, CAST(84 AS BIGINT) * 16777216 - 1, 'WIDE', NULL, 0.0, 0.0 FROM region WHERE r_regionkey = 0"""
+UNION ALL SELECT '2a02:' || lower(hex(1 + n_nationkey % 4)) || ':' || lower(hex(n_nationkey * 8)) || '::', '2a02:' || lower(hex(1 + n_nationkey % 4)) || ':' || lower(hex(n_nationkey * 8 + 11)) || ':ffff:ffff:ffff:ffff:ffff',
+  n_name, 'Six ' || CAST(n_nationkey AS STRING), CAST(n_nationkey AS DOUBLE), 6.0 FROM nation
+UNION ALL SELECT CAST(80 + r_regionkey AS STRING) || '.0.0.0', CAST(80 + r_regionkey AS STRING) || '.255.255.255', r_name, NULL, CAST(r_regionkey AS DOUBLE), 0.5 FROM region
+UNION ALL SELECT '80.0.0.0', '83.255.255.255', 'WIDE', NULL, 0.0, 0.0 FROM region WHERE r_regionkey = 0
+UNION ALL SELECT '0.0.0.0', '127.255.255.255', 'HALF', NULL, 0.0, 1.0 FROM region WHERE r_regionkey = 0
+UNION ALL SELECT '2a00::', '2aff:ffff:ffff:ffff:ffff:ffff:ffff:ffff', 'REGISTRY', NULL, 0.0, 2.0 FROM region WHERE r_regionkey = 0"""
 
 VIEWS["d_feed"] = """
 SELECT '185.220.101.' || CAST(user_id % 5 AS STRING) AS ip, CAST(event_id % 100 AS INT) AS feed_score,

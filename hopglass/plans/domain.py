@@ -141,13 +141,13 @@ def _hosts(src):
 
 @query("d11_registrable_domain", f"SELECT host, {o.org('host')} AS org_domain, {o.org('host', False)} AS org_without_private FROM {_HOSTS}")
 def d11(src):
-    return _hosts(src).select("host", fd.registrable(F.col("host")).alias("org_domain"), fd.registrable(F.col("host"), False).alias("org_without_private"))
+    rules = src.suffixes
+    return _hosts(src).select("host", fd.registrable(F.col("host"), rules).alias("org_domain"), fd.registrable(F.col("host"), rules, False).alias("org_without_private"))
 
 
 @query("d11_suffix_table", f"SELECT host, {o.org('host')} AS org_domain FROM {_HOSTS}")
 def d11_table(src):
-    suffixes = inline(src.spark, [(s,) for s in fx.TWO_LABEL_SUFFIXES + fx.PRIVATE_SUFFIXES], "suffix string")
-    by = fd.registrable_by_table(_hosts(src), "host", suffixes)
+    by = fd.registrable_by_table(_hosts(src), "host", src.d_suffix_rules)
     # hosts without a listed suffix use their last label, so "localhost" has none
     return by.select("host", F.when(F.col("org_domain").contains("."), F.col("org_domain")).alias("org_domain"))
 
@@ -155,7 +155,7 @@ def d11_table(src):
 @query("d12_same_org", f"SELECT case_id, {o.same(o.dom('from_addr'), o.dom('return_path'))} AS same FROM d_cases WHERE return_path IS NOT NULL")
 def d12(src):
     return (src.d_cases.filter("return_path is not null")
-            .select("case_id", fd.same_org(fd.domain_of(F.col("from_addr")), fd.domain_of(F.col("return_path"))).alias("same")))
+            .select("case_id", fd.same_org(fd.domain_of(F.col("from_addr")), fd.domain_of(F.col("return_path")), src.suffixes).alias("same")))
 
 
 @query("d13_lane_clear", f"""WITH RECURSIVE {_I}, lk AS ({_look(fx.LEGIT_NEAR_BRANDS).replace('WITH RECURSIVE', 'WITH RECURSIVE')})

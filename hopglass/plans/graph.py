@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
+from ..functions.net import with_routability
 from ..operators import graph as op, headers as hd, scoring
 from ..operators.dims import EARLIER, LATEST
 from . import oracle_parts as o
@@ -34,8 +35,8 @@ _COMP = f"WITH RECURSIVE {_components(_EDGES)} "
 
 def _extracted(src, version=LATEST):
     facts = hd.relay_facts(src.d_hops).select("case_id", "origin_ip", (F.col("origin_seq").eqNullSafe(F.col("boundary_seq")) & F.col("origin_ip").isNotNull()).alias("defensible"))
-    hops = src.d_hops.withColumn("public", hd.v4_public(F.col("from_ip")))
-    return op.extract_indicators(src.d_cases, facts, src.d_urls, src.d_attachments, version, hops)
+    hops = with_routability(src.d_hops, "from_ip")
+    return op.extract_indicators(src.d_cases, facts, src.d_urls, src.d_attachments, version, hops, src.suffixes)
 
 
 _SKIP = o.words(fx.PUBLIC_PROVIDERS + fx.COMMON_LINK_HOSTS)
@@ -146,8 +147,8 @@ def g12(src):
 
 
 def _links(src, replies=True):
-    hops = hd.with_trust(src.d_hops).withColumn("public", hd.v4_public(F.col("from_ip"))).drop("boundary_seq")
-    return op.entity_links(src.d_cases, hops, src.d_urls, src.d_attachments, src.d_headers if replies else None)
+    hops = with_routability(hd.with_trust(src.d_hops), "from_ip").drop("boundary_seq")
+    return op.entity_links(src.d_cases, hops, src.d_urls, src.d_attachments, src.d_headers if replies else None, src.suffixes)
 
 
 _REPLY = """known AS (SELECT owner, trim(message_id) AS mid, arg_max(case_id, (arrival, case_id)) AS other FROM d_cases WHERE message_id IS NOT NULL GROUP BY 1, 2),

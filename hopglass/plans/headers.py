@@ -60,10 +60,10 @@ def h05(src):
     return op.with_trust(src.d_hops).select("case_id", "seq", "trust")
 
 
-@query("h06_trusted_networks", f"""WITH {o.hop_ctes("OR coalesce(" + o.in_cidrs('from_ip', ['198.51.100.0/24', '80.0.0.0/7']) + ", false)")}
+@query("h06_trusted_networks", f"""WITH {o.hop_ctes("OR coalesce(" + o.in_cidrs('from_ip', ['198.51.100.0/24', '80.0.0.0/7', '2a02:3::/32', 'fd00::/8']) + ", false)")}
     SELECT case_id, seq, trust FROM hx""")
 def h06(src):
-    infra = op.Infrastructure(hosts=("", " "), cidrs=("198.51.100.0/24", "80.0.0.0/7"))
+    infra = op.Infrastructure(hosts=("", " "), cidrs=("198.51.100.0/24", "80.0.0.0/7", "2a02:3::/32", "fd00::/8", "300.0.0.0/8"))
     return op.with_trust(src.d_hops, infra).select("case_id", "seq", "trust")
 
 
@@ -104,7 +104,7 @@ def h10(src):
     coalesce(reply_to IS NOT NULL AND NOT {o.same(o.dom('from_addr'), o.dom('reply_to'))}, false) AS org_mismatch FROM d_cases""")
 def h11(src):
     return src.d_cases.select("case_id", op.reply_to_mismatch(F.col("from_addr"), F.col("reply_to"), False).alias("exact_mismatch"),
-                              op.reply_to_mismatch(F.col("from_addr"), F.col("reply_to")).alias("org_mismatch"))
+                              op.reply_to_mismatch(F.col("from_addr"), F.col("reply_to"), suffixes=src.suffixes).alias("org_mismatch"))
 
 
 @query("h12_fake_reply", """SELECT case_id, trim(subject) AS subject FROM d_cases WHERE regexp_matches(trim(subject), '(?i)^\\s*(re|fwd|fw)\\s*(\\[\\d+\\])?\\s*:')
@@ -121,7 +121,7 @@ _MID = "lower(regexp_extract(message_id, '@([^>\\s]+)', 1))"
     SELECT case_id, mid AS message_id_domain, d AS from_domain FROM m WHERE NOT {o.same('mid', 'd')}
       AND NOT EXISTS (SELECT 1 FROM r WHERE r.case_id = m.case_id AND r.host IS NOT NULL AND {o.same('mid', 'r.host')})""")
 def h13(src):
-    return op.message_id_divergence(src.d_cases, src.d_hops)
+    return op.message_id_divergence(src.d_cases, src.d_hops, src.suffixes)
 
 
 @query("h14_chain_discontinuity", f"""WITH a AS (SELECT case_id, seq, {o.org('from_host')} AS org FROM d_hops WHERE from_host LIKE '%.%'),
@@ -129,7 +129,7 @@ def h13(src):
     n AS (SELECT *, row_number() OVER (PARTITION BY case_id, org ORDER BY seq) AS k FROM p)
     SELECT case_id, arg_min(org, seq) FILTER (k >= 2) AS domain, string_agg(org, ' -> ' ORDER BY seq) AS relay_path FROM n GROUP BY case_id HAVING max(k) >= 2""")
 def h14(src):
-    return op.chain_discontinuities(src.d_hops)
+    return op.chain_discontinuities(src.d_hops, src.suffixes)
 
 
 _V4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)\b"
@@ -169,12 +169,27 @@ def h18(src):
     return op.hop_timeline(src.d_hops).select("case_id", _text("origin_sent"), _text("relayed"), _text("delivered"))
 
 
-@query("u_header_lane", _H + f""", found AS (
-      SELECT case_id, 'forged_received_hop' AS signal FROM hx WHERE forged
-      UNION SELECT case_id, 'reply_to_domain_mismatch' FROM d_cases WHERE reply_to IS NOT NULL AND NOT {o.same(o.dom('from_addr'), o.dom('reply_to'))})
-    SELECT signal, count(*) AS n FROM found GROUP BY signal""")
+_STEPS = """st AS (SELECT case_id, seq, ts, lag(ts) OVER (PARTITION BY case_id ORDER BY seq) AS before FROM d_hops WHERE ts IS NOT NULL),
+    tail AS (SELECT *, min(CASE WHEN from_ip IS NULL OR bad THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS in_tail FROM hx)"""
+
+
+@query("u_header_lane", f"""{_H}, {_STEPS}, pa AS (SELECT case_id, seq, {o.org('from_host')} AS org FROM d_hops WHERE from_host LIKE '%.%'),
+    pp AS (SELECT * FROM (SELECT *, lag(org) OVER (PARTITION BY case_id ORDER BY seq) AS prev FROM pa WHERE org IS NOT NULL) WHERE prev IS NULL OR prev <> org),
+    md AS (SELECT case_id, {_MID} AS mid, {o.dom('from_addr')} AS d FROM d_cases WHERE message_id IS NOT NULL),
+    rl AS (SELECT case_id, by_host AS host FROM d_hops UNION ALL SELECT case_id, from_host FROM d_hops),
+    found AS (SELECT case_id, 'forged_received_hop' AS signal FROM hx WHERE forged
+      UNION SELECT case_id, 'private_ip_in_public_chain' FROM tail WHERE in_tail = 0 AND bad AND NOT forged
+      UNION SELECT case_id, 'timestamp_regression' FROM st WHERE ts < before
+      UNION SELECT case_id, 'reply_to_domain_mismatch' FROM d_cases WHERE reply_to IS NOT NULL AND NOT {o.same(o.dom('from_addr'), o.dom('reply_to'))}
+      UNION SELECT case_id, 'fake_reply' FROM d_cases WHERE regexp_matches(trim(subject), '(?i)^\\s*(re|fwd|fw)\\s*(\\[\\d+\\])?\\s*:')
+        AND case_id NOT IN (SELECT case_id FROM d_headers WHERE lower(name) IN ('in-reply-to', 'references'))
+      UNION SELECT case_id, 'message_id_domain_divergence' FROM md WHERE NOT {o.same('mid', 'd')}
+        AND NOT EXISTS (SELECT 1 FROM rl WHERE rl.case_id = md.case_id AND rl.host IS NOT NULL AND {o.same('mid', 'rl.host')})
+      UNION SELECT case_id, 'chain_discontinuity' FROM (SELECT case_id, org FROM pp GROUP BY 1, 2 HAVING count(*) > 1)),
+    names AS (SELECT DISTINCT signal FROM found)
+    SELECT c.case_id, n.signal, CASE WHEN f.case_id IS NULL THEN 'CLEAR' ELSE 'TRIGGERED' END AS status
+    FROM d_cases c CROSS JOIN (VALUES ('forged_received_hop'), ('private_ip_in_public_chain'), ('timestamp_regression'), ('reply_to_domain_mismatch'),
+      ('fake_reply'), ('message_id_domain_divergence'), ('chain_discontinuity')) AS n(signal) LEFT JOIN found f ON f.case_id = c.case_id AND f.signal = n.signal""")
 def header_lane(src):
-    """The lane in one go; the two signals checked here stand for the seven emitted."""
-    lane = op.header_lane(src.d_cases, src.d_headers, src.d_hops)
-    hit = lane.filter((F.col("status") == "TRIGGERED") & F.col("signal").isin("forged_received_hop", "reply_to_domain_mismatch"))
-    return hit.groupBy("signal").agg(F.count("*").alias("n"))
+    """The lane in one go: every case with all seven signals."""
+    return op.header_lane(src.d_cases, src.d_headers, src.d_hops, suffixes=src.suffixes).select("case_id", "signal", "status")

@@ -1,9 +1,12 @@
 """Queries S01-S18 and U01."""
 
+import time
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
-from ..operators import dims, headers as hd, lanes, scoring
+from ..operators import dims, headers as hd, lanes, rulebook, scoring
 from ..sources import mail, store, urls as su
 from . import oracle_parts as o
 from .registry import query
@@ -112,7 +115,8 @@ def s10(src):
     return su.extract_urls(src.d_messages).filter("is_shortened").select("case_id", "url")
 
 
-@query("s11_unwrapped_links", "SELECT case_id, pos, url FROM d_urls")
+@query("s11_unwrapped_links", """SELECT case_id, pos, CASE case_id % 8 WHEN 7 THEN 'https://www.google.com/url?q=' || url ELSE url END AS url, case_id % 8 = 7 AS still_wrapped
+    FROM d_urls""")
 def s11(src):
     u, enc = F.col("url"), F.url_encode("url")
     safe = lambda x: F.concat(F.lit("https://eur01.safelinks.protection.outlook.com/?url="), x, F.lit("&data=1"))
@@ -120,8 +124,15 @@ def s11(src):
     wrapped = (F.when(k == 0, safe(enc)).when(k == 1, F.concat(F.lit("https://urldefense.proofpoint.com/v2/url?u="), F.translate(F.regexp_replace(enc, "-", "%2D"), "%/", "-_"), F.lit("&d=x")))
                .when(k == 2, F.concat(F.lit("https://urldefense.com/v3/__"), u, F.lit("__;!!x"))).when(k == 3, F.concat(F.lit("https://secure-web.cisco.com/1abc/"), enc))
                .when(k == 4, F.concat(F.lit("https://www.google.com/url?q="), enc)).when(k == 5, safe(F.url_encode(safe(F.url_encode(safe(enc))))))
-               .when(k == 6, F.concat(F.lit("https://linkprotect.cudasvc.com/url?a="), enc)).otherwise(u))
-    return src.d_urls.withColumn("w", wrapped).select("case_id", "pos", su.unwrapped(F.col("w")).alias("url"))
+               .when(k == 6, F.concat(F.lit("https://linkprotect.cudasvc.com/url?a="), enc)).otherwise(_nested(u, su.MAX_LAYERS + 1)))
+    found = src.d_urls.withColumn("w", wrapped).select("case_id", "pos", su.unwrapped(F.col("w")).alias("url"))
+    return found.withColumn("still_wrapped", su.still_wrapped(F.col("url")))
+
+
+def _nested(url, layers):
+    for _ in range(layers):
+        url = F.concat(F.lit("https://www.google.com/url?q="), F.url_encode(url))
+    return url
 
 
 @query("s12_svg_active_content", """SELECT case_id AS doc, '<script>alert(1)</script>|onclick="go()"' AS samples FROM d_messages WHERE case_id % 2 = 0""")
@@ -147,15 +158,25 @@ def s14(src):
     return store.plan_upsert(incoming, stored, dims.LATEST)
 
 
-@query("s15_ip_list_loader", """WITH x AS (SELECT c_custkey AS k, 10 + c_custkey % 200 AS a, c_custkey % 250 AS b FROM customer)
-    SELECT k, CAST((a * 16777216 + b * 65536) AS BIGINT) AS lo, CAST((a * 16777216 + b * 65536) + CASE k % 6 WHEN 0 THEN 0 WHEN 1 THEN 65535 ELSE 255 END AS BIGINT) AS hi FROM x WHERE k % 6 IN (0, 1, 2)""")
+_S15 = """SELECT c_custkey AS k, c_custkey % 9 AS m, 10 + c_custkey % 200 AS a, c_custkey % 250 AS b FROM customer"""
+
+
+@query("s15_ip_list_loader", f"""WITH x AS ({_S15}) SELECT k, CASE WHEN m IN (6, 7, 8) THEN 6 WHEN m IN (0, 1, 2) THEN 4 END AS family,
+      CASE m WHEN 0 THEN 32 WHEN 1 THEN 16 WHEN 2 THEN 24 WHEN 6 THEN 128 WHEN 7 THEN 48 WHEN 8 THEN 64 END AS bits,
+      CAST(CASE m WHEN 0 THEN a * 16777216 + b * 65536 WHEN 1 THEN a * 256 + b WHEN 2 THEN a * 65536 + b * 256 WHEN 6 THEN (a * 65536 + b) * 4294967296
+        WHEN 7 THEN (8194 * 65536 + a) * 65536 + b WHEN 8 THEN (8194 * 65536 + a) * 4294967296 + b END AS STRING) AS p1,
+      CAST(CASE WHEN m = 6 THEN 5 WHEN m IN (0, 1, 2, 7, 8) THEN 0 END AS STRING) AS p2
+    FROM x WHERE m <> 3 AND m <> 5""")
 def s15(src):
-    ip = F.concat((F.col("c_custkey") % 200 + 10).cast("string"), F.lit("."), (F.col("c_custkey") % 250).cast("string"))
-    k = F.col("c_custkey") % 6
-    line = (F.when(k == 0, F.concat(F.lit("  "), ip, F.lit(".0.0 "))).when(k == 1, F.concat(ip, F.lit(".7.9/16"))).when(k == 2, F.concat(ip, F.lit(".0.0/24")))
-            .when(k == 3, F.concat(F.lit("# "), ip)).when(k == 4, F.concat(ip, F.lit(".300.1/24"))).otherwise(""))
-    lines = src.customer.select(F.concat_ws("\t", line, F.lit("")).alias("x"), F.col("c_custkey").cast("string").alias("kind"), line.alias("line"))
-    return store.parse_ip_lines(lines, F.col("kind")).select(F.col("kind").cast("bigint").alias("k"), "lo", "hi")
+    """Lists of both families; an unreadable line (m = 4) stays with a NULL prefix."""
+    x = src.customer.selectExpr("c_custkey as k", "c_custkey % 9 as m", "10 + c_custkey % 200 as a", "c_custkey % 250 as b")
+    ip, h = F.concat_ws(".", "a", "b"), lambda c: F.lower(F.hex(c))
+    m = F.col("m")
+    line = (F.when(m == 0, F.concat(F.lit("  "), ip, F.lit(".0.0 "))).when(m == 1, F.concat(ip, F.lit(".7.9/16"))).when(m == 2, F.concat(ip, F.lit(".0.0/24")))
+            .when(m == 3, F.concat(F.lit("# "), ip)).when(m == 4, F.concat(ip, F.lit(".300.1/24"))).when(m == 6, F.concat(h("a"), F.lit(":"), h("b"), F.lit("::5")))
+            .when(m == 7, F.concat(F.lit("2002:"), h("a"), F.lit(":"), h("b"), F.lit("::9/48"))).when(m == 8, F.concat(F.lit("2002:"), h("a"), F.lit(":0:"), h("b"), F.lit("::/64"))).otherwise(""))
+    lines = x.select(F.col("k").cast("string").alias("kind"), line.alias("line"))
+    return store.parse_ip_lines(lines, F.col("kind")).select(F.col("kind").cast("bigint").alias("k"), "family", "bits", F.col("p1").cast("string").alias("p1"), F.col("p2").cast("string").alias("p2"))
 
 
 @query("s16_rule_problems", """SELECT signal, 'suppressor is not a rule' AS problem, count(*) AS n FROM d_evidence WHERE signal NOT IN (SELECT signal FROM d_signals WHERE idx < 39) GROUP BY signal
@@ -166,14 +187,72 @@ def s16(src):
     return dims.rule_problems(dims.rules(src.spark), seen).groupBy("signal", "problem").agg(F.count("*").alias("n"))
 
 
-@query("s17_append_evidence", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, 2 * count(*) AS n FROM events GROUP BY 1")
+_S16 = """SELECT CASE p_partkey % 13 WHEN 0 THEN NULL ELSE 'v' || CAST(p_partkey % 3 AS STRING) END AS version,
+    CASE p_partkey % 11 WHEN 0 THEN '  ' ELSE 'signal_' || CAST(p_partkey - p_partkey % 50 + least(p_partkey % 50, 47) AS STRING) END AS signal,
+    CASE p_partkey % 7 WHEN 0 THEN '12.5' WHEN 1 THEN '101' WHEN 2 THEN 'high' WHEN 3 THEN NULL ELSE ' ' || CAST(p_partkey % 90 - 40 AS STRING) END AS weight,
+    CASE p_partkey % 17 WHEN 0 THEN 'M9' ELSE 'M' || CAST(2 + p_partkey % 7 AS STRING) END AS analyzer, 'Part ' || CAST(p_partkey AS STRING) AS label,
+    CASE p_partkey % 19 WHEN 0 THEN '' ELSE 'because of ' || CAST(p_partkey AS STRING) END AS rationale FROM part"""
+_S16_BAD = f"""x AS ({_S16}), y AS (SELECT *, trim(signal) AS s, trim(weight) AS w, count(*) OVER (PARTITION BY version, trim(signal)) AS times FROM x),
+    bad AS (SELECT version, nullif(s, '') AS signal, unnest(list_filter([CASE WHEN version IS NULL THEN 'missing version' END, CASE WHEN s = '' THEN 'missing signal' END,
+        CASE WHEN w IS NULL THEN 'missing weight' END, CASE WHEN rationale = '' THEN 'missing rationale' END, CASE WHEN w IN ('12.5', '101', 'high') THEN 'weight is not a whole number of -100 to 100' END,
+        CASE WHEN analyzer = 'M9' THEN 'unknown analyzer' END, CASE WHEN version IS NOT NULL AND s <> '' AND times > 1 THEN 'rule given more than once' END], lambda z: z IS NOT NULL)) AS problem FROM y)"""
+
+
+@query("s16_load_rules", f"""WITH {_S16_BAD} SELECT version, s AS signal, CAST(w AS INT) AS weight, analyzer, label, rationale FROM y
+    WHERE version IS NOT NULL AND s <> '' AND times = 1 AND w NOT IN ('12.5', '101', 'high') AND analyzer <> 'M9' AND rationale <> ''""")
+def s16_load(src):
+    """A user's rule table: the sound rows, typed."""
+    src.part.createOrReplaceTempView("part")
+    return rulebook.check_rules(src.spark.sql(_S16))[0]
+
+
+@query("s16_faulty_rules", f"WITH {_S16_BAD} SELECT * FROM bad")
+def s16_faulty(src):
+    """And one error row per fault."""
+    src.part.createOrReplaceTempView("part")
+    return rulebook.check_rules(src.spark.sql(_S16))[1]
+
+
+@query("s14_upsert_store", """WITH c AS (SELECT owner, md5(CAST(case_id // 2 AS STRING)) AS sha256, case_id, case_id % 3 AS b FROM d_cases
+      UNION ALL SELECT owner, md5(CAST(case_id // 2 AS STRING)), case_id, 3 FROM d_cases WHERE case_id % 2 = 0),
+    f AS (SELECT owner, sha256, min(b) AS fb, max(b) AS lb FROM c GROUP BY 1, 2),
+    s AS (SELECT c.owner, c.sha256, min(c.case_id) AS case_id, CASE WHEN any_value(lb) = 0 THEN '1.3.0' ELSE '1.10.0' END AS scorer_version, CASE WHEN any_value(fb) = 0 AND any_value(lb) > 0 THEN 'yes' ELSE 'no' END AS again
+      FROM c JOIN f ON f.owner = c.owner AND f.sha256 = c.sha256 AND c.b = f.fb GROUP BY 1, 2)
+    SELECT owner, sha256, case_id, scorer_version, CAST(case_id % 101 AS INT) AS score, again FROM s""")
+def s14_store(src):
+    """Three batches, the first under older rules; then all even mails again, and two of the batches a second time."""
+    path = f"{work_dir(src.spark)}/cases"
+    sha = F.md5(F.expr("case_id div 2").cast("string").cast("binary"))
+    mails = src.d_cases.select("owner", sha.alias("sha256"), "case_id")
+
+    def put(rows, batch, version):
+        score = lambda cases: cases.select("owner", "sha256", "bucket", "case_id", F.lit(version).alias("scorer_version"), (F.col("case_id") % 101).cast("int").alias("score"))
+        store.upsert_cases(rows, path, batch, version, score, 8)
+
+    for k in range(3):
+        put(mails.filter(F.col("case_id") % 3 == k), f"b{k}", dims.EARLIER if k == 0 else dims.LATEST)
+    put(mails.filter("case_id % 2 = 0"), "b3", dims.LATEST)
+    for k in (1, 3):
+        put(mails.filter("case_id % 2 = 1"), f"b{k}", "later rules")
+    kept = store.read_cases(src.spark, path)
+    return kept.select("owner", "sha256", "case_id", "scorer_version", "score", F.when((F.col("case_id") % 3 == 0) & (F.col("batch") != "b0"), "yes").otherwise("no").alias("again"))
+
+
+@query("s17_sinks", """SELECT 'evidence' AS sink, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n FROM events GROUP BY 2
+    UNION ALL SELECT 'audit', CAST(CAST(d_audit."at" AS DATE) AS STRING), count(*) FROM d_audit GROUP BY 2
+    UNION ALL SELECT 'messages', CAST(DATE '2024-01-01' + CAST(case_id % 5 AS INT) AS STRING), count(*) FROM d_messages GROUP BY 2""")
 def s17(src):
-    """Two appends to one evidence table, read back by day."""
-    path = f"{work_dir(src.spark)}/evidence"
-    rows = src.events.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("signal"), F.col("ts").alias("observed_at"))
-    for _ in range(2):
-        store.append_evidence(rows, path)
-    return src.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    """Two batches to each sink, one of them given twice, read back by day."""
+    path = work_dir(src.spark)
+    tables = {"evidence": src.events.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("signal"), F.col("ts").alias("observed_at")),
+              "audit": src.d_audit, "messages": src.d_messages.select("case_id", "owner", (F.lit("2024-01-01").cast("date") + (F.col("case_id") % 5).cast("int")).alias("received_at"))}
+    out = None
+    for sink, rows in tables.items():
+        for batch in (0, 1, 1):
+            store.append(rows.filter(F.col("case_id") % 2 == batch), sink, path, f"b{batch}")
+        n = store.read_sink(src.spark, sink, path).groupBy(F.lit(sink).alias("sink"), F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query("s18_evidence_export", "SELECT case_id, pos, signal, status FROM d_evidence")
@@ -185,10 +264,57 @@ def s18(src):
 def mail_context(src):
     """Message tables parsed from the raw mail plus the lookup tables."""
     intel = {"auth_results": src.d_auth_results.withColumn("case_id", F.col("case_id").cast("string")), "dns_policy": src.d_dns_policy, "ip_list": src.d_ip_list,
-             "ip_ranges": src.d_ip_ranges, "domain_intel": src.d_domain_intel, "host_ips": src.d_host_ips, "breaches": src.d_breaches, "registrations": src.d_registrations}
+             "ip_ranges": src.d_ip_ranges, "domain_intel": src.d_domain_intel, "host_ips": src.d_host_ips, "breaches": src.d_breaches, "registrations": src.d_registrations, "suffix_rules": src.d_suffix_rules}
     return lanes.context(raw_mail(src), intel, F.lit("2024-06-01").cast("date"), 2024)
 
 
+def _broken(ctx):
+    raise ValueError("no such table")
+
+
+def _endless(ctx):
+    @F.pandas_udf("string")
+    def wait(ids: pd.Series) -> pd.Series:
+        time.sleep(3600)
+        return ids
+
+    return ctx["messages"].select(wait("case_id").alias("case_id"), F.lit("M6").alias("analyzer"), F.lit("x").alias("signal"), F.lit("CLEAR").alias("status"),
+                                  F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("detail"))
+
+
+def isolated(src, run):
+    """``run(ctx)`` with a lane M5 that raises and a lane M6 that does not end; the lanes are put back afterwards."""
+    ctx, before = mail_context(src), dict(lanes.LANES)
+    lanes.LANES.update(M5=_broken, M6=_endless)
+    try:
+        return ctx, run(ctx)
+    finally:
+        lanes.LANES.update(before)
+
+
+_KNOWN = """SELECT case_id AS doc, 'M2' AS analyzer, 'forged_received_hop' AS signal, 'TRIGGERED' AS status FROM d_messages
+    UNION ALL SELECT case_id, 'M2', unnest(['private_ip_in_public_chain', 'timestamp_regression', 'reply_to_domain_mismatch', 'chain_discontinuity']), 'CLEAR' FROM d_messages
+    UNION ALL SELECT case_id, 'M2', 'fake_reply', CASE case_id % 8 WHEN 1 THEN 'TRIGGERED' ELSE 'CLEAR' END FROM d_messages
+    UNION ALL SELECT case_id, 'M2', 'message_id_domain_divergence', CASE WHEN from_addr IS NULL THEN 'CLEAR' ELSE 'TRIGGERED' END FROM d_messages
+    UNION ALL SELECT case_id, 'M5', 'lane_error', 'ERROR' FROM d_messages UNION ALL SELECT case_id, 'M6', 'lane_timeout', 'UNAVAILABLE' FROM d_messages"""
+
+
+@query("u01_lane_isolation", f"""SELECT k.*, CASE signal WHEN 'lane_error' THEN '{{"error":"ValueError","message":"no such table"}}' WHEN 'lane_timeout' THEN '{{"reason":"exceeded 2 s"}}' END AS failure FROM ({_KNOWN}) k""")
+def u01_isolation(src):
+    """Known raw mail through one good lane, one that raises and one that does not end."""
+    ctx, found = isolated(src, lambda ctx: lanes.run_lanes(ctx, ["M2", "M5", "M6"], lane_timeouts={"M6": 2.0}))
+    failed = F.when(F.col("signal").startswith("lane_"), F.col("detail"))
+    return found.join(ctx["messages"].select("case_id", doc_id()), "case_id").select("doc", "analyzer", "signal", "status", failed.alias("failure"))
+
+
+@query("u01_isolated_verdicts", f"""SELECT case_id AS doc, CAST(30 + CASE case_id % 8 WHEN 1 THEN 12 ELSE 0 END + CASE WHEN from_addr IS NULL THEN 0 ELSE 9 END AS INT) AS score,
+    {100 - fx.UNAVAILABLE_PENALTY_PERCENT} / 100.0 AS confidence, 'M6' AS lanes FROM d_messages""")
+def u01_isolated(src):
+    """Their verdicts: the failed lanes cost confidence, not the verdict."""
+    ctx, (_, verdicts) = isolated(src, lambda ctx: lanes.analyse(ctx, ["M2", "M5", "M6"], lane_timeouts={"M6": 2.0}))
+    return verdicts.join(ctx["messages"].select("case_id", doc_id()), "case_id").select("doc", "score", "confidence", F.array_join("lanes_unavailable", ",").alias("lanes"))
+
+
 @query("u01_run_lanes")
 def u01(src):
     """Every lane over real messages: evidence counts by lane, signal and status."""

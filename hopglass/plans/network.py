@@ -3,16 +3,18 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
-from ..operators import headers as hd, network as op
+from ..functions.net import with_routability
+from ..operators import network as op
 from ..operators.dims import EARLIER, LATEST
 from . import oracle_parts as o
 from .registry import query
 
 _NUM = o.num("from_ip")
-_MEMBER = f"""{o.hop_ctes()}, ipx AS (SELECT DISTINCT from_ip AS ip, {_NUM} AS num FROM hx WHERE pub),
-    fl AS (SELECT ipx.ip, num, EXISTS (SELECT 1 FROM d_ip_list t WHERE t.ip = ipx.ip) AS tor,
-      EXISTS (SELECT 1 FROM d_ip_ranges r WHERE kind = 'vpn' AND num BETWEEN lo AND hi) AS vpn,
-      EXISTS (SELECT 1 FROM d_ip_ranges r WHERE kind = 'dc' AND num BETWEEN lo AND hi) AS dc FROM ipx),
+_BOUNDS = f"contains(first_ip, ':') AS six, {o.num('first_ip')} AS lo, {o.num('last_ip')} AS hi"
+_RANGES = f"rg AS (SELECT kind, {_BOUNDS} FROM d_ip_ranges WHERE contains(first_ip, ':') = contains(last_ip, ':'))"
+_IN = lambda kind: f"EXISTS (SELECT 1 FROM rg WHERE kind = '{kind}' AND rg.six = v.six AND num BETWEEN lo AND hi)"
+_MEMBER = f"""{o.hop_ctes()}, {_RANGES}, v AS (SELECT DISTINCT from_ip AS ip, {_NUM} AS num, {o.six('from_ip')} AS six FROM hx WHERE pub),
+    fl AS (SELECT v.ip, num, EXISTS (SELECT 1 FROM d_ip_list t WHERE t.ip = v.ip) AS tor, {_IN('vpn')} AS vpn, {_IN('dc')} AS dc FROM v),
     fh AS (SELECT hx.*, fl.tor, fl.vpn, fl.dc, CASE WHEN boundary_seq IS NULL OR seq >= boundary_seq THEN 1.0 ELSE 0.7 END AS conf FROM hx JOIN fl ON fl.ip = hx.from_ip WHERE pub)"""
 
 
@@ -87,18 +89,31 @@ def n07_none(src):
     return _count(op.network_lane(_facts(src), False, False, False, version=EARLIER))
 
 
-@query("n08_geo", f"""WITH {_MEMBER} SELECT ip, arg_min(country, (hi - lo, lo)) AS country, first(city ORDER BY hi - lo, lo) AS city,
-    arg_min(lat, (hi - lo, lo)) AS lat, arg_min(lon, (hi - lo, lo)) AS lon FROM ipx JOIN d_geo_ranges g ON num BETWEEN g.lo AND g.hi GROUP BY ip""")
+GEO = f"""gg AS (SELECT country, city, lat, lon, {_BOUNDS} FROM d_geo_ranges),
+    pl AS (SELECT * FROM (SELECT v.ip, gg.*, row_number() OVER (PARTITION BY v.ip ORDER BY hi - lo, lo) AS rn FROM v JOIN gg ON gg.six = v.six AND num BETWEEN lo AND hi) WHERE rn = 1)"""
+
+
+@query("n08_geo", f"WITH {_MEMBER}, {GEO} SELECT ip, country, city, lat, lon FROM pl")
 def n08(src):
-    ips = src.d_hops.filter(hd.v4_public(F.col("from_ip"))).select(F.col("from_ip").alias("ip"))
+    ips = with_routability(src.d_hops, "from_ip").filter("public").select(F.col("from_ip").alias("ip"))
     return op.geo_lookup(ips, src.d_geo_ranges)
 
 
+@query("q03_relay_trace", f"""WITH {_MEMBER}, {GEO} SELECT hx.case_id, hx.seq, boundary_seq, trust, from_ip, by_host, country, city, lat, lon
+    FROM hx LEFT JOIN pl ON pl.ip = hx.from_ip AND hx.pub""")
+def q03(src):
+    """The hop rows of every case with trust and place."""
+    return op.hop_trace(src.d_hops, src.d_geo_ranges).select("case_id", "seq", "boundary_seq", "trust", "from_ip", "by_host", "country", "city", "lat", "lon")
+
+
+@query("n02_unreadable_ranges", f"SELECT kind, first_ip, last_ip FROM d_ip_ranges WHERE contains(first_ip, ':') <> contains(last_ip, ':') OR {o.num('first_ip')} IS NULL OR {o.num('last_ip')} IS NULL")
+def n02_unreadable(src):
+    return op.unreadable_ranges(src.d_ip_ranges)
+
+
 _SCORE = """least(95, 8 + CASE WHEN tor THEN 62 ELSE 0 END + CASE WHEN vpn THEN 24 ELSE 0 END + CASE WHEN dc THEN 18 ELSE 0 END + CASE WHEN bad THEN 40 ELSE 0 END)"""
-_REP = f"""hh AS (SELECT DISTINCT from_ip AS ip, {_NUM} AS num, {o.bad_ip('from_ip')} AS bad FROM d_hops WHERE from_ip IS NOT NULL),
-    fl AS (SELECT ip, bad, EXISTS (SELECT 1 FROM d_ip_list t WHERE t.ip = hh.ip) AS tor,
-      EXISTS (SELECT 1 FROM d_ip_ranges r WHERE kind = 'vpn' AND num BETWEEN lo AND hi) AS vpn,
-      EXISTS (SELECT 1 FROM d_ip_ranges r WHERE kind = 'dc' AND num BETWEEN lo AND hi) AS dc FROM hh),
+_REP = f"""{_RANGES}, v AS (SELECT DISTINCT from_ip AS ip, {_NUM} AS num, {o.bad_ip('from_ip')} AS bad, {o.six('from_ip')} AS six FROM d_hops WHERE from_ip IS NOT NULL),
+    fl AS (SELECT ip, bad, EXISTS (SELECT 1 FROM d_ip_list t WHERE t.ip = v.ip) AS tor, {_IN('vpn')} AS vpn, {_IN('dc')} AS dc FROM v),
     sc AS (SELECT ip, {_SCORE} AS score FROM fl)"""
 _RISK = "CASE WHEN score >= 70 THEN 'High' WHEN score >= 35 THEN 'Medium' ELSE 'Low' END AS risk"
 

@@ -2,6 +2,7 @@
 
 from ..functions import fixed_values as fx
 from ..operators.dims import LATEST, rule_rows, values_sql
+from ..operators.rulebook import rationale_of
 
 
 def words(items) -> str:
@@ -24,15 +25,17 @@ def map_case(col: str, mapping: dict, pick=lambda v: v) -> str:
     return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {lit(pick(v))}" for k, v in mapping.items()) + " END"
 
 
-def verdict_ctes(version: str = LATEST, p: str = "", evidence: str = "d_evidence", all_cases: bool = False) -> str:
+def verdict_ctes(version: str = LATEST, p: str = "", evidence: str = "d_evidence", all_cases: bool = False, rules: str | None = None) -> str:
     """CTEs ``{p}best``, ``{p}keep`` and ``{p}verdict`` computed the plain way."""
-    rows = [(s, w, lab) for v, s, w, _, lab in rule_rows() if v == version]
+    why = rationale_of()
+    rows = [(s, w, lab, why[s]) for v, s, w, _, lab in rule_rows() if v == version]
+    rules = rules or f"SELECT * FROM {values_sql(rows, 't(signal, weight, label, rationale)')}"
     credits = fx.IDENTITY_CREDITS[version] or ["-"]
     ident = fx.IDENTITY_SUPPRESSORS[version] or ["-"]
     cases = "SELECT case_id FROM d_cases" if all_cases else f"SELECT DISTINCT case_id FROM {evidence}"
     return f"""
-{p}r AS (SELECT * FROM {values_sql(rows, 't(signal, weight, label)')}),
-{p}t AS (SELECT e.case_id, e.pos, e.analyzer, e.signal, e.confidence, e.detail, r.weight, r.label, r.weight * e.confidence AS points
+{p}r AS ({rules}),
+{p}t AS (SELECT e.case_id, e.pos, e.analyzer, e.signal, e.confidence, e.detail, r.weight, r.label, r.rationale, r.weight * e.confidence AS points
   FROM {evidence} e JOIN {p}r r ON r.signal = e.signal WHERE e.status = 'TRIGGERED'),
 {p}sup AS (SELECT case_id, string_agg(DISTINCT signal, ',' ORDER BY signal) AS names FROM {evidence}
   WHERE status = 'TRIGGERED' AND signal IN ({words(fx.GENERAL_SUPPRESSORS[version])}) GROUP BY case_id),
@@ -56,14 +59,19 @@ def verdict_ctes(version: str = LATEST, p: str = "", evidence: str = "d_evidence
 {p}verdict AS (SELECT *, {band_case('score', version)} AS band FROM {p}verdict0)"""
 
 
+#: The public-suffix rules of the checking SQL, by shape; the view d_suffix_rules has them as a table.
+EXACT_SUFFIXES = ["co.in", "gov.in", "org.in", "net.in", "edu.in", "co.uk", "ac.uk", "com.mx", "co.za", "com.sg", "co.jp"]
+TENANT_SUFFIXES = ["herokuapp.com", "github.io", "web.app"]
+
+
 def org(h: str, private: bool = True) -> str:
-    """Registrable domain of a host expression."""
-    suffixes = words(fx.TWO_LABEL_SUFFIXES + (fx.PRIVATE_SUFFIXES if private else []))
+    """Registrable domain of a host expression: the number of labels of its public suffix, and one more."""
     c = f"lower(trim({h}, '. '))"
     parts = f"string_split({c}, '.')"
-    two = f"array_to_string({parts}[-2:], '.')"
-    return (f"CASE WHEN regexp_matches({c}, '^[0-9.]+$') THEN NULL WHEN {two} IN ({suffixes}) THEN "
-            f"CASE WHEN len({parts}) >= 3 THEN array_to_string({parts}[-3:], '.') END WHEN len({parts}) >= 2 THEN {two} END")
+    tail = lambda k: f"array_to_string({parts}[-{k}:], '.')"
+    n = (f"CASE WHEN {tail(3)} = 'city.kawasaki.jp' THEN 2 WHEN {tail(2)} = 'www.ck' THEN 1 WHEN {tail(2)} = 'kawasaki.jp' AND len({parts}) > 2 THEN 3 "
+         f"WHEN {parts}[-1] = 'ck' AND len({parts}) > 1 THEN 2 WHEN {tail(2)} IN ({words(EXACT_SUFFIXES + (TENANT_SUFFIXES if private else []))}) THEN 2 ELSE 1 END")
+    return f"CASE WHEN regexp_matches({c}, '^[0-9.]+$') OR contains({c}, ':') THEN NULL WHEN len({parts}) > {n} THEN array_to_string({parts}[-({n}) - 1:], '.') END"
 
 
 def dom(a: str) -> str:
@@ -75,17 +83,29 @@ def same(a: str, b: str) -> str:
 
 
 def num(ip: str) -> str:
-    p = lambda i: f"CAST(string_split({ip}, '.')[{i}] AS BIGINT)"
-    return f"({p(1)} * 16777216 + {p(2)} * 65536 + {p(3)} * 256 + {p(4)})"
+    """Number of an address text (IPv6 with or without ::), 128 bits unsigned; NULL when it cannot be read."""
+    p = lambda i: f"TRY_CAST(string_split({ip}, '.')[{i}] AS UHUGEINT)"
+    v4 = f"({p(1)} * 16777216::UHUGEINT + {p(2)} * 65536::UHUGEINT + {p(3)} * 256::UHUGEINT + CASE WHEN {p(4)} <= 255 THEN {p(4)} END)"
+    some = lambda i: f"list_filter(string_split(split_part({ip}, '::', {i}), ':'), lambda g: g <> '')"
+    gap = f"list_transform(range(8 - len({some(1)}) - len({some(2)})), lambda z: '0')"
+    groups = f"CASE WHEN contains({ip}, '::') THEN list_concat(list_concat({some(1)}, {gap}), {some(2)}) ELSE string_split({ip}, ':') END"
+    g = lambda i: f"TRY_CAST(TRY_CAST('0x' || ({groups})[{i + 1}] AS UBIGINT) AS UHUGEINT) * {65536 ** (7 - i)}::UHUGEINT"
+    return f"(CASE WHEN contains({ip}, ':') THEN {' + '.join(g(i) for i in range(8))} ELSE {v4} END)"
+
+
+def six(ip: str) -> str:
+    return f"contains({ip}, ':')"
 
 
 def in_cidrs(ip: str, cidrs) -> str:
     from ..functions.net import cidr_bounds
-    return "(" + " OR ".join(f"{num(ip)} BETWEEN {lo} AND {hi}" for lo, hi in map(cidr_bounds, cidrs)) + ")"
+    within = lambda c: f"({six(ip)} = {str(':' in c).lower()} AND {num(ip)} BETWEEN '{cidr_bounds(c)[0]}'::UHUGEINT AND '{cidr_bounds(c)[1]}'::UHUGEINT)"
+    return "(" + " OR ".join(map(within, cidrs)) + ")"
 
 
 def bad_ip(ip: str) -> str:
-    return f"coalesce({in_cidrs(ip, fx.UNROUTABLE_V4)}, false)"
+    v4 = in_cidrs(ip, fx.UNROUTABLE_V4)
+    return f"coalesce(CASE WHEN {six(ip)} THEN regexp_matches({ip}, '^(f[cd]|fe[89ab])') ELSE {v4} END, false)"
 
 
 def hop_ctes(cidrs: str = "") -> str:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.domains import SuffixRules, suffix_rules
 from .derived import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,10 @@ class Source:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def suffixes(self) -> SuffixRules:
+        return suffix_rules(self.d_suffix_rules)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("d_"):
             return view(self.spark, self.sf_dir, name)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
-from ..operators import dims, scoring as op
+from ..operators import dims, rulebook, scoring as op
 from . import oracle_parts as o
 from .registry import query
 
@@ -70,7 +70,7 @@ def v07(src):
 
 
 @query("v08_contributions", _V + """SELECT case_id, rank, signal, analyzer, weight, confidence,
-    floor(points * 100 + 0.5) / 100 AS points, label, detail FROM keep""")
+    floor(points * 100 + 0.5) / 100 AS points, label, rationale, detail FROM keep""")
 def v08(src):
     return op.contributions(op.score_cases(src.d_evidence)).drop("pos")
 
@@ -117,6 +117,28 @@ def v13(src):
     return op.rescore_diff(src.d_evidence)
 
 
+#: A third version from the orders: every rule of the newest one, weighted anew.
+_DRAFT = f"SELECT signal, CAST(CASE weight % 3 WHEN 0 THEN weight - 5 WHEN 1 THEN weight + 7 ELSE weight END AS INT) AS weight, 'Draft: ' || label AS label, rationale FROM (SELECT * FROM {o.values_sql([(s, w, lab, rulebook.rationale_of()[s]) for v, s, w, _, lab in dims.rule_rows() if v == dims.LATEST], 't(signal, weight, label, rationale)')}) x"
+
+
+def draft_book(src):
+    """Both built-in versions and a user's table as one rule book."""
+    lanes = dims.rules(src.spark, [dims.LATEST]).select("signal", F.col("rule_analyzer").alias("analyzer"))
+    draft = src.spark.sql(_DRAFT).join(lanes, "signal").withColumn("version", F.lit("draft"))
+    both = dims.suppressors(src.spark).filter(F.col("version") == dims.LATEST).select("signal", F.col("scope").alias("role"))
+    roles = both.unionByName(dims.identity_credits(src.spark).select("signal", F.lit("credit").alias("role"))).select(F.lit("draft").alias("version"), "signal", "role")
+    own = rulebook.from_tables(draft, roles, {"draft": dims.LATEST})
+    old = rulebook.built_in(src.spark, dims.VERSIONS)
+    return rulebook.RuleBook(old.flags.unionByName(own.flags.select(old.flags.columns)), old.profiles | own.profiles)
+
+
+@query("v13_three_versions", f"""WITH {o.verdict_ctes(dims.EARLIER, 'a_')}, {o.verdict_ctes(dims.LATEST, 'b_')}, {o.verdict_ctes(dims.LATEST, 'c_', rules=_DRAFT)}
+    SELECT case_id, '{dims.EARLIER}' AS scorer_version, score, band FROM a_verdict UNION ALL SELECT case_id, '{dims.LATEST}', score, band FROM b_verdict
+    UNION ALL SELECT case_id, 'draft', score, band FROM c_verdict""")
+def v13_three(src):
+    return op.score_versions(src.d_evidence, draft_book(src)).select("case_id", "scorer_version", "score", "band")
+
+
 @query("v14_legacy_score", """WITH x AS (SELECT o_orderkey AS case_id, o_custkey % 4 AS a, o_custkey % 3 AS b, o_custkey % 5 AS c,
       CAST(o_orderkey % 3 AS INT) AS mm, CAST(o_orderkey % 11 AS INT) AS u, CAST(o_custkey % 11 AS INT) AS i, CAST(o_orderkey % 2 AS INT) AS l, CAST(o_custkey % 4 AS INT) AS d FROM orders),
     s AS (SELECT case_id, least(100, CASE WHEN a = 1 THEN 20 ELSE 0 END + CASE WHEN b = 1 THEN 20 ELSE 0 END + CASE WHEN c = 2 THEN 15 ELSE 0 END

@@ -27,7 +27,8 @@ def split_stream(src, files: int = 4):
     """The events as a stream of several files, one a micro-batch; each spans all times, so every file but the first holds
     rows that come late."""
     folder = f"{work_dir(src.spark)}/in"
-    src.events.repartition(files, F.pmod("event_id", F.lit(files))).write.parquet(folder)
+    for k in range(files):  # written one after the other: file k is micro-batch k
+        src.events.filter(F.pmod("event_id", F.lit(files)) == k).coalesce(1).write.mode("append").parquet(folder)
     return src.spark.readStream.schema(src.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -116,15 +117,21 @@ def t07_aligned(src):
     return tr.aligned_rate(src.events, "user_id", "ts", 1, "1 hour").withColumn("window_start", F.col("window_start").cast("string"))
 
 
-@query("t08_stream_correlation", """WITH ind AS (SELECT 'o' || CAST(user_id % 3 AS STRING) AS owner, event_id // 2 AS case_id, ts AS arrival, 'ip' AS kind, 'v' || CAST(user_id * 40 + event_id % 40 AS STRING) AS value FROM events),
-    i AS (SELECT owner, case_id, min(arrival) AS arrival, kind, value FROM ind GROUP BY owner, case_id, kind, value),
-    p AS (SELECT a.owner, a.case_id, b.case_id AS other, count(*) AS n FROM i a JOIN i b ON a.owner = b.owner AND a.kind = b.kind AND a.value = b.value AND (b.arrival, b.case_id) < (a.arrival, a.case_id) AND a.case_id <> b.case_id GROUP BY 1, 2, 3),
+_IND = """ind AS (SELECT 'o' || CAST(user_id % 3 AS STRING) AS owner, event_id AS case_id, ts AS arrival, event_id % 4 AS batch, 'ip' AS kind, 'v' || CAST(user_id * 40 + event_id % 40 AS STRING) AS value FROM events
+      UNION ALL SELECT 'o' || CAST(user_id % 3 AS STRING), event_id, ts, event_id % 4, 'url', 'u' || CAST(user_id * 7 + event_id // 4 % 9 AS STRING) FROM events)"""
+
+
+@query("t08_stream_correlation", f"""WITH {_IND},
+    p AS (SELECT a.owner, a.case_id, b.case_id AS other, count(*) AS n FROM ind a JOIN ind b ON a.owner = b.owner AND a.kind = b.kind AND a.value = b.value AND a.case_id <> b.case_id
+      AND (b.batch < a.batch OR b.batch = a.batch AND (b.arrival, b.case_id) < (a.arrival, a.case_id)) GROUP BY 1, 2, 3),
     g AS (SELECT owner, case_id, count(*) AS related_cases, max(n) AS shared FROM p GROUP BY 1, 2)
-    SELECT c.owner, c.case_id, coalesce(related_cases, 0) AS related_cases, coalesce(shared, 0) AS shared_indicator_count FROM (SELECT DISTINCT owner, case_id FROM i) c LEFT JOIN g ON g.owner = c.owner AND g.case_id = c.case_id""")
+    SELECT c.owner, c.case_id, coalesce(related_cases, 0) AS related_cases, coalesce(shared, 0) AS shared_indicator_count FROM (SELECT DISTINCT owner, case_id FROM ind) c LEFT JOIN g ON g.owner = c.owner AND g.case_id = c.case_id""")
 def t08(src):
-    value = F.concat(F.lit("v"), (F.col("user_id") * 40 + F.col("event_id") % 40).cast("string"))
-    stream = event_stream(src).select(F.concat(F.lit("o"), (F.col("user_id") % 3).cast("string")).alias("owner"), F.expr("event_id div 2").alias("case_id"),
-                                      F.col("ts").alias("arrival"), F.lit("ip").alias("kind"), value.alias("value"))
+    """Four files, each spanning all times: a case that comes late still meets the stored ones, and each pair is reported once."""
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    found = F.array(pair("ip", F.concat(F.lit("v"), F.col("user_id") * 40 + F.col("event_id") % 40)), pair("url", F.concat(F.lit("u"), F.col("user_id") * 7 + F.expr("event_id div 4") % 9)))
+    stream = split_stream(src).select(F.concat(F.lit("o"), (F.col("user_id") % 3).cast("string")).alias("owner"), F.col("event_id").alias("case_id"),
+                                      F.col("ts").alias("arrival"), F.explode(found).alias("i")).select("owner", "case_id", "arrival", "i.kind", "i.value")
     d = work_dir(src.spark)
     feed.correlation_stream(stream, f"{d}/store", f"{d}/out", f"{d}/checkpoint", 20).awaitTermination()
     return src.spark.read.parquet(f"{d}/out").select("owner", "case_id", "related_cases", "shared_indicator_count")

@@ -33,17 +33,12 @@ def q01_first(src):
 
 
 @query("q02_case_detail", f"""{_V} SELECT v.case_id, c.subject, c.message_id, CAST((SELECT max(ts) FROM d_hops h WHERE h.case_id = v.case_id) AS STRING) AS received_at,
-    (SELECT count(*) FROM d_urls u WHERE u.case_id = v.case_id) AS url_count, (SELECT count(*) FROM d_attachments a WHERE a.case_id = v.case_id) AS attachment_count, v.score, v.band
+    (SELECT count(*) FROM d_urls u WHERE u.case_id = v.case_id) AS url_count, (SELECT count(*) FROM d_attachments a WHERE a.case_id = v.case_id) AS attachment_count, v.score, v.band,
+    (SELECT arg_min(detail, pos) FROM d_evidence e WHERE e.case_id = v.case_id AND e.signal IN ('sender_email_footprint', 'sender_no_footprint')) AS footprint
     FROM verdict v JOIN d_cases c ON c.case_id = v.case_id""")
 def q02(src):
-    d = op.case_detail(_verdicts(src), src.d_cases, src.d_hops, src.d_urls, src.d_attachments)
-    return d.select("case_id", "subject", "message_id", _text("received_at").alias("received_at"), "url_count", "attachment_count", "score", "band")
-
-
-@query("q03_relay_trace", f"WITH {o.hop_ctes()} SELECT case_id, boundary_seq, string_agg(trust, '>' ORDER BY seq) AS trace FROM hx GROUP BY 1, 2")
-def q03(src):
-    t = hd.with_trust(src.d_hops).groupBy("case_id", "boundary_seq").agg(F.sort_array(F.collect_list(F.struct("seq", "trust"))).alias("t"))
-    return t.select("case_id", "boundary_seq", F.array_join(F.transform("t", lambda x: x["trust"]), ">").alias("trace"))
+    d = op.case_detail(_verdicts(src), src.d_cases, src.d_hops, src.d_urls, src.d_attachments, src.d_evidence)
+    return d.select("case_id", "subject", "message_id", _text("received_at").alias("received_at"), "url_count", "attachment_count", "score", "band", "footprint")
 
 
 @query("q04_annotated_headers", f"""WITH {o.hop_ctes()}, r AS (SELECT case_id, raw, max(seq) AS hop, arg_max(trust, seq) AS trust FROM hx GROUP BY 1, 2)
@@ -98,13 +93,15 @@ def q10(src):
     return j.orderBy(F.desc("arrival"), "case_id").limit(6).select("case_id", "subject", "band", "score")
 
 
-@query("q11_forensic_report", f"""{_V}, n AS (SELECT case_id, string_agg(analyzer || '=' || k, ',' ORDER BY analyzer) AS lanes FROM (SELECT case_id, analyzer, count(*) AS k FROM d_evidence GROUP BY 1, 2) GROUP BY 1)
-    SELECT v.case_id, v.score, {o.map_case('v.band', fx.BAND_SEVERITY)} AS severity, CAST(CAST(round_even(v.confidence * 100, 0) AS INT) AS STRING) || '%' AS confidence, c.from_addr, c.sha256 AS email_sha256, n.lanes
+@query("q11_forensic_report", f"""{_V}, n AS (SELECT case_id, string_agg(analyzer || '[' || items || ']', ' ' ORDER BY analyzer) AS entries FROM (SELECT case_id, analyzer,
+      string_agg(pos || '|' || signal || '|' || status || '|' || CAST(round_even(confidence * 100, 0) AS INT) || '%|' || detail, ';' ORDER BY pos) AS items FROM d_evidence GROUP BY 1, 2) GROUP BY 1)
+    SELECT v.case_id, v.score, {o.map_case('v.band', fx.BAND_SEVERITY)} AS severity, CAST(CAST(round_even(v.confidence * 100, 0) AS INT) AS STRING) || '%' AS confidence, c.from_addr, c.sha256 AS email_sha256, n.entries
     FROM verdict v JOIN d_cases c ON c.case_id = v.case_id JOIN n ON n.case_id = v.case_id""")
 def q11(src):
     r = op.forensic_report(_verdicts(src), src.d_cases, src.d_evidence)
-    lanes = F.array_join(F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("="), F.size(e["value"]).cast("string"))), ",")
-    return r.select("case_id", "score", "severity", "confidence", "from_addr", "email_sha256", lanes.alias("lanes"))
+    item = lambda i: F.concat_ws("|", i["pos"].cast("string"), i["signal"], i["status"], i["confidence"], i["detail"])
+    lane = lambda e: F.concat(e["key"], F.lit("["), F.array_join(F.transform(e["value"], item), ";"), F.lit("]"))
+    return r.select("case_id", "score", "severity", "confidence", "from_addr", "email_sha256", F.array_join(F.transform(F.map_entries("evidence"), lane), " ").alias("entries"))
 
 
 _RF = "rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, analyzer ORDER BY pos) AS n FROM d_evidence WHERE status = 'TRIGGERED') WHERE n <= 3)"

@@ -52,11 +52,16 @@ def unwrap_once(url: Column) -> Column:
     return F.coalesce(out, url)
 
 
-def unwrapped(url: Column) -> Column:
-    """Up to five layers.  Ordinary links are passed through by one cheap test, and
+def unwrapped(url: Column, layers: int = MAX_LAYERS) -> Column:
+    """Up to ``layers`` layers.  Ordinary links are passed through by one cheap test, and
     the fold keeps the expression at the size of a single layer."""
     layer = lambda u: F.when(u.rlike("(?i)" + ANY_REWRITER), unwrap_once(u)).otherwise(u)
-    return F.aggregate(F.array_repeat(F.lit(1), MAX_LAYERS), url, lambda u, _: layer(u))
+    return F.aggregate(F.array_repeat(F.lit(1), layers), url, lambda u, _: layer(u))
+
+
+def still_wrapped(url: Column) -> Column:
+    """Whether a url that went through ``unwrapped`` hides a further target."""
+    return F.coalesce(url.rlike("(?i)" + ANY_REWRITER) & (unwrap_once(url) != url), F.lit(False))
 
 
 def url_candidates(messages: DataFrame) -> DataFrame:
@@ -72,9 +77,10 @@ def url_candidates(messages: DataFrame) -> DataFrame:
             .select("case_id", "pos", "c.url", "c.text", "c.anchor"))
 
 
-def extract_urls(messages: DataFrame) -> DataFrame:
-    """The URL table of messages; the first occurrence of a URL wins."""
-    df = url_candidates(messages).withColumn("url", unwrapped(F.col("url")))
+def extract_urls(messages: DataFrame, layers: int = MAX_LAYERS) -> DataFrame:
+    """The URL table of messages; the first occurrence of a URL wins.  ``still_wrapped`` marks a URL that more than
+    ``layers`` rewriting services have wrapped."""
+    df = url_candidates(messages).withColumn("url", unwrapped(F.col("url"), layers))
     df = df.filter(~F.col("anchor") | F.lower("url").startswith("http"))
     shown = F.regexp_extract_all("text", F.lit(rx(fx.URL_PATTERN)), F.lit(0))
     host = host_of(F.col("url"))
@@ -83,4 +89,5 @@ def extract_urls(messages: DataFrame) -> DataFrame:
     df = df.withColumn("url", F.regexp_replace(F.trim("url"), r"[.,;:)\]]+$", "")).filter(F.col("url") != "")
     first = F.min_by(F.struct(F.nullif("text", F.lit("")).alias("display_text"), "mismatched_anchor", "pos"), "pos")
     once = df.groupBy("case_id", "url").agg(first.alias("f")).select("case_id", "f.pos", "url", host_of(F.col("url")).alias("domain"), "f.display_text", "f.mismatched_anchor")
+    once = once.withColumn("still_wrapped", still_wrapped(F.col("url")))
     return once.withColumn("is_shortened", F.coalesce(F.col("domain").isin(fx.SHORTENERS), F.lit(False)))

@@ -65,27 +65,13 @@ def scored_feed(verdicts: DataFrame, indicators: DataFrame) -> DataFrame:
     return v.select("case_id", F.lit("case_scored").alias("event"), "score", "band", "confidence", "summary", "indicators")
 
 
-def correlate_batch(batch: DataFrame, stored: DataFrame | None, hub_degree: int = graph.HUB_DEGREE) -> DataFrame:
-    """Related earlier cases of the cases in ``batch``.  Stored cases count as
-    earlier whenever they arrived: the order is (stored or not, arrival, case_id), so a
-    late case of a later batch still meets them and each pair is reported once.  Only
-    stored rows that share an indicator with the batch are read further."""
-    cases = batch.select("owner", "case_id").distinct()
-    rows = batch.select("owner", "case_id", "arrival", "kind", "value")
-    if stored is not None:
-        old = stored.join(rows.select(*graph.EDGE).distinct(), graph.EDGE, "left_semi").join(cases, graph.CASE, "left_anti")
-        before_all = F.lit("0001-01-01").cast(rows.schema["arrival"].dataType).alias("arrival")
-        rows = rows.unionByName(old.select("owner", "case_id", before_all, "kind", "value"))
-    return graph.campaign_reuse(graph.related_prior(graph.split_hubs(rows, hub_degree), cases))
-
-
 def correlation_stream(indicators: DataFrame, store: str, out: str, checkpoint: str, hub_degree: int = graph.HUB_DEGREE) -> StreamingQuery:
     """Every micro-batch is compared with all earlier batches, then stored."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         stored = spark.read.parquet(store).filter(F.col("batch") < batch_id) if batch_id > 0 else None
-        correlate_batch(batch, stored, hub_degree).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        graph.correlate_batch(batch, stored, hub_degree).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         batch.unpersist()
 
