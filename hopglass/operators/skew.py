@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
@@ -44,6 +44,23 @@ def global_positions(df: DataFrame, order: list[str], out: str = "position") ->
             .withColumn(out, F.col("_off") + F.col("_id") - F.shiftleft(F.col("_part"), 33)).drop("_id", "_part", "_off"))
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None) -> DataFrame:
+    """Running sums and maxima (this row included) over a total order, without one task that sees all rows.
+
+    Range partitioning splits even a single huge key (the order must be unique); a partition adds what all earlier ones
+    hold, which is one row per partition."""
+    sums, maxes = sums or {}, maxes or {}
+    ranged = df.withColumns({f"_v_{n}": c for n, c in (sums | maxes).items()}).repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    fixed = cut(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    totals = fixed.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums], *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxes])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums], *[F.max(f"_t_{n}").over(before).alias(f"_o_{n}") for n in maxes])
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = fixed.join(F.broadcast(offsets), "_part")
+    out = out.withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(inside) for n in sums} | {n: F.greatest(F.col(f"_o_{n}"), F.max(f"_v_{n}").over(inside)) for n in maxes})
+    return out.drop("_part", "_id", *[f"_{p}_{n}" for n in sums | maxes for p in "vo"])
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
     """How many rows of the same key come earlier; exact and safe for hot keys."""
     pos = global_positions(df, [*keys, *order], "_pos")

@@ -38,18 +38,23 @@ _EV = f"""ev AS (SELECT e.user_id * 100000 + e.event_id % 7 AS case_id, CAST(e.e
     FROM events e JOIN d_signals s ON s.idx = e.event_id % 41)"""
 
 
-@query("t01_live_feed", f"WITH {_EV}, {o.verdict_ctes(evidence='ev')} SELECT case_id, score, band FROM verdict")
+@query("t01_live_feed", f"""WITH {_EV}, {o.verdict_ctes(evidence='ev')}, i AS (SELECT DISTINCT user_id * 100000 + event_id % 7 AS case_id, 'ip:' || CAST(event_id % 50 AS STRING) AS v FROM events WHERE event_id % 3 = 0
+      UNION SELECT user_id * 100000 + event_id % 7, 'url:u' || CAST(event_id % 20 AS STRING) FROM events WHERE event_id % 3 = 1),
+    il AS (SELECT case_id, string_agg(v, ',' ORDER BY v) AS indicators FROM i GROUP BY 1)
+    SELECT v.case_id, 'case_scored' AS event, score, band, CAST(confidence AS DOUBLE) AS confidence, coalesce(indicators, '') AS indicators FROM verdict v LEFT JOIN il ON il.case_id = v.case_id""")
 def t01(src):
     """Evidence stream of several files; each micro-batch scores the cases it touches from all their evidence so far."""
     signals = src.d_signals
+    kind = F.when(F.col("event_id") % 3 == 0, "ip").when(F.col("event_id") % 3 == 1, "url")
+    value = F.when(kind == "ip", (F.col("event_id") % 50).cast("string")).otherwise(F.concat(F.lit("u"), (F.col("event_id") % 20).cast("string")))
     stream = split_stream(src).select(
         (F.col("user_id") * 100000 + F.col("event_id") % 7).alias("case_id"), F.col("event_id").cast("int").alias("pos"), (F.col("event_id") % 41).alias("idx"),
         F.when(F.col("event_type") == "error", "UNAVAILABLE").when(F.col("event_type") == "signup", "CLEAR").otherwise("TRIGGERED").alias("status"),
-        ((F.col("event_id") % 16 + 1) / 16).alias("confidence"), F.lit(None).cast("string").alias("detail"))
+        ((F.col("event_id") % 16 + 1) / 16).alias("confidence"), F.lit(None).cast("string").alias("detail"), kind.alias("kind"), value.alias("value")).join(signals, "idx")
     d = work_dir(src.spark)
-    score = lambda evidence: scoring.score_cases(evidence.join(signals, "idx")).select("case_id", "score", "band")
-    feed.verdict_stream(stream, score, f"{d}/evidence", f"{d}/out", f"{d}/checkpoint").awaitTermination()
-    return feed.newest_verdicts(src.spark, f"{d}/out")
+    feed.verdict_stream(stream, scoring.score_cases, f"{d}/out", f"{d}/checkpoint").awaitTermination()
+    rows = feed.newest_verdicts(src.spark, f"{d}/out")
+    return rows.withColumn("indicators", F.array_join(F.transform("indicators", lambda i: F.concat_ws(":", i["kind"], i["value"])), ",")).drop("summary")
 
 
 @query("t02_inbox_scan", "SELECT DISTINCT event_id // 3 AS msg_id FROM events WHERE event_type NOT IN ('click', 'error')")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fx
+from ..operators.skew import HOT_ROWS, hot_keys, join_on_hot_key, running
+from ..session import cut
 
 MAX_TRIES = 4
 
@@ -66,25 +68,35 @@ def track_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("id").applyInPandasWithState(track_updates, TRACK_ROW, TRACK_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def rate_flags(hits: DataFrame, key: str, ts: str, order: str, limit: int, window_seconds: int) -> DataFrame:
-    """Fixed windows that start at the first hit of a key; hits beyond the limit
-    are flagged.  Rows stream through sorted partitions, only the open window is kept."""
-    ready = hits.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "_us", order)
-    schema = T.StructType([*hits.schema.fields, T.StructField("n_in_window", T.LongType()), T.StructField("ok", T.BooleanType())])
-    width = window_seconds * 1_000_000
-
-    def count(batches):
-        current, reset, n = None, 0, 0
-        for pdf in batches:
-            numbers = []
-            for k, us in zip(pdf[key], pdf["_us"]):
-                if k != current or reset <= us:
-                    current, reset, n = k, us + width, 0
-                n += 1
-                numbers.append(n)
-            yield pdf.drop(columns="_us").assign(n_in_window=numbers, ok=[x <= limit for x in numbers])
-
-    return ready.mapInPandas(count, schema)
+def rate_flags(hits: DataFrame, key: str, ts: str, order: str, limit: int, window_seconds: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Fixed windows that start at the first hit of a key; hits beyond the limit are flagged.  ``order`` is unique.
+
+    Each hit points at the first hit outside the window that would start with it: the number of hits before the window's end in the
+    order of (key, time).  Windows start at the first hit of each key and wherever a pointer of a start leads; starts are found by
+    doubling the pointers, in a logarithmic number of rounds.  (The pointer out of a key's last window leads to the first hit of the next
+    key, a start anyhow.)  All steps work on positions, so a key that holds most hits is spread over all tasks."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    row = hits.withColumns({"_us": us, "_hit": F.lit(1)})
+    ends = row.select(key, order, (F.col("_us") + window_seconds * 1_000_000).alias("_us"), F.lit(0).alias("_hit"))
+    # a window's end comes before a hit of the same moment, which lies outside
+    merged = running(row.unionByName(ends, allowMissingColumns=True), [key, "_us", "_hit", order], {"_count": F.col("_hit")})
+    after = merged.filter("_hit = 0").select(key, order, F.col("_count").alias("_next"))
+    placed = cut(merged.filter("_hit = 1").withColumn("_pos", F.col("_count") - 1).drop("_count", "_hit", "_us").join(after, [key, order]))
+
+    starts = cut(placed.groupBy(key).agg(F.min("_pos").alias("_pos")).select("_pos"))
+    jump = placed.select("_pos", "_next")
+    while True:
+        reached = jump.join(starts, "_pos").select(F.col("_next").alias("_pos")).join(placed.select("_pos"), "_pos", "left_semi")
+        new = cut(reached.distinct().join(starts, "_pos", "left_anti"))
+        if new.isEmpty():
+            break
+        starts = cut(starts.unionByName(new))
+        far = jump.select(F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+        jump = cut(join_on_hot_key(jump, far, ["_next"], hot_keys(jump, ["_next"], hot_rows)).select("_pos", F.col("_far").alias("_next")))
+
+    marked = placed.join(starts.withColumn("_start", F.col("_pos")), "_pos", "left")
+    counted = running(marked, ["_pos"], maxes={"_from": F.col("_start")}).withColumn("n_in_window", F.col("_pos") - F.col("_from") + 1)
+    return counted.select(*hits.columns, "n_in_window", (F.col("n_in_window") <= limit).alias("ok"))
 
 
 def aligned_rate(hits: DataFrame, key: str, ts: str, limit: int, window: str = "60 seconds") -> DataFrame:
