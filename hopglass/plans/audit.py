@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import audit as op, scoring
+from ..session import cut
 from . import oracle_parts as o
 from .registry import query
 
@@ -28,6 +29,36 @@ def i01_verify(src):
     return op.first_breaks(bad)
 
 
+@query("i01_continued_chain", f"WITH RECURSIVE {_CHAIN} SELECT id, case_id, prev_hash, entry_hash FROM ch")
+def i01_continued(src):
+    """Three appends, each from the stored heads alone, give the chain of one build."""
+    log, whole = src.d_audit, None
+    for k in range(3):
+        part = log.filter(F.col("id").between(*_share(src, k)))
+        part = cut(op.chain(part, heads=None if whole is None else op.chain_heads(whole)))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.select("id", "case_id", "prev_hash", "entry_hash")
+
+
+def _share(src, k, parts=3):
+    """Bounds of the k-th part of the ids."""
+    top = src.events.agg(F.max("event_id")).first()[0] + 1
+    return k * top // parts, (k + 1) * top // parts - 1
+
+
+_ALTERED = "id % 211 = 5"
+
+
+@query("i01_hash_tree", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS k FROM d_audit)
+    SELECT case_id, id, CAST(k // 4 AS BIGINT) AS block FROM n WHERE {_ALTERED}""")
+def i01_tree(src):
+    """Altered entries of a copy, found by descent through its hash tree and that of the stored log."""
+    stored = cut(op.in_blocks(op.chain(src.d_audit), block=4))
+    copy = stored.withColumn("payload", F.when(F.expr(_ALTERED), F.concat(F.coalesce("payload", F.lit("")), F.lit("!"))).otherwise(F.col("payload")))
+    blocks = op.altered_blocks(op.hash_tree(stored, fan=2), op.hash_tree(copy, fan=2), fan=2)
+    return op.altered_entries(copy, blocks).select("case_id", "id", F.col("block").cast("bigint").alias("block"))
+
+
 @query("i02_overrides", f"""WITH {o.verdict_ctes()}, ov AS (SELECT user_id AS case_id, arg_max(CASE event_id % 2 WHEN 0 THEN 'BENIGN' ELSE 'CRITICAL' END, (ts, event_id)) AS band,
       arg_max('analyst' || CAST(event_id % 4 AS STRING), (ts, event_id)) AS actor FROM events WHERE event_type = 'purchase' GROUP BY user_id)
     SELECT v.case_id, v.score, coalesce(ov.band, v.band) AS shown_band, ov.actor AS overridden_by FROM verdict v LEFT JOIN ov ON ov.case_id = v.case_id""")
