@@ -5,7 +5,7 @@ Documents with equal sets are one class, represented by one row (a node).  Two s
 
 A set of n tokens can miss at most n - ceil(PERCENT * n / 100) = s of them in a partner, whatever the order of the tokens, so
 * of any tokens chosen by their hash alone, more than s that occur nowhere else rule the document out (the tokens of
-  SHARE of the hash range are counted, over all classes; what is left is the active part);
+  SHARE of the hash range are counted over all classes, then all tokens of those that are left; the rest is the active part);
 * two linked sets share one of their first s + 1 tokens (prefix) under every global order.  Orders: rising document frequency among the
   active sets (the inverted lists are built on it, so they are lists of rare tokens), rising hash, falling hash.
   Candidates of a list must share prefix tokens under the other orders too before they are verified on their full sets;
@@ -37,7 +37,7 @@ from .phrases import FILTER_BITS, bitmap_of, let_through
 
 WORDS, PERCENT = 4, 85
 #: Share of the hash range whose tokens decide which documents are active.
-SHARE = 0.35
+SHARE = 0.22
 #: Tokens behind one hash partition of the count.
 BUCKET_TOKENS, LEAST_BUCKETS = 1 << 20, 64
 #: Members of an inverted list that meet inside one task at a time.
@@ -68,7 +68,8 @@ def slack(n: Column, percent: int) -> Column:
 
 
 def signatures(docs: DataFrame, share: float) -> DataFrame:
-    """doc_id, text_key, n_shingles, digest of the set (null if empty) and its tokens in the first ``share`` of the hash range."""
+    """doc_id, text_key, n_shingles, digest of the set (null if empty), class (63 bits of it) and its tokens in the first ``share`` of the
+    hash range."""
     end = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,63 +77,71 @@ def signatures(docs: DataFrame, share: float) -> DataFrame:
         for keys, texts in steps(batches):
             own = [shingles(t, hashes) for t in texts]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(digest, pa.binary()),
-                                              pa.array([s[: np.searchsorted(s, end)].view(np.int64) for s in own], pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "digest", "tokens"])
+            number = [None if d is None else int.from_bytes(d[:8], "little") >> 1 for d in digest]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(digest, pa.binary()), pa.array(number, pa.int64()),
+                                              pa.array([s[: np.searchsorted(s, end)].view(np.int64) for s in own], pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "digest", "class", "tokens"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, tokens array<long>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, class long, tokens array<long>")
 
 
-def tokens_alone(reps: DataFrame, buckets: int) -> DataFrame:
-    """node and how many of its tokens (column ``tokens``) occur in no other node.
+def holders(token: np.ndarray, held_by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, the one class that holds each (-1: several), and the place of the first occurrence."""
+    order = np.argsort(token, kind="stable")
+    token, held_by = token[order], held_by[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    low, high = np.minimum.reduceat(held_by, first), np.maximum.reduceat(held_by, first)
+    return token[first], np.where(low == high, low, -1), order[first]
 
-    Tokens are dealt to hash partitions, packed by step in the order of their nodes, which then take hardly any room.  A token that
-    is found twice in a step is sent once, without a node, so a popular one is one entry per step."""
+
+def tokens_alone(sets: DataFrame, buckets: int) -> DataFrame:
+    """class and how many of its tokens no other class holds; ``sets``: class (not negative), tokens.  A class may come in many rows.
+
+    Tokens are dealt to hash partitions, packed by step in the order of their sets, so that classes take hardly any room.  A token of
+    several classes in a step is sent once, without a class, so a popular one is one entry per step."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, sizes = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
-            node = np.repeat(batch.column(0).to_numpy(), sizes)
-            own, first, count = np.unique(token, return_index=True, return_counts=True)
-            if not len(own):
+            if not len(token):
                 continue
-            node = np.where(count == 1, node[first], -1)
+            own, held_by, place = holders(token, np.repeat(batch.column(0).to_numpy(), sizes))
             bucket = ((own.view(np.uint64) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((node, bucket))
-            own, node, bucket = own[order], node[order], bucket[order]
+            order = np.lexsort((place, bucket))
+            own, held_by, bucket = own[order], held_by[order], bucket[order]
             start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             edges = pa.array(np.append(start, len(own)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.ListArray.from_arrays(edges, pa.array(own)), pa.ListArray.from_arrays(edges, pa.array(node))], ["bucket", "tokens", "nodes"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.ListArray.from_arrays(edges, pa.array(own)), pa.ListArray.from_arrays(edges, pa.array(held_by))], ["bucket", "tokens", "classes"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(tokens, nodes):
-            _, first, times = np.unique(np.concatenate(tokens), return_index=True, return_counts=True)
-            node = np.concatenate(nodes)[first]
-            node, n = np.unique(node[(times == 1) & (node >= 0)], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["node", "alone"])
+        def done(tokens, classes):
+            _, held_by, _ = holders(np.concatenate(tokens), np.concatenate(classes))
+            found, n = np.unique(held_by[held_by >= 0], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["class", "alone"])
 
-        at, tokens, nodes = None, [], []
+        at, tokens, classes = None, [], []
         for batch in batches:
             for i, bucket in enumerate(batch.column(0).to_pylist()):
                 if bucket != at:
                     if at is not None:
-                        yield done(tokens, nodes)
-                    at, tokens, nodes = bucket, [], []
+                        yield done(tokens, classes)
+                    at, tokens, classes = bucket, [], []
                 tokens.append(batch.column(1)[i].values.to_numpy())
-                nodes.append(batch.column(2)[i].values.to_numpy())
+                classes.append(batch.column(2)[i].values.to_numpy())
         if at is not None:
-            yield done(tokens, nodes)
+            yield done(tokens, classes)
 
-    packed = reps.select("node", "tokens").mapInArrow(pack, "bucket int, tokens array<long>, nodes array<long>")
-    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "node long, alone long")
-    return counts.groupBy("node").agg(F.sum("alone").alias("alone"))
+    packed = sets.select("class", "tokens").mapInArrow(pack, "bucket int, tokens array<long>, classes array<long>")
+    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "class long, alone long")
+    return counts.groupBy("class").agg(F.sum("alone").alias("alone"))
 
 
-def active_nodes(reps: DataFrame, percent: int) -> DataFrame:
-    """node, doc_id, text_key of the representatives that may have a partner at all."""
-    total = reps.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    alone = tokens_alone(reps, max(LEAST_BUCKETS, total // BUCKET_TOKENS + 1))
+def can_have_partners(sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (class, n_shingles) of which no more tokens are held by no other class than a partner can miss."""
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    alone = tokens_alone(sets, max(LEAST_BUCKETS, total // BUCKET_TOKENS + 1))
     small = -(-percent // (100 - percent))  # smaller sets have no partner but themselves
-    return reps.filter(F.col("n_shingles") >= small).join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= slack(F.col("n_shingles"), percent)).select("node", "doc_id", "text_key")
+    rows = rows.filter(F.col("n_shingles") >= small).join(alone, "class", "left")
+    return rows.filter(F.coalesce("alone", F.lit(0)) <= slack(F.col("n_shingles"), percent)).drop("alone")
 
 
 def whole_sets(docs: DataFrame, active: DataFrame, filter_bits: int) -> DataFrame:
@@ -301,9 +310,12 @@ def joined(docs: DataFrame, percent: int = PERCENT, share: float = SHARE, block:
     every = table_cut(signatures(docs, share).withColumn("node", F.monotonically_increasing_id()))
     own = every.filter("doc_id is not null and digest is not null")
     classes = table_cut(own.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min_by("node", "doc_id").alias("rep"), F.count("*").alias("rows")))
-    reps = own.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
-    active = table_cut(active_nodes(reps, percent))
+    reps = own.drop("tokens").join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
+    active = table_cut(can_have_partners(own, reps, percent).select("node", "doc_id", "text_key"))
     whole = table_cut(whole_sets(docs, active, filter_bits))
+    sizes = whole.select(F.col("node").alias("class"), F.size("own").cast("long").alias("n_shingles"))
+    closer = can_have_partners(whole.select(F.col("node").alias("class"), F.col("own").alias("tokens")), sizes, percent)  # again, by whole sets
+    whole = table_cut(whole.join(closer.select(F.col("class").alias("node")), "node", "left_semi"))
     listed = table_cut(prefixes(whole, percent).select("node", F.explode("prefix").alias("token")))
     members = table_cut(listed.join(listed.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "token").select("token", "size", "node"))
     nodes = members.select("node").distinct()
