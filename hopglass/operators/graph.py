@@ -15,7 +15,7 @@ work from one part to the other and is never changed by the data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -83,6 +83,7 @@ class Linked:
     narrow: DataFrame     # owner, case_id, arrival, kind, value
     hubs: DataFrame       # owner, case_id, arrival, hubs array<struct<kind,value>>
     hub_degree: int
+    pairs: DataFrame | None = None  # narrow pairs, where they are used more than once
 
 
 def split_hubs(indicators: DataFrame, hub_degree: int = HUB_DEGREE) -> Linked:
@@ -112,6 +113,8 @@ def class_pairs(classes: DataFrame) -> DataFrame:
 def narrow_pairs(linked: Linked) -> DataFrame:
     """Pairs of cases (``a`` earlier than ``b``) that share a narrow indicator, with
     everything they share, hubs included."""
+    if linked.pairs is not None:
+        return linked.pairs
     n = linked.narrow
     order = F.struct("arrival", "case_id")
     a = n.select(*EDGE, F.col("case_id").alias("a"), order.alias("oa"))
@@ -244,31 +247,41 @@ def components(indicators: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def depth_limited_clusters(indicators: DataFrame, depth: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Clusters of the cases within ``depth`` links of the smallest case not
-    yet taken; all components advance in parallel, leftovers start new clusters.
-    Clusters of one case are dropped."""
-    comp = components(indicators, hot_rows)
+    """Clusters of the cases within ``depth`` links of the smallest case not yet taken.  Clusters of one case are dropped.
+
+    Taken one after the other, a case starts a cluster as soon as no smaller case that is still free lies within 2 * depth links: no
+    cluster before it can reach what it takes.  So all such cases of all components start at once, and their clusters cannot meet;
+    what is left goes into the next round.  A round is 3 * depth steps over the shared indicators, whatever the number of clusters."""
     edges = indicators.select("owner", "case_id", "kind", "value").distinct()
-    edges = cut(edges.join(comp, CASE))
+    degree = edges.groupBy(*EDGE).agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
     hot = cut(hot_keys(edges, EDGE, hot_rows))
-    open_cases = comp
-    done = None
-    while True:
-        seed = open_cases.groupBy("owner", "component").agg(F.min("case_id").alias("cluster"))
-        reached = seed.select("owner", F.col("cluster").alias("case_id"), "cluster")
-        frontier = reached
-        free = edges.join(open_cases.select(*CASE), CASE, "left_semi")
+    edges = cut(join_on_hot_key(edges, degree, EDGE, hot))
+    free, done = cut(edges.select(*CASE).distinct()), None
+    while not free.isEmpty():
+        live = cut(edges.join(free, CASE, "left_semi"))
+        labels = free.withColumn("low", F.col("case_id"))
+        for _ in range(2 * depth):
+            on_edge = live.join(labels, CASE)
+            least = on_edge.groupBy(*EDGE).agg(F.min("low").alias("least"))
+            labels = cut(join_on_hot_key(on_edge, least, EDGE, hot).groupBy(*CASE).agg(F.min("least").alias("low")))
+        reached = frontier = cut(labels.filter("low = case_id").select("owner", "case_id", F.col("case_id").alias("cluster")))
         for _ in range(depth):
-            touched = edges.join(frontier, CASE).select(*EDGE, "cluster").distinct()
-            nxt = join_on_hot_key(free.drop("component"), touched, EDGE, hot).select(*CASE, "cluster").distinct()
-            frontier = nxt.join(reached.select(*CASE), CASE, "left_anti")
+            touched = live.join(frontier, CASE).select(*EDGE, "cluster").distinct()
+            near = join_on_hot_key(live, touched, EDGE, hot).select(*CASE, "cluster").distinct()
+            frontier = cut(near.join(reached.select(*CASE), CASE, "left_anti"))
             reached = reached.unionByName(frontier)
-        reached = cut(reached)
         done = reached if done is None else done.unionByName(reached)
-        open_cases = cut(open_cases.join(reached.select(*CASE), CASE, "left_anti"))
-        if open_cases.isEmpty():
-            sizes = done.groupBy("owner", "cluster").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-            return join_on_hot_key(done, sizes, ["owner", "cluster"], hot_keys(done, ["owner", "cluster"], hot_rows))
+        free = cut(free.join(reached.select(*CASE), CASE, "left_anti"))
+    if done is None:
+        done = edges.select("owner", "case_id", F.col("case_id").alias("cluster"))
+    sizes = done.groupBy("owner", "cluster").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    return join_on_hot_key(done, sizes, ["owner", "cluster"], hot_keys(done, ["owner", "cluster"], hot_rows))
+
+
+def cluster_indicators(indicators: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Indicators of each cluster's members, one row each with the number of members that have it."""
+    rows = indicators.select("owner", "case_id", "kind", "value").distinct().join(clusters.select("owner", "case_id", "cluster"), CASE)
+    return rows.groupBy("owner", "cluster", "kind", "value").agg(F.count("*").alias("n_cases"))
 
 
 def core_indicators(indicators: DataFrame, comp: DataFrame) -> DataFrame:
@@ -278,6 +291,7 @@ def core_indicators(indicators: DataFrame, comp: DataFrame) -> DataFrame:
 
 def cohesion(linked: Linked, comp: DataFrame) -> DataFrame:
     """Size and mean strength over linked pairs, per campaign."""
+    linked = replace(linked, pairs=cut(narrow_pairs(linked)))  # used for listed pairs and for those left to classes
     sizes = comp.groupBy("owner", "component").agg(F.count("*").alias("size"))
     listed = (pair_strengths(linked).select("owner", F.col("case_a").alias("case_id"), "strength", F.lit(1).cast("long").alias("n_pairs"))
               .join(comp, CASE).groupBy("owner", "component").agg(F.sum("strength").alias("s"), F.sum("n_pairs").alias("n")))

@@ -106,9 +106,29 @@ def g07(src):
     return op.components(src.d_indicators)
 
 
-@query("g08_depth_limited_clusters")
+#: One seed per component and step, the smallest free case; what lies within three links of it is taken.
+_CLUSTERS = f"""{_components(_EDGES)}, adj AS (SELECT DISTINCT a.owner, a.case_id AS a, b.case_id AS b FROM d_indicators a JOIN d_indicators b ON a.owner = b.owner AND a.kind = b.kind AND a.value = b.value AND a.case_id <> b.case_id),
+    st AS (SELECT owner, case_id, component, CAST(NULL AS BIGINT) AS cluster, 0 AS step FROM comp
+      UNION ALL SELECT st.owner, st.case_id, st.component, coalesce(st.cluster, n.seed), st.step + 1 FROM st LEFT JOIN (
+          SELECT x.owner, x.case_id, min(x.seed) AS seed FROM (
+            WITH f AS (SELECT owner, case_id, component FROM st WHERE cluster IS NULL), s0 AS (SELECT owner, min(case_id) AS seed, min(case_id) AS case_id FROM f GROUP BY owner, component),
+              s1 AS (SELECT f.owner, s0.seed, f.case_id FROM s0 JOIN adj ON adj.owner = s0.owner AND adj.a = s0.case_id JOIN f ON f.owner = adj.owner AND f.case_id = adj.b),
+              s2 AS (SELECT DISTINCT f.owner, s1.seed, f.case_id FROM s1 JOIN adj ON adj.owner = s1.owner AND adj.a = s1.case_id JOIN f ON f.owner = adj.owner AND f.case_id = adj.b),
+              s3 AS (SELECT DISTINCT f.owner, s2.seed, f.case_id FROM s2 JOIN adj ON adj.owner = s2.owner AND adj.a = s2.case_id JOIN f ON f.owner = adj.owner AND f.case_id = adj.b)
+            SELECT owner, seed, case_id FROM s0 UNION SELECT owner, seed, case_id FROM s1 UNION SELECT owner, seed, case_id FROM s2 UNION SELECT owner, seed, case_id FROM s3) x GROUP BY 1, 2) n
+        ON n.owner = st.owner AND n.case_id = st.case_id WHERE (SELECT count(*) FROM st WHERE cluster IS NULL) > 0),
+    cl AS (SELECT owner, case_id, cluster, count(*) OVER (PARTITION BY owner, cluster) AS size FROM st WHERE step = (SELECT max(step) FROM st))"""
+
+
+@query("g08_depth_limited_clusters", f"WITH RECURSIVE {_CLUSTERS} SELECT owner, case_id, cluster, size FROM cl WHERE size > 1")
 def g08(src):
-    return op.depth_limited_clusters(src.d_indicators).groupBy("owner", "cluster").agg(F.count("*").alias("size"))
+    return op.depth_limited_clusters(src.d_indicators).select("owner", "case_id", "cluster", "size")
+
+
+@query("g08_cluster_indicators", f"""WITH RECURSIVE {_CLUSTERS} SELECT cl.owner, cluster, kind, value, count(*) AS n_cases
+    FROM cl JOIN (SELECT DISTINCT owner, case_id, kind, value FROM d_indicators) i ON i.owner = cl.owner AND i.case_id = cl.case_id WHERE size > 1 GROUP BY 1, 2, 3, 4""")
+def g08_core(src):
+    return op.cluster_indicators(src.d_indicators, op.depth_limited_clusters(src.d_indicators))
 
 
 @query("g09_core_indicators", _COMP + """SELECT DISTINCT c.owner, c.component, i.kind, i.value FROM comp c

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hopglass.functions import fixed_values as fx
 from hopglass.operators import graph
+from hopglass.operators.skew import join_on_hot_key as join
 from hopglass.operators.skew import global_positions, rank_within
 
 SCHEMA = "owner string, case_id long, arrival timestamp, kind string, value string"
@@ -162,3 +163,34 @@ def test_stored_cases_count_as_earlier_for_late_ones(spark):
     row = lambda case, day: ("o", case, datetime(2024, 1, day), "url", "bad.example.net")
     stored, late = spark.createDataFrame([row(1, 2)], SCHEMA), spark.createDataFrame([row(2, 1)], SCHEMA)
     assert [(r["case_id"], r["related_cases"]) for r in correlate_batch(late, stored).collect()] == [(2, 1)]
+
+
+def test_many_clusters_of_one_component_start_together(spark, monkeypatch):
+    """A path of 240 cases with ids at random: dozens of clusters in a few rounds."""
+    import random
+
+    ids = list(range(240))
+    random.Random(2).shuffle(ids)
+    rows = [("o1", c, datetime(2024, 1, 1), "ip", f"e{i + d}") for i, c in enumerate(ids) for d in (0, 1)]
+    place = {c: i for i, c in enumerate(ids)}
+    want, free = {}, set(ids)
+    for s in sorted(ids):
+        if s not in free:
+            continue
+        got = [s]
+        for step in (-1, 1):
+            for k in range(1, 4):
+                i = place[s] + step * k
+                if not 0 <= i < len(ids) or ids[i] not in free:
+                    break
+                got.append(ids[i])
+        free -= set(got)
+        if len(got) > 1:
+            want.update({c: s for c in got})
+    rounds = []
+    monkeypatch.setattr(graph, "join_on_hot_key", lambda *a, **b: (rounds.append(1), join(*a, **b))[1])
+    found = graph.depth_limited_clusters(spark.createDataFrame(rows, SCHEMA))
+    assert {r.case_id: r.cluster for r in found.collect()} == want and len(set(want.values())) > 30
+    assert len(rounds) <= 2 + 9 * 8  # joins of at most eight rounds, not of one round per cluster
+    parts = graph.cluster_indicators(spark.createDataFrame(rows, SCHEMA), found)
+    assert parts.filter("n_cases = 2").count() == sum(1 for a, b in zip(ids, ids[1:]) if a in want and want.get(b) == want[a])
