@@ -53,6 +53,16 @@ def s02(src):
     return mail.parse_messages(raw_mail(src)).select(doc_id(), "subject", F.size("headers").alias("n_headers"))
 
 
+@query("s01_eml_files", """SELECT case_id AS doc, 'owner1' AS owner, subject, md5(CASE case_id % 2 WHEN 0 THEN regexp_replace(body_text, '^\\s+|\\s+$', '', 'g')
+    ELSE trim(regexp_replace(regexp_replace(body_html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) END) AS digest FROM d_messages""")
+def s01_files(src):
+    """Each message as a file of its own, read back by the byte source and parsed."""
+    folder = f"{work_dir(src.spark)}/mail"
+    raw_mail(src).select(F.col("raw").cast("string").alias("value"), F.substring_index("path", "/", -1).alias("doc")).write.partitionBy("doc").text(folder)
+    m = mail.parse_messages(mail.read_mail(src.spark, f"{folder}/*/*.txt", "owner1"))
+    return m.select(doc_id(), "owner", "subject", F.md5(F.col("body_text").cast("binary")).alias("digest"))
+
+
 @query("s03_header_values", """SELECT case_id AS doc, 0 AS pos, 'from mx1.org3.com (mx1.org3.com [203.0.113.7]) by mx.example.ac.in with ESMTPS; Tue, 14 Jan 2024 23:06:00 +0000' AS head FROM d_messages
     UNION ALL SELECT case_id, 1, 'from [10.0.0.5] by mx1.org3.com with SMTP; Tue, 14 Jan 2024 23:01:00 +0000' FROM d_messages""")
 def s03(src):
