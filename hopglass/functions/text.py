@@ -49,11 +49,16 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+#: Characters that the compatibility fold leaves alone, alone and next to each other: ASCII, letters of western Europe, basic
+#: Cyrillic, dashes and quotation marks.
+STABLE = r"\x00-\x7F\u00A1\u00A7\u00AB\u00BB\u00BF-\u00FF\u0400-\u045F\u2013\u2014\u2018-\u201E"
+
+
 def nfkc(col: Column) -> Column:
-    """Compatibility fold.  ASCII rows never leave the JVM: they reach the UDF as
+    """Compatibility fold.  Texts of STABLE characters never leave the JVM: they reach the UDF as
     NULL and are taken from the input column.  Pass a plain column: the input is
     named more than once."""
-    needs = F.when(col.rlike(r"[^\x00-\x7F]"), col)
+    needs = F.when(col.rlike(f"[^{STABLE}]"), col)
     return F.coalesce(_nfkc(needs), col)
 
 
