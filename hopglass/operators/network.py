@@ -45,11 +45,16 @@ def _with_parts(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("_n", network_parts(first, last))
 
 
-def network_matches(ips: DataFrame, nets: DataFrame) -> DataFrame:
+#: Prefixes (some 100 bytes each) that are broadcast.
+BROADCAST_PREFIXES = 100_000
+
+
+def network_matches(ips: DataFrame, nets: DataFrame, most: int = BROADCAST_PREFIXES) -> DataFrame:
     """Every network around each distinct address (``ip``): an equi-join on (family, bits, first bits), whatever the
     sizes of the networks.
 
-    An address probes only the prefix lengths that occur (33 + 129 at most).  A short prefix that covers much of the
+    An address probes only the prefix lengths that occur (33 + 129 at most).  A list of at most BROADCAST_PREFIXES prefixes (counted
+    first) goes to the addresses.  A larger one is joined by a shuffle, where a short prefix that covers much of the
     addresses is a hot key; such keys are counted and salted."""
     lengths = F.broadcast(nets.groupBy("family").agg(F.collect_set("bits").alias("_lengths")))  # two rows
     keyed = with_address_key(ips.select("ip").distinct(), "ip", "_key").filter(F.col("_key").isNotNull())
@@ -57,6 +62,8 @@ def network_matches(ips: DataFrame, nets: DataFrame) -> DataFrame:
     p1, p2 = prefix_bits(F.col("family"), F.col("hi"), F.col("lo"), F.col("bits"))
     probe = probe.select("ip", "family", "bits", p1.alias("p1"), p2.alias("p2"))
     keys = ["family", "bits", "p1", "p2"]
+    if nets.limit(most + 1).count() <= most:
+        return probe.join(F.broadcast(nets), keys)
     return join_on_hot_key(probe, nets, keys, hot_keys(probe, keys))
 
 

@@ -37,9 +37,10 @@ def test_networks_around_addresses_against_brute_force(spark, monkeypatch):
     wanted = {(ip, k) for ip in ips for k in around(ip, ranges)}
     df = spark.createDataFrame([(x,) for x in [*ips, "no address", None, "1.2.3.400"]], "ip string")
     assert {(r.ip, r.kind) for r in network.network_matches(df, nets).collect()} == wanted
+    assert {(r.ip, r.kind) for r in network.network_matches(df, nets, most=10).collect()} == wanted
     from hopglass.operators import skew
     monkeypatch.setattr(network, "hot_keys", lambda rows, keys: skew.hot_keys(rows, keys, 20))  # short prefixes are hot keys
-    assert {(r.ip, r.kind) for r in network.network_matches(df, nets).collect()} == wanted
+    assert {(r.ip, r.kind) for r in network.network_matches(df, nets, most=10).collect()} == wanted
 
 
 def test_the_most_specific_range_wins(spark):
