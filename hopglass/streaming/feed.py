@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import graph
+from ..operators.graph import correlate_batch
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame, int], DataFrame] | None = None,
@@ -78,7 +79,7 @@ def correlation_stream(indicators: DataFrame, store: str, out: str, checkpoint:
         spark = batch.sparkSession
         batch = batch.persist()
         stored = spark.read.parquet(store).filter(F.col("batch") < batch_id) if batch_id > 0 else None
-        graph.correlate_batch(batch, stored, hub_degree).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        correlate_batch(batch, stored, hub_degree).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         batch.unpersist()
 
