@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import steps
 
 # HTML element names by their role.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math head".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg annotation annotation-xml head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input math mrow mi mo mn ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mspace mpadded menclose semantics annotation annotation-xml script style template svg".split())
 BOILERPLATE = frozenset("nav header footer aside form button select option menu dialog fieldset legend".split())
 CONTENT = frozenset("article main".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption td th li".split())
@@ -37,7 +37,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog div d
 HINTS_OUT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|nav\w*|menu|breadcrumbs?|header|footer|sidebar|widget|related|recommend\w*|share|social|comments?|respond|replies|reply|pagination|pager|tags|toolbar|skip|search|copyright)(?:$|[\s_-])", re.I)
 HINTS_IN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
-TAG = re.compile(r"<!--(?:.*?-->|>|->|.*\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+OPENING = re.compile(r"<(?:!--|!|\?|(/?)([a-zA-Z][^\s/>]*))")
+SPECIAL = re.compile("[>\"']")
 HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 SPACE = re.compile(r"\s+")
@@ -46,6 +47,50 @@ SPACE = re.compile(r"\s+")
 SURE, HINTED, PRIOR_OUT, JOIN, JOIN_NEAR = 200, 60, 6, 4, 12
 
 
+class Tags:
+    """Tags of a page, in one pass: no place is looked at again after a search from it has failed."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in (">", '"', "'", "-->")}
+        self.failed: set[int] = set()
+
+    def find(self, c: str, at: int) -> int:
+        return self.page.find(c, at) if at <= self.last[c] else -1
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag: outside quotation marks, else the first one; a mark that is never closed is a letter.  -1: none."""
+        path, p = [], at
+        while p <= self.last[">"]:
+            s = SPECIAL.search(self.page, p).start()
+            if self.page[s] == ">":
+                return s
+            if s in self.failed:
+                break
+            path.append(s)
+            p = max(self.find(self.page[s], s + 1), s) + 1
+        self.failed.update(path)
+        return self.find(">", at)
+
+    def next(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag, comment or declaration (name empty), or None."""
+        while m := OPENING.search(self.page, at):
+            start, at, name = m.start(), m.end(), m.group(2)
+            if name:
+                end = self.end(at)
+                if end >= 0:
+                    return start, end + 1, bool(m.group(1)), name.lower(), self.page[at:end]
+            elif m.group() == "<!--":
+                end = self.find("-->", at)
+                short = next((len(x) for x in (">", "->") if self.page.startswith(x, at)), None)
+                return start, end + 3 if end >= 0 else len(self.page) if short is None else at + short, False, "", ""
+            else:
+                end = self.find(">", at)
+                if end >= 0:
+                    return start, end + 1, False, "", ""
+        return None
+
+
 class Block:
     __slots__ = ("chain", "linked", "parts", "size", "text")
 
@@ -72,7 +117,7 @@ def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
     top = Element("", "", None)
-    at, here, block, links = 0, top, None, 0
+    at, here, block, links, tags = 0, top, None, 0, Tags(page)
 
     def add(text: str) -> None:
         nonlocal block
@@ -89,11 +134,11 @@ def blocks_of(page: str) -> list[Block]:
             block.linked += len(text)
 
     while True:
-        m = TAG.search(page, at)
-        add(page[at : m.start()] if m else page[at:])
-        if not m:
+        tag = tags.next(at)
+        add(page[at : tag[0]] if tag else page[at:])
+        if not tag:
             break
-        at, name = m.end(), (m.group(2) or "").lower()
+        _, at, closing, name, attributes = tag
         if not name:
             continue
         inline = name in INLINE
@@ -103,7 +148,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if not inline:
             block = None
-        if m.group(1):
+        if closing:
             e = here
             while e.parent and e.name != name:
                 if inline and e.name not in INLINE:
@@ -123,16 +168,16 @@ def blocks_of(page: str) -> list[Block]:
                 e = e.parent
             if name in CLOSES and name != "p" and CLOSES.get(here.name) == CLOSES[name]:
                 here = here.parent
-        if name in VOID or m.group(3).endswith("/") and name in INLINE | VOID:
+        if name in VOID or attributes.endswith("/") and name in INLINE | VOID:
             continue
         if name in RAW and name != "head":
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(name)}", re.I).search(page, at)
+            at = (tags.find(">", end.end()) if end else -1) + 1 or len(page)
             continue
         if name == "body":
             while here.parent and here.name != "html":
                 here = here.parent
-        here = Element(name, m.group(3), here)
+        here = Element(name, attributes, here)
         links += name == "a"
     kept = []
     for b in out:

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from itertools import product
 
 from hopglass.llm import pages
@@ -48,6 +49,33 @@ def test_no_article_element_and_odd_markup():
     assert pages.main_blocks(deep) == ["deep text that goes on for a while, and then some more words."]
 
 
+def test_hostile_markup_is_read_once():
+    for page in ("<div data-x=" + '"a":' * 250_000, "<a " * 350_000, "<a '" * 250_000, "<!" * 500_000, "<!--" * 250_000, "<b \"" * 200_000 + ">x", "<script>" + "</script " * 120_000, "<i \">" * 150_000 + "'"):
+        start = time.process_time()
+        pages.blocks_of(page)
+        assert time.process_time() - start < 4, page[:12]
+
+
+def test_ends_of_tags():
+    tags = lambda page: [page[slice(*x[:2])] for x in found(page)]
+
+    def found(page):
+        t, at = pages.Tags(page), 0
+        while x := t.next(at):
+            at = x[1]
+            yield x
+
+    assert tags('a<b c="x>y">d</b>') == ['<b c="x>y">', "</b>"]
+    assert tags('<b c="x>y <i>z') == ['<b c="x>', "<i>"] and tags("<b c='x>y'") == ["<b c='x>"]
+    assert tags("1 < 2 <3> <!DOCTYPE x><?y?><!-- <p> --><!-- open <p>") == ["<!DOCTYPE x>", "<?y?>", "<!-- <p> -->", "<!-- open <p>"]
+    assert tags("<!-->a<b>") == ["<!-->", "<b>"] and tags("<b") == [] and tags("<! <b>") == ["<! <b>"]
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<article><p>Euler wrote that <math><mrow><msup><mi>e</mi><mi>x</mi></msup><mo>=</mo><mn>1</mn></mrow><annotation>e^x</annotation></math> holds for all of the numbers that he looked at.</p></article>"
+    assert pages.main_blocks(page) == ["Euler wrote that ex=1 holds for all of the numbers that he looked at."]
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "a", "b"), (2, None, None, "a", "b"), (3, "v", "", "a", "b"), (None, "u", PAGE, "a", "b"), (1, "u", PAGE, "a", "b"), (4, "w", "<article>" + "<p>word &amp; word.</p>" * 20_000 + "</article>", "a", "b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string").repartition(3)
