@@ -9,8 +9,10 @@ from email.header import decode_header, make_header
 from email.utils import getaddresses, parsedate_to_datetime
 from datetime import timezone
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed_values as fx
 from ..functions.text import rx, strip_tags
@@ -24,6 +26,9 @@ DECODED = T.StructType([
     T.StructField("to_raw", T.ArrayType(_S)), T.StructField("text", _S), T.StructField("html", _S), T.StructField("parts", T.ArrayType(PART)),
     T.StructField("parse_error", _S)])
 
+#: What is decoded at a time: a task holds so much mail as Python objects, however many rows a batch has.
+STEP_BYTES, STEP_ROWS = 4 << 20, 512
+
 
 def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False, max_files: int = 1000) -> DataFrame:
     """One row per file with its bytes; as a stream with bounded batches."""
@@ -79,8 +84,8 @@ def _decode_message(raw: bytes) -> dict:
     sender, reply = people("From"), people("Reply-To")
     try:
         sent = parsedate_to_datetime(msg["Date"]) if msg["Date"] else None
-        sent = sent.replace(tzinfo=timezone.utc) if sent is not None and sent.tzinfo is None else sent
-    except (TypeError, ValueError):
+        sent = (sent.replace(tzinfo=timezone.utc) if sent.tzinfo is None else sent.astimezone(timezone.utc)) if sent is not None else None
+    except (TypeError, ValueError, OverflowError):
         sent = None
     return {"headers": [{"pos": i, "name": k, "value": str(v)} for i, (k, v) in enumerate(msg.items())],
             "message_id": _raw_text(msg.get("Message-ID")), "subject": _header_text(msg.get("Subject")), "sent_at": sent,
@@ -89,6 +94,19 @@ def _decode_message(raw: bytes) -> dict:
             "to_raw": [a for _, a in people("To")], "text": "\n".join(text), "html": "\n".join(html) if html else None, "parts": parts}
 
 
+def bounded(batch: pa.RecordBatch, size_of: str):
+    """Slices of a batch: one row, or at most STEP_ROWS rows with STEP_BYTES in the column ``size_of``."""
+    sizes = pc.binary_length(batch.column(size_of)).fill_null(0).to_pylist()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > STEP_BYTES or i - start >= STEP_ROWS):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield batch.slice(start)
+
+
 def _blank_to_null(c: Column, lower: bool = True) -> Column:
     v = F.trim(F.lower(c) if lower else c)
     return F.nullif(v, F.lit(""))
@@ -101,15 +119,16 @@ def case_id_of(owner: Column, sha256: Column) -> Column:
 
 def parse_messages(raw_mail: DataFrame) -> DataFrame:
     """Typed message rows; no shuffle.  Also runs on a stream."""
-    keep = [f for f in raw_mail.schema.fields]
-    schema = T.StructType([*keep, *DECODED.fields])
+    schema = T.StructType([*raw_mail.schema.fields, *DECODED.fields])
+    kinds = to_arrow_schema(DECODED)
 
     def decode(batches):
-        for pdf in batches:
-            rows = pd.DataFrame([_decode(r) for r in pdf["raw"]], columns=DECODED.names)
-            yield pd.concat([pdf.reset_index(drop=True), rows], axis=1)
+        for batch in batches:
+            for some in bounded(batch, "raw"):
+                rows = [_decode(r) for r in some.column("raw").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array([r[k.name] for r in rows], k.type) for k in kinds)], [*some.schema.names, *kinds.names])
 
-    df = raw_mail.mapInPandas(decode, schema).withColumn("sha256", F.sha2("raw", 256))
+    df = raw_mail.mapInArrow(decode, schema).withColumn("sha256", F.sha2("raw", 256))
     text = F.nullif(F.regexp_replace("text", r"^\s+|\s+$", ""), F.lit(""))
     return df.select(
         case_id_of(F.col("owner"), F.col("sha256")).alias("case_id"), "owner", F.col("received_at").alias("arrival"), "sha256",

@@ -2,6 +2,7 @@
 
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,16 @@ def test_a_message_that_cannot_be_decoded_stays_as_an_error_row(spark, monkeypat
     from hopglass.sources import mail
 
     assert mail._decode(None)["parse_error"].startswith("TypeError") and mail._decode(None)["headers"] == []
+
+
+def test_decoding_takes_bounded_steps():
+    rows = pa.RecordBatch.from_pydict({"raw": pa.array([b"x" * n for n in (10, mail.STEP_BYTES, 5, 5)] + [None] + [b""] * (mail.STEP_ROWS + 1), pa.binary()), "i": list(range(5 + mail.STEP_ROWS + 1))})
+    got = [s.column("i").to_pylist() for s in mail.bounded(rows, "raw")]
+    assert [len(s) for s in got] == [1, 1, mail.STEP_ROWS, 4] and sum(got, []) == rows.column("i").to_pylist()
+    assert list(mail.bounded(rows.slice(0, 0), "raw")) == []
+
+
+def test_a_batch_of_several_steps_gives_every_message(spark):
+    raw = spark.range(1100).selectExpr("'o' as owner", "string(id) as path", "timestamp_seconds(id) as received_at", "cast(concat('Subject: s', id, '\r\nDate: Tue, 4 Aug 2026 10:00:00 +0530\r\n\r\n', repeat('b', int(id))) as binary) as raw")
+    got = mail.parse_messages(raw.coalesce(1)).orderBy("arrival").select("subject", F.length("body_text").alias("n"), F.unix_timestamp("arrival").alias("at"), F.unix_timestamp("sent_at").alias("sent")).collect()
+    assert [tuple(r) for r in got] == [(f"s{i}", i, i, 1785817800) for i in range(1100)]
