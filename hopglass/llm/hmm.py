@@ -6,9 +6,10 @@ P(token | state) = P(class | state) P(token | class), where P(token | class) = (
 keeps one share for words never seen.  So what Baum-Welch has to estimate has a fixed size, while the word counts behind
 it are exact, grow with the corpus and stay in a table.
 
-Training: word counts over all training texts; start values from a few iterations on a bounded sample (``start_texts``);
-then ``rounds`` Baum-Welch iterations over every training token.  Each task adds up expected counts, which are summed by
-state and class across partitions.  Training cuts long texts into windows of WINDOW tokens (every token is used; only the
+Training: word counts over all training texts; start values from how often each class is followed by each of FOLLOWERS
+groups of classes, counted over every training token (a table of fixed size, whose latent factors are fitted by expectation
+maximization); then ``rounds`` Baum-Welch iterations over every training token.  Each task adds up (expected) counts, which
+are summed by class, or state and class, across partitions.  Training cuts long texts into windows of WINDOW tokens (every token is used; only the
 transition between two windows isn't counted), so texts advance in step.  Scoring runs the scaled forward recursion over
 whole texts; the likelihood is exact.  Counts of the most frequent ``known_words`` words go to the tasks as one table of
 bounded size; the other words of a text are joined with the table of counts.
@@ -32,8 +33,8 @@ from .common import id_and_text, lower_words_of, steps
 from .text_stats import Numbers
 
 STATES, CLASSES, WINDOW = 8, 8192, 256
-#: Longest text of the sample that gives the start values.
-START_CHARS = 20_000
+#: Groups of classes that the start values tell apart in what follows a token.
+FOLLOWERS = 96
 END = CLASSES
 #: Stands for the end token in tables of words; no word holds a space.
 END_WORD = " "
@@ -202,20 +203,59 @@ def baum_welch(texts: DataFrame, model: Model) -> Model:
     return Model.of(counts)
 
 
-def trained(texts: DataFrame, rounds: int = 2, start_texts: int = 600, start_rounds: int = 12) -> Model:
-    share = 1 << 30
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) < int(share * min(1.0, start_texts / max(1, texts.count())))
-    sample = sorted(r["text"] for r in texts.filter(drawn & (F.length("text") <= START_CHARS)).limit(2 * start_texts).collect())  # 2 * start_texts * START_CHARS at most
-    parts, starts = windows(class_ids(sample, _Classes()))
-    model = Model.first()
-    for _ in range(start_rounds if parts else 0):
-        model = Model.of(expected(model, parts, starts))
+def follower_counts(texts: DataFrame) -> np.ndarray:
+    """How often a token of each class (row) is followed by one of each group of classes (column), over all texts; the end
+    token is followed by the first one of its text."""
+
+    def run(batches):
+        classes, total = _Classes(), np.zeros((CLASSES + 1) * FOLLOWERS, np.int64)
+        for _, some in steps(batches):
+            ids = class_ids(some, classes)
+            if ids:
+                after = np.concatenate([np.roll(i, -1) for i in ids]) % FOLLOWERS
+                total += np.bincount(np.concatenate(ids) * FOLLOWERS + after, minlength=len(total))
+        total = total.reshape(-1, FOLLOWERS)
+        place = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), *(pa.array(total[place, f]) for f in range(FOLLOWERS))], ["place", *(f"f{f}" for f in range(FOLLOWERS))])
+
+    parts = texts.mapInArrow(run, "place int, " + ", ".join(f"f{f} long" for f in range(FOLLOWERS)))
+    summed = parts.groupBy("place").agg(*(F.sum(f"f{f}").alias(f"f{f}") for f in range(FOLLOWERS))).toPandas()  # CLASSES + 1 rows at most
+    counts = np.zeros((CLASSES + 1, FOLLOWERS))
+    counts[summed["place"]] = summed[[f"f{f}" for f in range(FOLLOWERS)]]
+    return counts
+
+
+def start_values(counts: np.ndarray, rounds: int = 100, seed: int = 5) -> Model:
+    """The model whose states are the latent factors of the counts: P(class, group after it) = sum over states of
+    P(state) P(class | state) P(group after it | state)."""
+    if not counts.any():
+        return Model.first()
+    rng = np.random.default_rng(seed)
+    own, after = rng.dirichlet(np.full(CLASSES + 1, 2.0), STATES).T / STATES, rng.dirichlet(np.full(FOLLOWERS, 2.0), STATES)
+    for _ in range(rounds):
+        ratio = counts / np.maximum(own @ after, 1e-300)
+        own, after = own * (ratio @ after.T), after * (own.T @ ratio) + 0.01
+        own, after = own / own.sum(), after / after.sum(1, keepdims=True)
+    share = own.sum(0)
+    emit = own.T * counts.sum() + 0.01
+    emit /= emit.sum(1, keepdims=True)
+    group = np.array([np.bincount(np.arange(CLASSES + 1) % FOLLOWERS, e, FOLLOWERS) for e in emit])
+    move = np.full((STATES, STATES), 1 / STATES)
+    for _ in range(50):  # after = move @ group
+        move *= (after / (move @ group)) @ group.T
+        move /= move.sum(1, keepdims=True)
+    move += 0.001
+    return Model((share + 0.001) / (share + 0.001).sum(), move / move.sum(1, keepdims=True), emit)
+
+
+def trained(texts: DataFrame, rounds: int = 2) -> Model:
+    model = start_values(follower_counts(texts))
     for _ in range(rounds):
         model = baum_welch(texts, model)
     return model
 
 
-def scores(docs: DataFrame, rounds: int = 2, start_texts: int = 600, known_words: int = 1 << 17) -> DataFrame:
+def scores(docs: DataFrame, rounds: int = 2, known_words: int = 1 << 17) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     texts = id_and_text(docs)
     training = texts.filter(~held_out(F.col("doc_id")))
@@ -225,7 +265,7 @@ def scores(docs: DataFrame, rounds: int = 2, start_texts: int = 600, known_words
     size[by_class["class"]], distinct[by_class["class"]] = by_class["n"], by_class["words"]
     n, v = int(size.sum()), int(distinct.sum())
     spread = np.log10(size + distinct + 1)
-    model = trained(training, rounds, start_texts)
+    model = trained(training, rounds)
     frequent = most_frequent(counts, known_words).toArrow()
     table = dict(zip(frequent.column("word").cast(pa.binary()).to_pylist(), np.log10(frequent.column("n").to_numpy() + 1).tolist(), strict=True))
 

@@ -123,6 +123,17 @@ def test_scores_against_plain_counts(spark, small, known_words):
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)  # better than single words on held-out texts
 
 
+def test_start_values_come_from_every_training_text(spark):
+    texts = [f"alone{i} the of" for i in range(1300)] + ["long the of " * 8000 + "alone1300"]
+    docs = docs_of(spark, texts, list(range(1301)))
+    model, never = hmm.trained(docs, rounds=0), set(range(hmm.CLASSES)) - {int(c) for i in hmm.class_ids(texts, hmm._Classes()) for c in i}
+    floor = model.emit[:, min(never)]
+    assert all((model.emit[:, zlib.crc32(f"alone{i}".encode()) & hmm.CLASSES - 1] > 2 * floor).any() for i in range(1301))
+    assert hmm.follower_counts(docs).sum() == sum(len(t.split()) + 1 for t in texts)
+    for m in (model, hmm.trained(docs.limit(0), rounds=1)):
+        assert np.allclose([m.start.sum(), *m.move.sum(1), *m.emit.sum(1)], 1) and min(m.start.min(), m.move.min(), m.emit.min()) > 0
+
+
 def test_probabilities_of_next_words_sum_to_one(spark):
     docs = docs_of(spark, ["a b a c", "b", "c c a"], [0, 1, 3])
     rows = hmm.scores(docs.union(docs_of(spark, [""], [4])))
