@@ -40,6 +40,12 @@ def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False,
     return raw.select(F.lit(owner).alias("owner"), "path", F.col("modificationTime").alias("received_at"), F.col("content").alias("raw"))
 
 
+def write_mail(messages: DataFrame, folder: str) -> None:
+    """One file per message (``raw``), all below one folder, so that one listing finds them; each task moves its own files into place."""
+    (messages.select(F.col("raw").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder))
+
+
 def _header_text(value) -> str | None:
     if value is None:
         return None

@@ -161,3 +161,11 @@ def test_a_batch_of_several_steps_gives_every_message(spark):
     raw = spark.range(1100).selectExpr("'o' as owner", "string(id) as path", "timestamp_seconds(id) as received_at", "cast(concat('Subject: s', id, '\r\nDate: Tue, 4 Aug 2026 10:00:00 +0530\r\n\r\n', repeat('b', int(id))) as binary) as raw")
     got = mail.parse_messages(raw.coalesce(1)).orderBy("arrival").select("subject", F.length("body_text").alias("n"), F.unix_timestamp("arrival").alias("at"), F.unix_timestamp("sent_at").alias("sent")).collect()
     assert [tuple(r) for r in got] == [(f"s{i}", i, i, 1785817800) for i in range(1100)]
+
+
+def test_written_messages_are_files_of_one_folder(spark, tmp_path):
+    raws = [b"Subject: a\r\n\r\none"] * 2 + ["Subject: ü\r\n\r\ntwo\nlines".encode()]
+    mail.write_mail(spark.createDataFrame([(r,) for r in raws], "raw binary").coalesce(1), f"{tmp_path}/mail")
+    back = mail.read_mail(spark, f"{tmp_path}/mail", "o")
+    assert sorted(bytes(r["raw"]) for r in back.collect()) == sorted(r + b"\n" for r in raws)
+    assert {r["path"].rsplit("/", 1)[0].removeprefix("file:") for r in back.collect()} == {f"{tmp_path}/mail"}
