@@ -5,7 +5,9 @@ class, represented by a row of its smallest doc_id (a node; its number is a row
 texts).  Of each set PERMUTATIONS MinHash samples are taken; ROWS samples make a band
 key, and all samples (number, value) are folded by parity into an odd sketch of SKETCH_BITS bits.  Two representatives
 that share a band are candidates if the population count of the XOR of their sketches is at most XOR_LIMIT (six
-standard deviations above what a similarity of 0.75 gives, mean 68, deviation 9); candidates are confirmed on their full sets.
+standard deviations above what a similarity of 0.75 gives, mean 68, deviation 9) and the XOR of the parity bitmaps of their
+whole sets (PARITY_BITS bits) has no more ones than two linked sets of their sizes can differ in, which no link fails;
+candidates are confirmed on their full sets.
 
 No group's pairs are all emitted.  Each band key first compares one leader with its members; the confirmed links give
 components.  While a key still holds members of several components, more of its members lead (GROWTH times as many each
@@ -34,6 +36,7 @@ from .common import id_and_text, lower_words_of, steps, table_cut
 from .text_stats import Numbers
 
 WORDS, BANDS, ROWS, SKETCH_BITS, XOR_LIMIT, GROWTH = 5, 40, 4, 512, 122, 8
+PARITY_BITS = 1024
 PERMUTATIONS = BANDS * ROWS
 #: Bands by which pairs that share several are told apart.
 HEAD = 8
@@ -100,13 +103,19 @@ def odd_sketches(best: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of whole sets, as 64-bit words; the XOR of two has at most as many ones as the sets differ in."""
+    odd = np.array([np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1 for s in sets], np.uint8).reshape(-1, PARITY_BITS)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def estimate(ones: np.ndarray | float) -> np.ndarray | float:
     """Similarity that the odd sketches' differing bits show."""
     return 1 + SKETCH_BITS / (4 * PERMUTATIONS) * np.log(np.maximum(1 - 2 * np.asarray(ones) / SKETCH_BITS, 1e-9))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, digest of the set (null if empty), sketch and band keys of every document."""
+    """doc_id, text_key, n_shingles, digest of the set (null if empty), sketch, parity bitmap and band keys of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -114,10 +123,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             own = [shingles(t, hashes) for t in texts]
             best = np.array([samples(s) for s in own], np.uint32).reshape(-1, PERMUTATIONS)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(digest, pa.binary()), pa.array(list(odd_sketches(best)), pa.list_(pa.int64())), pa.array(list(band_keys(best)), pa.list_(pa.int64()))],
-                                             ["doc_id", "text_key", "n_shingles", "digest", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(digest, pa.binary()), pa.array(list(odd_sketches(best)), pa.list_(pa.int64())), pa.array(list(parities(own)), pa.list_(pa.int64())), pa.array(list(band_keys(best)), pa.list_(pa.int64()))],
+                                             ["doc_id", "text_key", "n_shingles", "digest", "sketch", "parity", "bands"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, sketch array<long>, bands array<long>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, sketch array<long>, parity array<long>, bands array<long>")
 
 
 def text_key() -> F.Column:
@@ -170,9 +179,16 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return table_cut(labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
-def differing(a: str, b: str) -> F.Column:
-    """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+def differing(a: str, b: str, bits: int) -> F.Column:
+    """Population count of the XOR of two sketches or bitmaps."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)), F.lit(0))
+
+
+def possible(percent: int) -> F.Column:
+    """Whether sizes (na, nb), sketches (sa, sb) and parity bitmaps (qa, qb) allow a link: linked sets differ in at most
+    (100 - percent) / (100 + percent) of the sum of their sizes."""
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return sizes & (differing("sa", "sb", SKETCH_BITS) <= XOR_LIMIT) & ((100 + percent) * differing("qa", "qb", PARITY_BITS) <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def decided(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -187,10 +203,10 @@ def decided(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min(rank).alias("lowest")).filter("size > 1")
     members = table_cut(bands.join(shared, "band").select("band", "size", "rep", (rank == F.col("lowest")).alias("first")))
     nodes = table_cut(members.select("rep").distinct())
-    sketches = table_cut(reps.join(nodes, reps["row"] == nodes["rep"], "left_semi").select(F.col("row").alias("node"), "doc_id", "text_key", "n_shingles", "sketch", F.slice("bands", 1, HEAD).alias("head")))
+    sketches = table_cut(reps.join(nodes, reps["row"] == nodes["rep"], "left_semi").select(F.col("row").alias("node"), "doc_id", "text_key", "n_shingles", "sketch", "parity", F.slice("bands", 1, HEAD).alias("head")))
     in_head = members.join(sketches, members["rep"] == sketches["node"]).filter(F.array_contains("head", F.col("band")))
     heads = in_head.groupBy("rep").agg(F.collect_list(F.struct("band", "size")).alias("heads"))  # HEAD entries at most
-    sketches = table_cut(sketches.join(heads, sketches["node"] == heads["rep"], "left").select("node", "doc_id", "text_key", "n_shingles", "sketch", F.coalesce("heads", F.array().cast("array<struct<band:bigint,size:bigint>>")).alias("heads")))
+    sketches = table_cut(sketches.join(heads, sketches["node"] == heads["rep"], "left").select("node", "doc_id", "text_key", "n_shingles", "sketch", "parity", *(F.coalesce(f"heads.{c}", F.array().cast("array<bigint>")).alias(f"head_{c}s") for c in ("band", "size"))))
     whole = table_cut(sets(texts.join(sketches.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).select("node", "text")))
     if whole.count() > nodes.count():  # rows that repeat a node's id and text
         more = whole.groupBy("node").count().filter("count > 1").select("node")
@@ -200,8 +216,8 @@ def decided(docs: DataFrame, percent: int = 75) -> DataFrame:
     # first round: each band's members meet its first one
     firsts = members.filter("first").select("band", F.col("rep").alias("a"))
     pairs = members.filter("not first").select("band", F.col("rep").alias("b")).join(firsts, "band").filter("a <> b").select("a", "b").distinct()
-    sa, sb = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    labels = relabelled(labels, confirmed(pairs.join(sa, "a").join(sb, "b").filter(differing("sa", "sb") <= XOR_LIMIT).select("a", "b"), whole, percent))
+    sa, sb = (sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("parity").alias(f"q{x}")) for x in "ab")
+    labels = relabelled(labels, confirmed(pairs.join(sa, "a").join(sb, "b").filter(possible(percent)).select("a", "b"), whole, percent))
 
     # further rounds: more members lead, against members of other components, in the bands that the first round left undecided
     rows = members.filter("size > 2").join(labels, members["rep"] == labels["node"]).select("band", "size", "rep", "label")
@@ -211,15 +227,14 @@ def decided(docs: DataFrame, percent: int = 75) -> DataFrame:
     led, leaders, largest = 0, GROWTH, rows.agg(F.max("size")).first()[0] or 0
     while led < largest:
         wide = rows.filter(F.col("size") > led).join(labels, rows["rep"] == labels["node"]).join(sketches, rows["rep"] == sketches["node"])
-        wide = wide.select("band", "size", "rep", "label", "n_shingles", "sketch", "heads", draw.alias("draw"))
+        wide = wide.select("band", "size", "rep", "label", "n_shingles", "sketch", "parity", "head_bands", "head_sizes", draw.alias("draw"))
         leads = lambda size: (F.col("draw") * size >= led) & (F.col("draw") * size < leaders)  # noqa: B023, E731
-        a = wide.filter(leads(F.col("size"))).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.transform(F.filter("heads", lambda h: leads(h["size"])), lambda h: h["band"]).alias("ba"))
-        b = wide.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("heads.band").alias("bb"))
+        a = wide.filter(leads(F.col("size"))).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("qa"), F.filter("head_bands", lambda _, i: leads(F.get("head_sizes", i))).alias("ba"))
+        b = wide.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("qb"), F.col("head_bands").alias("bb"))
         # a leader meets a member once, if it leads in one of the first HEAD bands that they share
         shared_head = F.array_intersect("ba", "bb")
         meet = (F.size(shared_head) == 0) | (F.get(shared_head, F.lit(0)) == a["band"])
-        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # else no similarity of that height is possible
-        pairs = a.join(b, (a["band"] == b["band"]) & (F.col("la") != F.col("lb")) & sizes & (differing("sa", "sb") <= XOR_LIMIT) & meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = a.join(b, (a["band"] == b["band"]) & (F.col("la") != F.col("lb")) & possible(percent) & meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = relabelled(labels, confirmed(pairs, whole, percent))
         led, leaders = leaders, leaders * GROWTH
 

@@ -133,3 +133,24 @@ def test_one_row_a_group_and_one_verdict_a_text(spark):
     found = near.components(df).collect()
     assert len(found) == len(rows) and sum(r["kept"] for r in found) == len(got)
     assert sorted(r["component_id"] for r in found if r["doc_id"] == 7) == [2, 7, 7]
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 150, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.unique(np.append(a[: n * 3 // 4], rng.integers(0, 1 << 63, n // 4 + 1).astype(np.uint64)))
+        x, y = near.parities([a, b]).view(np.uint64)
+        ones = int(np.bitwise_count(x ^ y).sum())
+        assert ones <= len(np.setxor1d(a, b)) and (ones - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_copies_below_the_limit_move_few_sets(spark, monkeypatch):
+    rnd = random.Random(8)
+    passage, rows, tested = [f"p{i}" for i in range(200)], [], []
+    for k in range(60):  # any two share 200 of about 290 shingles
+        rows.append((k, " ".join(passage + [f"own{k}.{i}" for i in range(rnd.randrange(40, 48))])))
+    plain = near.confirmed
+    monkeypatch.setattr(near, "confirmed", lambda pairs, *rest: tested.append(pairs.count()) or plain(pairs, *rest))
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_force(rows) and sum(tested) < 100
