@@ -41,9 +41,11 @@ def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False,
 
 
 def write_mail(messages: DataFrame, folder: str) -> None:
-    """One file per message (``raw``), all below one folder, so that one listing finds them; each task moves its own files into place."""
-    (messages.select(F.col("raw").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
-     .option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder))
+    """One file per ``path``, all below one folder, so that one listing finds them; each task moves its own files into place.
+    Rows of the same path run together in its file, a line break after each."""
+    value = F.coalesce(F.col("raw").cast("string"), F.lit(""))
+    files = messages.groupBy("path").agg(F.array_join(F.collect_list(value), "\n").alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
 
 
 def _header_text(value) -> str | None:

@@ -164,8 +164,8 @@ def test_a_batch_of_several_steps_gives_every_message(spark):
 
 
 def test_written_messages_are_files_of_one_folder(spark, tmp_path):
-    raws = [b"Subject: a\r\n\r\none"] * 2 + ["Subject: ü\r\n\r\ntwo\nlines".encode()]
-    mail.write_mail(spark.createDataFrame([(r,) for r in raws], "raw binary").coalesce(1), f"{tmp_path}/mail")
-    back = mail.read_mail(spark, f"{tmp_path}/mail", "o")
-    assert sorted(bytes(r["raw"]) for r in back.collect()) == sorted(r + b"\n" for r in raws)
-    assert {r["path"].rsplit("/", 1)[0].removeprefix("file:") for r in back.collect()} == {f"{tmp_path}/mail"}
+    rows = [("m/1", b"Subject: a\r\n\r\none"), ("m/1", b"Subject: a\r\n\r\none"), ("m/2", "Subject: \u00fc\r\n\r\ntwo\nlines".encode()), (None, None)]
+    mail.write_mail(spark.createDataFrame(rows, "path string, raw binary").coalesce(1), f"{tmp_path}/mail")
+    back = mail.read_mail(spark, f"{tmp_path}/mail", "o").collect()
+    assert sorted(bytes(r["raw"]) for r in back) == sorted([rows[0][1] + b"\n" + rows[0][1] + b"\n", rows[2][1] + b"\n", b"\n"])
+    assert {r["path"].rsplit("/", 1)[0].removeprefix("file:") for r in back} == {f"{tmp_path}/mail"}
