@@ -7,9 +7,10 @@ pair of cases that share a popular indicator:
 * pair measures list the pairs of *narrow* indicators (at most ``hub_degree``
   cases each) and count the pairs that share only *hub* indicators between classes
   of cases with the same set of hubs; a class is one row however many cases it has,
-  and a case may have any number of hubs.
+  and a case may have any number of hubs;
+* earlier cases are counted on time lines of indicators and of their combinations.
 
-Together the two parts are exact for any ``hub_degree``; the parameter only moves
+The two parts of the pair measures together are exact for any ``hub_degree``; the parameter only moves
 work from one part to the other and is never changed by the data.
 """
 
@@ -26,6 +27,8 @@ from . import dims
 from .skew import HOT_ROWS, hot_keys, join_on_hot_key, rank_within
 
 HUB_DEGREE = 1000
+#: A set with more indicators in common with others is compared with the sets that it meets, not taken apart.
+PART_OF = 8
 EDGE = ["owner", "kind", "value"]
 CASE = ["owner", "case_id"]
 
@@ -83,17 +86,18 @@ class Linked:
     narrow: DataFrame     # owner, case_id, arrival, kind, value
     hubs: DataFrame       # owner, case_id, arrival, hubs array<struct<kind,value>>
     hub_degree: int
+    shared: DataFrame     # both: owner, case_id, arrival, kind, value, number of the indicator
     pairs: DataFrame | None = None  # narrow pairs, where they are used more than once
 
 
 def split_hubs(indicators: DataFrame, hub_degree: int = HUB_DEGREE) -> Linked:
     """Drop unshared indicators and separate hubs, those of more than ``hub_degree`` cases."""
     edges = indicators.select("owner", "case_id", "arrival", "kind", "value").dropDuplicates(["owner", "case_id", "kind", "value"])
-    degree = edges.groupBy(*EDGE).agg(F.count("*").alias("degree")).filter(F.col("degree") >= 2)
-    shared = cut(join_on_hot_key(edges, degree, EDGE, hot_keys(edges, EDGE)))
+    degree = cut(edges.groupBy(*EDGE).agg(F.count("*").alias("degree")).filter(F.col("degree") >= 2).withColumn("number", F.monotonically_increasing_id()))
+    shared = cut(join_on_hot_key(edges, degree, EDGE, degree.filter(F.col("degree") > HOT_ROWS).select(*EDGE)))
     hubs = (shared.filter(F.col("degree") > hub_degree).groupBy(*CASE, "arrival")
             .agg(F.sort_array(F.collect_list(F.struct("kind", "value"))).alias("hubs")))
-    return Linked(shared.filter(F.col("degree") <= hub_degree).drop("degree"), hubs, hub_degree)
+    return Linked(shared.filter(F.col("degree") <= hub_degree).drop("degree", "number"), hubs, hub_degree, shared.drop("degree"))
 
 
 def hub_classes(linked: Linked) -> DataFrame:
@@ -153,34 +157,92 @@ def hub_pair_classes(linked: Linked) -> DataFrame:
 
 # ------------------------------------------------------- related prior cases
 
-def earlier_by_hubs(linked: Linked) -> DataFrame:
-    """Per case with hubs: how many earlier cases share a hub (n_hub), and the most hubs shared with one (best_hub).
-
-    A class of cases with the same hubs gets one time line of the cases of all classes that share a hub with it; the rank
-    of its own cases on that line is their number of earlier cases.  An earlier case of another class exists if that
-    class's first case is earlier."""
-    classes = cut(hub_classes(linked))
-    pairs = cut(class_pairs(classes).select("owner", "ha", "hb", "first_b", F.size("s").alias("shared")))
-    cases = linked.hubs.select("owner", "case_id", "arrival", F.col("hubs").alias("hb"))
-    line = pairs.select("owner", "ha", "hb").join(cases, ["owner", "hb"]).select("owner", F.col("ha").alias("line"), "arrival", "case_id", (F.col("ha") == F.col("hb")).alias("own"))
-    ranked = rank_within(line, ["owner", "line"], ["arrival", "case_id"], "n_hub").filter("own").select(*CASE, "n_hub")
-    best = (cases.select("owner", F.col("hb").alias("ha"), "case_id", F.struct("arrival", "case_id").alias("at")).join(pairs, ["owner", "ha"])
-            .filter(F.col("first_b") < F.col("at")).groupBy(*CASE).agg(F.max("shared").alias("best_hub")))
+def parts_of(common: DataFrame) -> DataFrame:
+    """(own, part, n, n_old): for every set ``own`` the parts that are counted.  A set of at most PART_OF indicators ``common``
+    with other sets gives all their subsets; a larger one those of these subsets that it holds."""
+    every = "transform(sequence(1, shiftleft(1, size(common)) - 1), m -> filter(common, (x, i) -> (shiftright(m, i) & 1) = 1))"
+    parts = common.filter(F.size("common") <= PART_OF).select("own", F.explode(F.expr(every)).alias("part"), "n", "n_old")
+    wide = common.filter(F.size("common") > PART_OF)
+    if wide.isEmpty():
+        return parts
+    asked = parts.select("part", F.col("part")[0].alias("number")).distinct()
+    at = wide.withColumn("number", F.explode("common"))
+    return parts.unionByName(at.join(asked, "number").filter(F.size(F.array_except("part", "common")) == 0).select("own", "part", "n", "n_old"))
+
+
+def earlier_of_wide(cases: DataFrame, wide: DataFrame) -> DataFrame:
+    """``earlier_by_sets`` for the cases of the sets in ``wide``, each compared with every set that it meets.
+
+    Such a set gets one time line of the cases of all sets that share an indicator with it; the rank of its own cases on that
+    line is their number of earlier cases.  An earlier case of another set exists if that set's first case is earlier."""
+    first = cases.groupBy("own").agg(F.min(F.struct("arrival", "case_id")).alias("first_b"))
+    a = wide.select(F.col("own").alias("line"), F.explode("own").alias("number"))
+    both = a.join(first.withColumn("number", F.explode("own")), "number")
+    meet = F.array_intersect("line", "own")
+    pairs = cut(both.filter(F.col("number") == F.array_min(meet)).select("line", "own", "first_b", F.size(meet).alias("shared")))
+    times = cases.select("owner", "arrival", "case_id", "own")
+    line = pairs.select("line", "own").join(times, "own").select("owner", "line", "arrival", "case_id", (F.col("line") == F.col("own")).alias("mine"))
+    ranked = rank_within(line, ["line"], ["arrival", "case_id"], "related").filter("mine").select(*CASE, "related")
+    best = (times.withColumnRenamed("own", "line").join(pairs.drop("own"), "line").filter(F.col("first_b") < F.struct("arrival", "case_id"))
+            .groupBy(*CASE).agg(F.max("shared").alias("best")))
     return ranked.join(best, CASE, "left")
 
 
-def related_prior(linked: Linked, all_cases: DataFrame) -> DataFrame:
+def earlier_by_sets(linked: Linked, before_all: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per case with shared indicators: how many earlier cases share one (related), and the most shared with one of them (best).
+
+    Cases with the same set of indicators are alike, so the work is done on sets.  Of a set only the indicators that it has in
+    common with other sets are taken apart.  An earlier case meets this case in some of the parts (subsets) of its set: the
+    parts of odd size count it, those of even size take it off again, and what remains is one.  So the number of earlier cases is
+    a signed sum of ranks on time lines, one line per part that several sets hold and one of the set itself, which stands for
+    all parts that no other set holds.  A case is on at most 2 ** PART_OF lines, however many cases it meets.
+
+    Cases with the arrival ``before_all`` come before all others; they are counted by set, stand on no line and get no row."""
+    old = F.lit(False) if before_all is None else F.col("arrival").eqNullSafe(before_all)
+    cases = cut(linked.shared.groupBy(*CASE, "arrival").agg(F.sort_array(F.collect_list("number")).alias("own")))
+    sets = cut(cases.groupBy("own").agg(F.count("*").alias("n"), F.count(F.when(old, 1)).alias("n_old")))
+    at = sets.withColumn("number", F.explode("own"))
+    several = cut(at.groupBy("number").agg(F.count("*").alias("sets")).filter("sets > 1"))
+    hot = several.filter(F.col("sets") > hot_rows).select("number")
+    common = cut(join_on_hot_key(at, several, ["number"], hot).groupBy("own", "n", "n_old").agg(F.sort_array(F.collect_list("number")).alias("common")))
+    wide = common.filter(F.size("common") > PART_OF)
+    any_wide = not wide.isEmpty()
+
+    parts = cut(parts_of(common))
+    held = cut(parts.groupBy("part").agg(F.count("*").alias("sets"), F.sum("n").alias("all"), F.sum("n_old").alias("base")).filter("sets > 1"))
+    sign = F.when(F.size("part") % 2 == 1, 1).otherwise(-1)
+    lines = join_on_hot_key(parts.select("own", "part"), held, ["part"], held.filter(F.col("sets") > hot_rows).select("part"))
+    lines = cut(lines.select("own", "part", sign.alias("weight"), F.size("part").alias("shared"), (F.col("all") - F.col("base")).alias("length"), "base"))
+    # the line of a set itself is told from that of the same part by the number before it
+    rest = lines.groupBy("own").agg(F.sum("weight").alias("w"))
+    alone = sets.join(rest, "own", "left").select("own", F.concat(F.array(F.lit(-1).cast("long")), "own").alias("part"), (1 - F.coalesce("w", F.lit(0))).cast("int").alias("weight"),
+                                                  F.size("own").alias("shared"), (F.col("n") - F.col("n_old")).alias("length"), F.col("n_old").alias("base"))
+    if any_wide:  # on the lines of others, but counted another way
+        lines = lines.join(wide.select("own", F.lit(True).alias("wide")), "own", "left").unionByName(alone.join(wide, "own", "left_anti").withColumn("wide", F.lit(None).cast("boolean")))
+    else:
+        lines = lines.unionByName(alone).withColumn("wide", F.lit(None).cast("boolean"))
+
+    new = cases if before_all is None else cases.filter(~old)
+    crowded = sets.filter(F.col("n") > hot_rows).select("own")
+    on = lambda some: join_on_hot_key(new, some, ["own"], crowded).select(*CASE, "arrival", "part", "weight", "shared", "base", "wide")
+    before = F.row_number().over(Window.partitionBy("part").orderBy("arrival", "case_id")) - 1
+    ranked = on(lines.filter(F.col("length") <= hot_rows)).withColumn("before", before)
+    long = lines.filter(F.col("length") > hot_rows)
+    if not long.isEmpty():
+        ranked = ranked.unionByName(rank_within(on(long), ["part"], ["arrival", "case_id"], "before"))
+    seen = F.col("before") + F.when(F.col("arrival").isNull(), 0).otherwise(F.col("base"))  # a case without arrival comes before all
+    ranked = ranked.filter("wide is null").withColumn("before", seen)
+    found = ranked.groupBy(*CASE).agg(F.sum(F.col("weight") * F.col("before")).alias("related"), F.max(F.when(F.col("before") > 0, F.col("shared"))).alias("best"))
+    return found.unionByName(earlier_of_wide(cases, wide)) if any_wide else found
+
+
+def related_prior(linked: Linked, all_cases: DataFrame, before_all: Column | None = None) -> DataFrame:
     """Per case, how many earlier cases of the same owner it shares
-    indicators with, and the largest number shared with one of them."""
-    narrow = narrow_pairs(linked)
-    via_narrow = narrow.groupBy("owner", F.col("b").alias("case_id")).agg(
-        F.count("*").alias("n_narrow"), F.count(F.when(F.size("shared_hubs") > 0, True)).alias("n_both"),
-        F.max(F.size("shared") + F.size("shared_hubs")).alias("best_narrow"))
-    via_hub = earlier_by_hubs(linked)
+    indicators with, and the largest number shared with one of them.  Cases
+    with the arrival ``before_all`` are counted as earlier ones only."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return (all_cases.select(*CASE).distinct().join(via_narrow, CASE, "left").join(via_hub, CASE, "left")
-            .select(*CASE, (zero("n_narrow") + zero("n_hub") - zero("n_both")).cast("long").alias("related_cases"),
-                    F.greatest(zero("best_narrow"), zero("best_hub")).cast("int").alias("shared_indicator_count")))
+    return (all_cases.select(*CASE).distinct().join(earlier_by_sets(linked, before_all), CASE, "left")
+            .select(*CASE, zero("related").cast("long").alias("related_cases"), zero("best").cast("int").alias("shared_indicator_count")))
 
 
 def campaign_reuse(prior: DataFrame) -> DataFrame:
@@ -197,11 +259,12 @@ def correlate_batch(batch: DataFrame, stored: DataFrame | None, hub_degree: int
     stored rows that share an indicator with the batch are read further.  ``all_cases`` adds cases without indicators."""
     cases = batch.select("owner", "case_id").distinct()
     rows = batch.select("owner", "case_id", "arrival", "kind", "value")
+    before_all = None
     if stored is not None:
         old = stored.join(rows.select(*EDGE).distinct(), EDGE, "left_semi").join(cases, CASE, "left_anti")
-        before_all = F.lit("0001-01-01").cast(rows.schema["arrival"].dataType).alias("arrival")
-        rows = rows.unionByName(old.select("owner", "case_id", before_all, "kind", "value"))
-    return campaign_reuse(related_prior(split_hubs(rows, hub_degree), cases if all_cases is None else all_cases.select("owner", "case_id")))
+        before_all = F.lit("0001-01-01").cast(rows.schema["arrival"].dataType)
+        rows = rows.unionByName(old.select("owner", "case_id", before_all.alias("arrival"), "kind", "value"))
+    return campaign_reuse(related_prior(split_hubs(rows, hub_degree), cases if all_cases is None else all_cases.select("owner", "case_id"), before_all))
 
 
 def relationships_of(indicators: DataFrame, focus: DataFrame, top: int = 5) -> DataFrame:

@@ -194,3 +194,31 @@ def test_many_clusters_of_one_component_start_together(spark, monkeypatch):
     assert len(rounds) <= 2 + 9 * 8  # joins of at most eight rounds, not of one round per cluster
     parts = graph.cluster_indicators(spark.createDataFrame(rows, SCHEMA), found)
     assert parts.filter("n_cases = 2").count() == sum(1 for a, b in zip(ids, ids[1:]) if a in want and want.get(b) == want[a])
+
+
+@pytest.mark.parametrize("part_of, hot_rows", [(8, 10**6), (2, 3), (0, 2)])
+def test_earlier_cases_of_small_wide_and_crowded_sets(spark, monkeypatch, part_of, hot_rows):
+    monkeypatch.setattr(graph, "PART_OF", part_of)
+    rows = make(5, n_cases=70, hubs=4)
+    ind, arr = sets_of(rows)
+    found = graph.earlier_by_sets(graph.split_hubs(spark.createDataFrame(rows, SCHEMA)), None, hot_rows)
+    got = {r.case_id: (r.related or 0, r.best or 0) for r in found.collect()}
+    for c in ind:
+        prior = [len(ind[c] & ind[o]) for o in ind if (arr[o], o) < (arr[c], c) and ind[c] & ind[o]]
+        assert got.get(c, (0, 0)) == (len(prior), max(prior, default=0))
+
+
+def test_time_lines_grow_with_the_cases_not_with_the_sets_that_meet(spark, monkeypatch):
+    """60 sets of 10 cases each that all meet at one hub: pairs of sets have 36,000 cases in all."""
+    seen = []
+
+    def counted(df, keys, order, out="rank"):
+        seen.append(df.count())
+        return rank_within(df, keys, order, out)
+
+    monkeypatch.setattr(graph, "rank_within", counted)
+    rows = [("o", 10 * s + k, datetime(2024, 1, 1), "url", v) for s in range(60) for k in range(10) for v in ("hub", f"own{s}")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.case_id: (r.related_cases, r.shared_indicator_count) for r in graph.related_prior(graph.split_hubs(df, 5), df).collect()}
+    assert got == {c: (c, 0 if c == 0 else 2 if c % 10 else 1) for c in range(600)}
+    assert sum(seen) <= 3 * 600
