@@ -42,6 +42,8 @@ PERMUTATIONS = BANDS * ROWS
 HEAD = 8
 #: So many pairs (16 bytes each) are broadcast; more are joined by a shuffle.
 FEW_PAIRS = 200_000
+#: Bits of the map of wanted rows that is broadcast, 4 MB at most whatever the data size.
+SLOTS = 1 << 25
 _RNG = np.random.default_rng(20_240_501)
 FACTORS, FLIPS = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1), _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
 STEP_FACTORS = _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
@@ -145,6 +147,16 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, own array<long>")
 
 
+def likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id and text_key may be among those of ``wanted``: all that are, and few others (those that
+    share a bit of a map of SLOTS bits), so that texts that no later join needs are not moved."""
+    slot = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SLOTS))
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
+    held = texts.withColumn("__slot", slot).join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"))
+    at = "conv(hex(substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)), 16, 10)"
+    return held.filter(F.expr(f"(shiftright(cast({at} as int), cast(bitmap_bit_position(__slot) % 8 as int)) & 1) = 1")).drop("__slot", "__bucket", "__bits")
+
+
 def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): nodes with the smallest node that edges (a, b) reach; labels spread along edges and then jump to the
     label of their label, until nothing changes."""
@@ -161,12 +173,16 @@ def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  Few pairs (their number is checked) are broadcast to the sets."""
+    """The pairs (a, b) whose full sets are similar enough.  Few pairs (their number is checked) are broadcast to the sets, and
+    only sets that stand in a pair are moved."""
     pairs = table_cut(pairs)
-    side = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
+    few = pairs.count() <= FEW_PAIRS
+    side = F.broadcast(pairs) if few else pairs
     held = whole.join(side, whole["node"] == side["a"]).select("a", "b", F.col("own").alias("xa"))
+    seconds = pairs.select(F.col("b").alias("node")).distinct()
+    others = whole.join(F.broadcast(seconds), "node", "left_semi") if few else whole
     both = F.size(F.array_intersect("xa", "own"))
-    return whole.join(held, whole["node"] == held["b"]).filter(100 * both >= percent * (F.size("xa") + F.size("own") - both)).select("a", "b").distinct()
+    return others.join(held, others["node"] == held["b"]).filter(100 * both >= percent * (F.size("xa") + F.size("own") - both)).select("a", "b").distinct()
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -207,7 +223,8 @@ def decided(docs: DataFrame, percent: int = 75) -> DataFrame:
     in_head = members.join(sketches, members["rep"] == sketches["node"]).filter(F.array_contains("head", F.col("band")))
     heads = in_head.groupBy("rep").agg(F.collect_list(F.struct("band", "size")).alias("heads"))  # HEAD entries at most
     sketches = table_cut(sketches.join(heads, sketches["node"] == heads["rep"], "left").select("node", "doc_id", "text_key", "n_shingles", "sketch", "parity", *(F.coalesce(f"heads.{c}", F.array().cast("array<bigint>")).alias(f"head_{c}s") for c in ("band", "size"))))
-    whole = table_cut(sets(texts.join(sketches.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).select("node", "text")))
+    wanted = sketches.select("node", "doc_id", "text_key")
+    whole = table_cut(sets(likely(texts, wanted).join(wanted, ["doc_id", "text_key"]).select("node", "text")))
     if whole.count() > nodes.count():  # rows that repeat a node's id and text
         more = whole.groupBy("node").count().filter("count > 1").select("node")
         whole = table_cut(whole.join(more, "node", "left_anti").union(whole.join(more, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))))

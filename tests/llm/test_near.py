@@ -154,3 +154,11 @@ def test_copies_below_the_limit_move_few_sets(spark, monkeypatch):
     monkeypatch.setattr(near, "confirmed", lambda pairs, *rest: tested.append(pairs.count()) or plain(pairs, *rest))
     got = result(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == brute_force(rows) and sum(tested) < 100
+
+
+def test_only_texts_that_may_be_wanted_are_moved(spark):
+    texts = spark.range(-2000, 18000).selectExpr("id as doc_id", "concat('text ', id) as text").withColumn("text_key", near.text_key())
+    wanted = texts.filter("doc_id % 50 = 0").select("doc_id", "text_key")
+    got = {r.doc_id for r in near.likely(texts, wanted).select("doc_id").collect()}
+    assert {*range(-2000, 18000, 50)} <= got and len(got) < 420
+    assert near.likely(texts, wanted.limit(0)).count() == 0
