@@ -147,14 +147,19 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, own array<long>")
 
 
-def likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose doc_id and text_key may be among those of ``wanted``: all that are, and few others (those that
-    share a bit of a map of SLOTS bits), so that texts that no later join needs are not moved."""
-    slot = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SLOTS))
+def marked(texts: DataFrame, wanted: DataFrame, out: str, keys: tuple[str, str] = ("doc_id", "text_key")) -> DataFrame:
+    """Adds whether a row's keys may be among those of ``wanted``: true for all that are, and for few others (those that
+    share a bit of a map of SLOTS bits)."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
     bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
-    held = texts.withColumn("__slot", slot).join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"))
+    held = texts.withColumn("__slot", slot).join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
     at = "conv(hex(substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)), 16, 10)"
-    return held.filter(F.expr(f"(shiftright(cast({at} as int), cast(bitmap_bit_position(__slot) % 8 as int)) & 1) = 1")).drop("__slot", "__bucket", "__bits")
+    return held.withColumn(out, F.expr(f"coalesce((shiftright(cast({at} as int), cast(bitmap_bit_position(__slot) % 8 as int)) & 1) = 1, false)")).drop("__slot", "__bucket", "__bits")
+
+
+def likely(texts: DataFrame, wanted: DataFrame, keys: tuple[str, str] = ("doc_id", "text_key")) -> DataFrame:
+    """The rows of ``texts`` that may be among ``wanted`` (see ``marked``), so that texts that no later join needs are not moved."""
+    return marked(texts, wanted, "__likely", keys).filter("__likely").drop("__likely")
 
 
 def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -269,11 +274,20 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each group, with the columns of ``docs``; of rows that repeat a kept id too, one."""
+    """One document of each group, with the columns of ``docs``; of rows that repeat a kept id too, one.
+
+    Rows stay where they are: a map of the keys that leave and one of the other keys that share a bit with them tell all
+    rows apart but those that are in both maps, and only these few are joined."""
+    keys = ("__id", "__key")
     found = decided(docs, percent).filter("doc_id is not null").withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    found = table_cut(found.groupBy("__id", "__key").agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")).filter("not __kept or __n > 1"))
+    found = table_cut(found.groupBy(*keys).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")).withColumn("__leaves", F.expr("not __kept or __n > 1")))
+    leaving = found.filter("__leaves").select(*keys)
+    staying = table_cut(likely(found.filter("not __leaves").select(*keys), leaving, keys))
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", text_key())
-    out, repeated = rows.join(found, ["__id", "__key"], "left_anti"), found.filter("__kept")
+    told = marked(marked(rows, leaving, "__in", keys), staying, "__out", keys)
+    out = told.filter("__id is null or not __in").drop("__in", "__out")
+    out = out.unionByName(told.filter("__id is not null and __in and __out").drop("__in", "__out").join(leaving, list(keys), "left_anti"))
+    repeated = found.filter("__leaves and __kept").select(*keys)
     if not repeated.isEmpty():
-        out = out.unionByName(rows.join(repeated, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]))
-    return out.drop("__id", "__key")
+        out = out.unionByName(likely(rows, repeated, keys).join(repeated, list(keys), "left_semi").dropDuplicates(list(keys)))
+    return out.drop(*keys)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hopglass.llm import near
 
@@ -162,3 +163,25 @@ def test_only_texts_that_may_be_wanted_are_moved(spark):
     got = {r.doc_id for r in near.likely(texts, wanted).select("doc_id").collect()}
     assert {*range(-2000, 18000, 50)} <= got and len(got) < 420
     assert near.likely(texts, wanted.limit(0)).count() == 0
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    words = "concat_ws(' ', transform(sequence(1, 12), i -> concat('w', greatest(id, 20) * 100 + i))) as text"
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at size, where no table is small
+    try:
+        df = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", words).withColumn("place", F.spark_partition_id())
+        kept = near.without_copies(df).withColumn("now", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r.doc_id for r in kept) == [0, *range(21, 400)]
+    assert sum(r.place != r.now for r in kept) < 5
+
+
+def test_rows_in_both_maps_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(near, "SLOTS", 8)  # nearly every key shares a bit with another
+    rows = [(i, f"a b c d e f g {i // 3}") for i in range(60)] + [(0, "a b c d e f g 0"), (None, "a b c d e f g 1"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["kept"]) for r in near.components(df).collect()}
+    got = [r["doc_id"] for r in near.without_copies(df).collect()]
+    assert sorted(i for i in got if i is not None) == sorted({i for i, kept in found if kept and i is not None}) and got.count(None) == 2
