@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fx
 from ..functions.domains import SuffixRules, domain_of, registrable
+from ..functions.text import settled
 from ..session import cut
 from . import dims
 from .skew import HOT_ROWS, hot_keys, join_on_hot_key, rank_within
@@ -45,7 +46,7 @@ def extract_indicators(cases: DataFrame, origins: DataFrame, urls: DataFrame, at
     ip = origins.filter(F.col("origin_ip").isNotNull()).select("case_id", F.lit("ip").alias("kind"), F.col("origin_ip").alias("value"))
     host = F.lower("domain")
     skip = fx.PUBLIC_PROVIDERS + fx.COMMON_LINK_HOSTS
-    u = urls.filter(F.col("domain").isNotNull()).select("case_id", host.alias("host"), registrable(F.col("domain"), suffixes, version == dims.LATEST).alias("reg"))
+    u = settled(urls.filter(F.col("domain").isNotNull()).select("case_id", "domain"), host=host, reg=registrable(F.col("domain"), suffixes, version == dims.LATEST)).drop("domain")
     if version == dims.LATEST:
         u = u.filter(F.col("reg").isNull() | ~F.col("reg").isin(skip))
         reg = F.col("reg")
@@ -57,7 +58,7 @@ def extract_indicators(cases: DataFrame, origins: DataFrame, urls: DataFrame, at
     pairs = F.array(F.struct(F.lit("url").alias("kind"), F.col("host").alias("value")), F.struct(F.lit("urlreg").alias("kind"), reg.alias("value")))
     link = u.select("case_id", F.explode(pairs).alias("p")).select("case_id", "p.kind", "p.value").filter(F.col("value").isNotNull())
     digest = attachments.filter(F.coalesce(F.col("sha256"), F.lit("")) != "").select("case_id", F.lit("hash").alias("kind"), F.col("sha256").alias("value"))
-    found = ip.unionByName(link).unionByName(digest).distinct()
+    found = ip.unionByName(link).unionByName(digest).repartition("case_id").distinct()  # one exchange serves the join too
     return found.join(cases.select("owner", "case_id", "arrival"), "case_id").select("owner", "case_id", "arrival", "kind", "value")
 
 

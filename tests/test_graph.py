@@ -8,7 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from hopglass.functions import fixed_values as fx
+from hopglass.functions.net import with_routability
 from hopglass.operators import graph
 from hopglass.operators.skew import join_on_hot_key as join
 from hopglass.operators.skew import global_positions, rank_within
@@ -222,3 +224,32 @@ def test_time_lines_grow_with_the_cases_not_with_the_sets_that_meet(spark, monke
     got = {r.case_id: (r.related_cases, r.shared_indicator_count) for r in graph.related_prior(graph.split_hubs(df, 5), df).collect()}
     assert got == {c: (c, 0 if c == 0 else 2 if c % 10 else 1) for c in range(600)}
     assert sum(seen) <= 3 * 600
+
+
+def test_indicators_parse_a_host_once_and_meet_their_case_by_one_exchange(spark):
+    t = datetime(2024, 1, 1)
+    cases = spark.createDataFrame([("o", 1, t), ("o", 2, t)], "owner string, case_id long, arrival timestamp")
+    origins = spark.createDataFrame([(1, "8.8.8.8", True), (2, None, False)], "case_id long, origin_ip string, defensible boolean")
+    urls = spark.createDataFrame([(1, "A.evil.co.in"), (1, "a.evil.co.in"), (2, "bit.ly"), (None, "x.org"), (2, None)], "case_id long, domain string")
+    files = spark.createDataFrame([(2, "d1"), (2, "d1"), (2, None), (9, "d2")], "case_id long, sha256 string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.extract_indicators(cases, origins, urls, files)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.case_id, r.kind, r.value) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [(1, "ip", "8.8.8.8"), (1, "url", "a.evil.co.in"), (1, "urlreg", "evil.co.in"), (2, "hash", "d1")]
+    assert plan.count("Exchange hashpartitioning") == 2  # indicators and cases
+    assert not any("rlike" in line.lower() for line in plan.splitlines() if "Filter" in line)
+
+
+def test_long_chains_of_expressions_stay_in_methods_that_the_jvm_compiles(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    hops = spark.createDataFrame([(1, "10.0.0.1"), (2, "8.8.8.8"), (3, "::ffff:10.0.0.1"), (4, "2a02::1"), (5, None)], "case_id long, from_ip string")
+    found = with_routability(hops, "from_ip")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert {r.case_id: (r.unroutable, r.public) for r in found.collect()} == {1: (True, False), 2: (False, True), 3: (True, False), 4: (False, True), 5: (False, False)}
+    queries()["g01_extract_indicators"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
