@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import email
+import os
+import uuid
 from email import policy
 from email.errors import MessageError
 from email.header import decode_header, make_header
@@ -30,22 +32,54 @@ DECODED = T.StructType([
 STEP_BYTES, STEP_ROWS = 4 << 20, 512
 
 
-def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False, max_files: int = 1000) -> DataFrame:
-    """One row per file with its bytes; as a stream with bounded batches."""
+def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False, max_files: int = 1000, tasks: int | None = None) -> DataFrame:
+    """One row per file with its bytes; as a stream with bounded batches.  ``tasks``: at most so many read them, where many
+    files are small; Spark counts 4 MB for opening one and gives a task 32 of them."""
     if stream:
         schema = "path string, modificationTime timestamp, length long, content binary"
         raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).load(path)
     else:
         raw = spark.read.format("binaryFile").load(path)
+        raw = raw.coalesce(tasks) if tasks else raw
     return raw.select(F.lit(owner).alias("owner"), "path", F.col("modificationTime").alias("received_at"), F.col("content").alias("raw"))
 
 
-def write_mail(messages: DataFrame, folder: str) -> None:
-    """One file per ``path``, all below one folder, so that one listing finds them; each task moves its own files into place.
-    Rows of the same path run together in its file, a line break after each."""
+def write_mail(messages: DataFrame, folder: str) -> int | None:
+    """One file per ``path``, all below one folder, so that one listing finds them; each task puts its own files into place.
+    Rows of the same path run together in its file, a line break after each.  Returns the number of tasks that suffice to read
+    them, where it is known."""
     value = F.coalesce(F.col("raw").cast("string"), F.lit(""))
     files = messages.groupBy("path").agg(F.array_join(F.collect_list(value), "\n").alias("value"))
-    files.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
+    if not folder.startswith("file:"):
+        files.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
+        return None
+    # on a mounted folder Hadoop starts several processes a file to set permissions, which takes far longer than the file itself
+    top = local_path(folder)
+    os.makedirs(top)
+    named = files.select(F.coalesce(F.sha2("path", 256), F.lit("none")).alias("name"), F.concat("value", F.lit("\n")).cast("binary").alias("raw"))
+
+    def write(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column("name").to_pylist(), batch.column("raw"), strict=True):
+                _put(f"{top}/{name}.eml", raw.as_buffer())
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64()), "bytes": pa.array([pc.sum(pc.binary_length(batch.column("raw"))).as_py() or 0], pa.int64())})
+
+    n = named.mapInArrow(write, "files long, bytes long").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes")).first()
+    return 1 + max((n["files"] or 0) // STEP_ROWS, (n["bytes"] or 0) // STEP_BYTES)
+
+
+def local_path(uri: str) -> str:
+    """The path of a ``file:`` address."""
+    return uri.removeprefix("file:").replace("///", "/", 1)
+
+
+def _put(path: str, raw) -> None:
+    """A file is there as a whole or not at all; a task that runs again replaces it.  Spark's listings pass names with a dot by."""
+    folder, name = os.path.split(path)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(raw)
+    os.replace(part, path)
 
 
 def _header_text(value) -> str | None:

@@ -169,3 +169,27 @@ def test_written_messages_are_files_of_one_folder(spark, tmp_path):
     back = mail.read_mail(spark, f"{tmp_path}/mail", "o").collect()
     assert sorted(bytes(r["raw"]) for r in back) == sorted([rows[0][1] + b"\n" + rows[0][1] + b"\n", rows[2][1] + b"\n", b"\n"])
     assert {r["path"].rsplit("/", 1)[0].removeprefix("file:") for r in back} == {f"{tmp_path}/mail"}
+
+
+def test_mounted_folders_take_files_from_the_tasks_themselves(spark, tmp_path):
+    rows = [("m/1", b"Subject: a\r\n\r\none"), ("m/1", b"Subject: a\r\n\r\none"), ("m/2", "Subject: \u00fc\r\n\r\ntwo\nlines".encode() + b"\xff"), (None, None)]
+    tasks = mail.write_mail(spark.createDataFrame(rows, "path string, raw binary"), f"file:{tmp_path}/mail")
+    back = mail.read_mail(spark, f"file:{tmp_path}/mail", "o", tasks=tasks).collect()
+    assert tasks == 1 and sorted(bytes(r["raw"]) for r in back) == sorted([rows[0][1] + b"\n" + rows[0][1] + b"\n", rows[2][1] + b"\n", b"\n"])
+    names = [f.name for f in (tmp_path / "mail").iterdir()]  # no part files, checksums or marks of Spark's writers, for each of which processes are started
+    assert len(names) == 3 and all(n.endswith(".eml") and not n.startswith(".") for n in names)
+    with pytest.raises(FileExistsError):
+        mail.write_mail(spark.createDataFrame(rows, "path string, raw binary"), f"file:{tmp_path}/mail")
+
+
+def test_many_small_messages_are_read_by_few_tasks(spark, tmp_path):
+    raw = spark.range(1100).selectExpr("concat('m/', id) as path", "cast(concat('Subject: s', id, '\r\n\r\nx') as binary) as raw")
+    tasks = mail.write_mail(raw, f"file://{tmp_path}/mail")
+    back = mail.read_mail(spark, f"file://{tmp_path}/mail", "o", tasks=tasks)
+    assert tasks == 3 and back.rdd.getNumPartitions() == 3
+    assert {r["subject"] for r in mail.parse_messages(back).select("subject").collect()} == {f"s{i}" for i in range(1100)}
+
+
+def test_no_messages_give_an_empty_folder(spark, tmp_path):
+    mail.write_mail(spark.createDataFrame([], "path string, raw binary"), f"file:{tmp_path}/mail")
+    assert mail.read_mail(spark, f"file:{tmp_path}/mail", "o").count() == 0
