@@ -31,17 +31,47 @@ DECODED = T.StructType([
 #: What is decoded at a time: a task holds so much mail as Python objects, however many rows a batch has.
 STEP_BYTES, STEP_ROWS = 4 << 20, 512
 
+#: Files are read in pieces of this size where they may be larger than a row, by at most so many tasks.
+PIECE_BYTES, MOST_TASKS = 32 << 20, 4096
 
-def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False, max_files: int = 1000, tasks: int | None = None) -> DataFrame:
+
+def read_mail(spark: SparkSession, path: str, owner: str, stream: bool = False, max_files: int = 1000, tasks: int | None = None, piece: int | None = None) -> DataFrame:
     """One row per file with its bytes; as a stream with bounded batches.  ``tasks``: at most so many read them, where many
-    files are small; Spark counts 4 MB for opening one and gives a task 32 of them."""
+    files are small; Spark counts 4 MB for opening one and gives a task 32 of them.
+
+    A row holds 2 GB at most.  With ``piece`` (no stream), files of any size come in rows of at most so many bytes, each with its
+    place ``start``, dealt over the tasks.  Only a mounted folder (``file:``) is read from the middle; elsewhere a file is one row."""
     if stream:
         schema = "path string, modificationTime timestamp, length long, content binary"
         raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).load(path)
     else:
         raw = spark.read.format("binaryFile").load(path)
         raw = raw.coalesce(tasks) if tasks else raw
-    return raw.select(F.lit(owner).alias("owner"), "path", F.col("modificationTime").alias("received_at"), F.col("content").alias("raw"))
+        raw = _in_pieces(raw, piece) if piece else raw
+    return raw.select(F.lit(owner).alias("owner"), "path", F.col("modificationTime").alias("received_at"), F.col("content").alias("raw"), *(["start"] if piece else []))
+
+
+def _in_pieces(files: DataFrame, piece: int) -> DataFrame:
+    """Rows of ``binaryFile`` with ``start``: small files whole, larger ones cut.  Filters on ``length`` are pushed down to the source,
+    which leaves the bytes of other files alone."""
+    whole, large = files.withColumn("start", F.lit(0).cast("long")), files.filter(F.col("length") > piece).drop("content")
+    found = large.agg(F.min("path").alias("path"), F.sum(F.ceil(F.col("length") / piece)).alias("pieces")).first()
+    if not (found["path"] or "").startswith("file:"):
+        return whole
+    starts = large.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(piece).cast("long"))))
+
+    def read(batches):
+        for batch in batches:
+            for i, (path, length, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "length", "start")), strict=True)):
+                with open(local_path(path), "rb") as f:
+                    f.seek(start)
+                    content = f.read(min(piece, length - start))
+                if len(content) < min(piece, length - start):
+                    raise OSError(f"{path} has become shorter than {length} bytes")
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary())], [*batch.schema.names, "content"])
+
+    parts = starts.repartition(min(found["pieces"], MOST_TASKS)).mapInArrow(read, T.StructType([*starts.schema.fields, T.StructField("content", T.BinaryType())]))
+    return whole.filter(F.col("length") <= piece).unionByName(parts)
 
 
 def write_mail(messages: DataFrame, folder: str) -> int | None:

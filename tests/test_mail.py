@@ -193,3 +193,29 @@ def test_many_small_messages_are_read_by_few_tasks(spark, tmp_path):
 def test_no_messages_give_an_empty_folder(spark, tmp_path):
     mail.write_mail(spark.createDataFrame([], "path string, raw binary"), f"file:{tmp_path}/mail")
     assert mail.read_mail(spark, f"file:{tmp_path}/mail", "o").count() == 0
+
+
+def test_large_files_come_in_pieces(spark, tmp_path):
+    files = {"a b%20c.eml": bytes(range(256)) * 5, "small.eml": b"x" * 100, "exact.eml": b"y" * 200}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = mail.read_mail(spark, str(tmp_path), "o", piece=100).orderBy("path", "start").collect()
+    got = {}
+    for r in rows:
+        name = r["path"].rsplit("/", 1)[1]
+        assert r["owner"] == "o" and r["received_at"] is not None and r["start"] == len(got.get(name, b"")) and len(r["raw"]) <= 100
+        got[name] = got.get(name, b"") + bytes(r["raw"])
+    assert got == files and len(rows) == 13 + 1 + 2
+
+
+def test_files_beyond_two_gigabytes_are_read(spark, tmp_path):
+    from hopglass.plans import load_all
+    from hopglass.plans.registry import QUERIES
+
+    load_all()
+    (tmp_path / "small.parquet").write_bytes(b"x" * 10)
+    with open(tmp_path / "large.parquet", "wb") as f:
+        f.truncate((2 << 30) + 5)  # a hole: it takes no disk
+    got = {r["file"]: r["size_bytes"] for r in QUERIES["s01_read_mail"](spark, str(tmp_path)).collect()}
+    assert got == {"small.parquet": 10, "large.parquet": (2 << 30) + 5}
+    assert mail.read_mail(spark, f"{tmp_path}/*.parquet", "o", piece=mail.PIECE_BYTES).rdd.getNumPartitions() >= 64
