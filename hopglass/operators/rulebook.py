@@ -71,6 +71,26 @@ class RuleBook:
     def versions(self) -> list[str]:
         return sorted(self.profiles)
 
+    def by_signal(self) -> DataFrame:
+        """signal, ``rules`` (what counts, as a number, see ``weight_of`` and ``role_of``), ``labels`` and ``rationales``: arrays with an
+        element for each of ``versions``, null where the version has no rule for the signal."""
+        roles = sum((F.when(F.col(c), bit).otherwise(0) for c, bit in ROLE_BITS.items()), F.lit(0))
+        columns = {"rules": F.col("weight").cast("long") * 8 + roles, "labels": F.col("label"), "rationales": F.col("rationale")}
+        if len(self.versions) == 1:
+            return self.flags.filter(F.col("version") == self.versions[0]).select("signal", *[F.array(c).alias(name) for name, c in columns.items()])
+        return self.flags.groupBy("signal").agg(*[F.array(*[F.max(F.when(F.col("version") == v, c)) for v in self.versions]).alias(name) for name, c in columns.items()])
+
+
+ROLE_BITS = {"general": 4, "identity": 2, "is_credit": 1}
+
+
+def weight_of(rule: Column) -> Column:
+    return F.shiftright(rule, 3).cast("int")
+
+
+def role_of(rule: Column, role: str) -> Column:
+    return rule.bitwiseAND(ROLE_BITS[role]) > 0
+
 
 _FLAGS = "version string, signal string, weight int, label string, rationale string, general boolean, identity boolean, is_credit boolean"
 

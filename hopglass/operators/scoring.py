@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fx
 from . import dims
-from .rulebook import RuleBook, built_in, by_profile
+from .rulebook import RuleBook, built_in, by_profile, role_of, weight_of
 
 def rule_points(evidence: DataFrame, version: str = dims.LATEST) -> DataFrame:
     """TRIGGERED evidence with its rule; points = weight x confidence."""
@@ -32,16 +32,17 @@ def unknown_signals(evidence: DataFrame, version: str = dims.LATEST) -> DataFram
 
 
 def signals_of_cases(evidence: DataFrame) -> DataFrame:
-    """One row per (case, signal), whatever the rules: whether it fired, its most confident instance (the earliest on ties), its earliest
-    one, and the lanes that were unavailable.
+    """One row per (case, signal), whatever the rules: whether it fired, place and confidence of its most confident instance (the
+    earliest on ties) and of its earliest one, the lane and detail of each, and the lanes that were unavailable.
 
     Points are weight x confidence, so under any weight but 0 the instance of most absolute points is the most confident one;
-    under weight 0 all are equal and the earliest counts."""
-    fired = F.col("status") == "TRIGGERED"
-    instance = F.struct("pos", "analyzer", "confidence", "detail")
+    under weight 0 all are equal and the earliest counts.  Columns apart, so that a caller who only scores moves no texts."""
+    fired, text = F.col("status") == "TRIGGERED", F.struct("analyzer", "detail")
+    most = F.when(fired, F.struct("confidence", (-F.col("pos")).alias("back")))
+    first = F.when(fired & F.col("pos").isNotNull(), F.struct("pos", "confidence"))
     return evidence.groupBy("case_id", "signal").agg(
-        F.max(fired).alias("fired"), F.max_by(instance, F.when(fired, F.struct("confidence", -F.col("pos")))).alias("_most"),
-        F.min_by(instance, F.when(fired, F.col("pos"))).alias("_first"), F.collect_set(F.when(F.col("status") == "UNAVAILABLE", F.col("analyzer"))).alias("lanes"))
+        F.max(fired).alias("fired"), F.max(most).alias("most"), F.max_by(text, most).alias("most_text"), F.min(first).alias("first"), F.min_by(text, first).alias("first_text"),
+        F.collect_set(F.when(F.col("status") == "UNAVAILABLE", F.col("analyzer"))).alias("lanes"))
 
 
 def strongest_instances(evidence: DataFrame, version: str = dims.LATEST, book: RuleBook | None = None) -> DataFrame:
@@ -51,8 +52,9 @@ def strongest_instances(evidence: DataFrame, version: str = dims.LATEST, book: R
     rules = F.broadcast(book.flags)  # size checked by the book
     each = signals_of_cases(evidence).withColumn("version", F.explode(F.array(*[F.lit(v) for v in book.versions])))
     each = each.join(rules, ["version", "signal"], "left")
-    pick = F.when(F.col("weight") == 0, F.col("_first")).otherwise(F.col("_most"))
-    each = each.withColumn("_best", F.when(F.col("fired") & F.col("weight").isNotNull(), pick)).drop("_most", "_first")
+    instance = lambda at, pos, text: F.when(F.col(at).isNotNull(), F.struct(pos.alias("pos"), F.col(text)["analyzer"].alias("analyzer"), F.col(at)["confidence"].alias("confidence"), F.col(text)["detail"].alias("detail")))
+    pick = F.when(F.col("weight") == 0, instance("first", F.col("first")["pos"], "first_text")).otherwise(instance("most", -F.col("most")["back"], "most_text"))
+    each = each.withColumn("_best", F.when(F.col("fired") & F.col("weight").isNotNull(), pick)).drop("most", "first", "most_text", "first_text")
     b = F.col("_best")
     best = F.struct(b["pos"].alias("pos"), b["analyzer"].alias("analyzer"), F.col("weight"), b["confidence"].alias("confidence"),
                     (F.col("weight") * b["confidence"]).alias("points"), b["detail"].alias("detail"))
@@ -91,53 +93,72 @@ def score_cases(evidence: DataFrame, cases: DataFrame | None = None, version: st
     return score_versions(evidence, built_in(evidence.sparkSession, [version]), cases)
 
 
+def _signals_by_case(evidence: DataFrame, book: RuleBook) -> DataFrame:
+    """One row per case: ``signals`` that fired with what their rules count under every version of the book, ``labels`` and ``texts`` of
+    them in the same order, and the unavailable lanes.  Lists apart, so that what a caller does not show is not read.
+
+    Rows meet by case once for all versions, at most one per signal; rules are attached where they have met, so neither rules
+    nor their texts are shuffled, however many versions there are."""
+    each = signals_of_cases(evidence).repartition("case_id").join(F.broadcast(book.by_signal()), "signal", "left")  # size checked by the book
+    zero, fired = F.exists("rules", lambda r: weight_of(r) == 0), F.col("fired")
+    each = each.withColumns({c: F.when(fired & zero, F.col(c)) for c in ("first", "first_text")} | {c: F.when(fired, F.col(c)) for c in ("rules", "labels", "rationales")})
+    every = lambda *columns: F.sort_array(F.collect_list(F.when(fired, F.struct("signal", *columns))))  # a case has a signal once
+    return each.groupBy("case_id").agg(every("most", "first", "rules").alias("signals"), every("labels").alias("labels"), every("most_text", "first_text", "rationales").alias("texts"),
+                                       F.array_sort(F.array_distinct(F.flatten(F.collect_list("lanes")))).alias("lanes_unavailable"))
+
+
 def score_versions(evidence: DataFrame, book: RuleBook, cases: DataFrame | None = None) -> DataFrame:
     """One verdict row per (case, version) of the rule book; the evidence is read and aggregated once."""
-    per_signal = strongest_instances(evidence, book=book)
-    b, v = F.col("best"), F.col("version")
-    scored = F.col("fired") & F.col("weight").isNotNull()
-    entry = F.struct(b["pos"].alias("pos"), F.col("signal"), b["analyzer"].alias("analyzer"), b["weight"].alias("weight"),
-                     b["confidence"].alias("confidence"), b["points"].alias("points"), F.col("label"), F.col("rationale"),
-                     b["detail"].alias("detail"), F.coalesce("is_credit", F.lit(False)).alias("is_credit"))
-    per_case = per_signal.groupBy("case_id", "version").agg(
-        F.sort_array(F.collect_list(F.when(scored, entry))).alias("found"),
-        F.sort_array(F.collect_list(F.when(F.col("fired") & F.col("weight").isNull(), F.col("signal")))).alias("unknown_signals"),
-        F.sort_array(F.collect_list(F.when(F.col("fired") & F.col("general"), F.col("signal")))).alias("suppressed_by"),
-        F.coalesce(F.max(F.col("fired") & F.col("identity")), F.lit(False)).alias("identity_blocked"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lanes")))).alias("lanes_unavailable"))
+    per_case = _signals_by_case(evidence, book)
     if cases is not None:
-        none = F.array().cast("array<string>")
-        every = cases.select("case_id").withColumn("version", F.explode(F.array(*[F.lit(x) for x in book.versions])))
-        per_case = (every.join(per_case, ["case_id", "version"], "left")
-                    .withColumn("identity_blocked", F.coalesce("identity_blocked", F.lit(False))))
-        for c in ("unknown_signals", "suppressed_by", "lanes_unavailable"):
-            per_case = per_case.withColumn(c, F.coalesce(c, none))
-        per_case = per_case.withColumn("found", F.coalesce("found", F.expr("filter(array(%s), x -> false)" % _EMPTY_ENTRY)))
+        kinds = {f.name: f.dataType for f in per_case.schema.fields if f.name != "case_id"}
+        per_case = cases.select("case_id").join(per_case, "case_id", "left").withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in kinds.items()})
+    per_case = per_case.select("*", F.posexplode(F.array(*[F.lit(x) for x in book.versions])).alias("_v", "version"))
+    v, k = F.col("version"), F.col("_v")
+    rated = F.transform("signals", lambda s, i: F.struct(i.alias("i"), s["signal"].alias("signal"), s["most"].alias("most"), s["first"].alias("first"), F.get(s["rules"], k).alias("rule")))
+
+    def entry(s: Column) -> Column:
+        weight = weight_of(s["rule"])
+        zero = weight == 0
+        confidence = F.when(zero, s["first"]["confidence"]).otherwise(s["most"]["confidence"])
+        return F.struct(F.when(zero, s["first"]["pos"]).otherwise(-s["most"]["back"]).alias("pos"), s["signal"].alias("signal"), F.when(~zero | s["first"].isNotNull(), weight).alias("weight"),
+                        confidence.alias("confidence"), (weight * confidence).alias("points"), role_of(s["rule"], "is_credit").alias("is_credit"), s["i"].alias("i"))
+
+    label = lambda c: F.get(F.get("labels", c["i"])["labels"], k).alias("label")
+
+    def shown(c: Column) -> Column:
+        text = F.get("texts", c["i"])
+        said = lambda name: F.when(c["weight"] == 0, text["first_text"][name]).when(c["weight"] != 0, text["most_text"][name]).alias(name)
+        return F.struct(c["pos"].alias("pos"), c["signal"].alias("signal"), said("analyzer"), c["weight"].alias("weight"), c["confidence"].alias("confidence"), c["points"].alias("points"),
+                        label(c), F.get(text["rationales"], k).alias("rationale"), said("detail"))
+
+    names = lambda c: F.sort_array(F.filter(F.transform(c, lambda s: s["signal"]), lambda x: x.isNotNull()))
     general = F.size("suppressed_by") > 0
     blocked = lambda c: (c["weight"] < 0) & F.when(c["is_credit"], F.col("identity_blocked")).otherwise(general)
     total = F.aggregate("kept", F.lit(0.0), lambda acc, c: acc + c["points"])
     penalty = F.lit(100) - fx.UNAVAILABLE_PENALTY_PERCENT * F.size("lanes_unavailable")
-    shown = F.transform("kept", lambda c: c.withField("points", by_profile(book, v, lambda p: _round_display(c["points"], p))))
+    rounded = F.transform("kept", lambda c: c.withField("points", by_profile(book, v, lambda p: _round_display(c["points"], p))))
     # cast the order key first: sorting a struct is by field order
-    ranked = F.transform(F.array_sort(F.transform(shown, lambda c: F.struct((-F.abs(c["points"])).alias("k"), c["pos"].alias("p"), c.alias("c")))),
-                         lambda s: s["c"].dropFields("is_credit"))
+    ranked = F.transform(F.array_sort(F.transform(rounded, lambda c: F.struct((-F.abs(c["points"])).alias("k"), c["pos"].alias("p"), c.alias("c")))), lambda s: s["c"])
     return (per_case
+            .withColumn("rated", rated)
+            .withColumns({"found": F.sort_array(F.transform(F.filter("rated", lambda s: s["rule"].isNotNull()), entry)),
+                          "unknown_signals": names(F.filter("rated", lambda s: s["rule"].isNull())),
+                          "suppressed_by": names(F.filter("rated", lambda s: role_of(s["rule"], "general"))),
+                          "identity_blocked": F.coalesce(F.exists("rated", lambda s: role_of(s["rule"], "identity")), F.lit(False))})
             .withColumn("kept", F.filter("found", lambda c: ~blocked(c)))
             .withColumn("suppressed_negatives", F.transform(F.filter("found", blocked), lambda c: c["signal"]))
             .withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.bround(total).cast("int"))))
             .withColumn("band", by_profile(book, v, lambda p: band_of(F.col("score"), p)))
             .withColumn("confidence", F.greatest(F.lit(0), F.least(F.lit(100), penalty)) / 100)
-            .withColumn("contributions", ranked)
-            .withColumn("summary", summary_text(F.col("band"), F.col("contributions"),
+            .withColumn("ranked", ranked)
+            .withColumn("contributions", F.transform("ranked", shown))
+            .withColumn("summary", summary_text(F.col("band"), F.transform("ranked", lambda c: F.struct(c["points"], label(c))),
                                                 F.col("lanes_unavailable"), F.col("suppressed_negatives")))
             .select("case_id", "score", "band", "confidence", v.alias("scorer_version"), "contributions",
                     "lanes_unavailable", "suppressed_negatives", "suppressed_by", "unknown_signals", "summary"))
 
 
-_EMPTY_ENTRY = ("named_struct('pos', 0, 'signal', '', 'analyzer', '', 'weight', 0, 'confidence', 0D, 'points', 0D, "
-                "'label', '', 'rationale', '', 'detail', '', 'is_credit', false)")
-
-
 def contributions(verdicts: DataFrame) -> DataFrame:
     """Flat contribution table, ranked within its case."""
     return verdicts.select("case_id", F.posexplode("contributions").alias("i", "c")).select(

@@ -1,4 +1,4 @@
-from hopglass.operators import dims, scoring
+from hopglass.operators import dims, rulebook, scoring
 
 COLS = "case_id long, pos int, analyzer string, signal string, status string, confidence double, detail string"
 
@@ -57,3 +57,29 @@ def test_rule_table_is_sound(spark):
 def test_unknown_signals_are_reported(spark):
     v = verdict(spark, ("M4", "never_heard_of", "TRIGGERED", 1.0))
     assert v.score == 0 and v.unknown_signals == ["never_heard_of"]
+
+
+def test_versions_add_no_shuffle(spark):
+    signals = ["forged_received_hop", "dkim_valid_aligned", "sender_no_footprint", "made_up", "domain_no_mx", None]
+    rows = [(c, p, f"M{2 + p % 7}", signals[(c + p) % 6], ["TRIGGERED", "TRIGGERED", "CLEAR", "UNAVAILABLE", None][(c * p) % 5], (c * p % 16 + 1) / 16, f"{c}/{p}") for c in range(40) for p in range(9)]
+    ev = spark.createDataFrame(rows, COLS)
+    book = rulebook.built_in(spark, dims.VERSIONS)
+    plan = scoring.score_versions(ev, book).select("case_id", "scorer_version", "score")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(case_id" in line]
+    assert len(moved) == 2 and not any("version" in line for line in moved)  # by case and signal, then by case
+    both = scoring.score_versions(ev, book).collect()
+    alone = [r for v in dims.VERSIONS for r in scoring.score_cases(ev, version=v).collect()]
+    by = lambda found: sorted(map(str, found))
+    assert len(both) == 80 and by(both) == by(alone)
+
+
+def test_contributions_show_the_instance_that_counts(spark):
+    flags = [("a", "x", 0, "la", "why a", False, False, False), ("a", "y", -5, "lya", "yes", False, False, False), ("b", "x", 7, "lb", "why b", False, False, False)]
+    book = rulebook.RuleBook(spark.createDataFrame(flags, rulebook._FLAGS), {"a": dims.LATEST, "b": dims.EARLIER})
+    ev = spark.createDataFrame([(1, 3, "M4", "x", "TRIGGERED", 0.5, "late"), (1, 1, "M2", "x", "TRIGGERED", 0.25, "early"), (1, 2, "M3", "x", "TRIGGERED", 0.5, "most"),
+                                (1, 0, "M5", "x", "CLEAR", 1.0, "clear"), (1, 4, "M6", "y", "TRIGGERED", 1.0, "credit"), (1, 5, "M7", "z", "TRIGGERED", 1.0, "no rule")], COLS)
+    got = {r.scorer_version: r for r in scoring.score_versions(ev, book).collect()}
+    flat = lambda r: [(c.pos, c.signal, c.analyzer, c.weight, c.confidence, c.points, c.label, c.rationale, c.detail) for c in r.contributions]
+    assert flat(got["a"]) == [(4, "y", "M6", -5, 1.0, -5.0, "lya", "yes", "credit"), (1, "x", "M2", 0, 0.25, 0.0, "la", "why a", "early")]
+    assert flat(got["b"]) == [(2, "x", "M3", 7, 0.5, 3.5, "lb", "why b", "most")]
+    assert got["a"].unknown_signals == ["z"] and got["b"].unknown_signals == ["y", "z"]
